@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, table
+from ._shared import new_path, table, written
 from .exact_dedup import exact_groups
+from .mixing import measured, mix, source_table
+from .packing import pack_documents
 from .warc import read_warc, write_warc
 
 
+def tokenizer() -> str:
+    """The vocabulary file that packing uses; another one can be named to the operators themselves."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -21,9 +30,30 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, _ = written(measured(table(spark, sf_dir, "documents")), "sized")
+    sources = source_table(sized)
+    key = ["doc_id", "source", "size"]
+    taken = mix(sized, sources).groupBy(*key).agg(F.sum("words").alias("words")).withColumnsRenamed({k: f"__{k}" for k in key})
+    rows = sized.groupBy(*key).agg(F.count("*").alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
+    found = rows.join(taken, same, "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    # rows that repeat doc_id, source and size share what is taken of them
+    share = F.coalesce(F.expr("words div rows + if(row <= words % rows, 1, 0)"), F.lit(0)).cast("long")
+    found = found.select(*key, share.alias("taken"))
+    few = F.broadcast(sources.select(F.col("source").alias("__s"), "source_size", "target"))
+    return found.join(few, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op7_warc": op7_warc,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE = {
