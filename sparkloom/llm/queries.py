@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ._shared import new_path, table, written
 from .exact_dedup import exact_groups
+from .language import identify
 from .mixing import measured, mix, source_table
 from .packing import pack_documents
+from .toxicity import score_toxicity
 from .warc import read_warc, write_warc
 
 
@@ -23,6 +25,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    found = identify(docs, ~held_out & F.col("doc_id").isNotNull())
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -51,6 +64,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
