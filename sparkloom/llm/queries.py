@@ -9,6 +9,7 @@ from ._shared import new_path, table, written
 from .exact_dedup import exact_groups
 from .language import identify
 from .mixing import measured, mix, source_table
+from .ngram_join import similarity_join
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data
 from .toxicity import score_toxicity
@@ -75,6 +76,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(few, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
@@ -82,6 +87,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
 }
 
