@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ._shared import attach
+from ._shared import attach, written
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -72,6 +72,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     # which record of equal payloads is the response; payloads stay out of this shuffle
     firsts = attach(marks.where(F.col("size") >= revisit_from), ["same", "size"], F.col("id"), {"first": F.min("id")}, {"first": F.min("first")})
     later = firsts.where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("rid"), F.col("same").alias("rsame"), "first").distinct()
+    later, _ = written(later, "revisits")  # its size is then known: a small one is sent to the payloads, not they to it
     rows = rows.withColumn("same", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
     rows = rows.join(later, F.col("id").eqNullSafe(F.col("rid")) & (F.col("same") == F.col("rsame")), "left")
     revisit = F.col("rsame").isNotNull()
