@@ -41,35 +41,47 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
-    """Token ids of texts, word by word with a bounded memory of words seen.
+    """Token ids of texts, with a bounded memory of chunks (between white space) and of words seen.
 
     Equal to ``Tokenizer.encode(text, add_special_tokens=False)`` for tokenizers that lower the case, split by
-    ``_WORDS`` and encode each word alone; texts outside Latin letters take the tokenizer's own way.
+    ``_WORDS`` and encode the bytes of each word alone; texts outside Latin letters take the tokenizer's own way.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.most = Tokenizer.from_file(path), regex.compile(_WORDS), most
-        self.ids: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
+        self.model = self.tokenizer.model
+        self.by_word: dict[str, bytes] = {}
+        self.by_chunk: dict[str, bytes] = {}
+        # byte-level spelling: printable bytes stand for themselves, the others for code points from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = (x for x in range(256) if x not in plain)
+        self.spelling = {x: chr(256 + i) for i, x in enumerate(other)}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.by_word.get(word)
+        if ids is None:
+            if len(self.by_word) >= self.most:
+                self.by_word.clear()
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.spelling))
+            ids = self.by_word[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
         if _PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = self.words.findall(text.lower())
-        ids = self.ids
-        new = [w for w in set(words) if w not in ids]
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        chunks, known = text.lower().split(), self.by_chunk
+        new = set(chunks).difference(known)
         if new:
-            if len(ids) + len(new) > self.most:
-                ids.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids[w] = tuple(e.ids)
-        out: list[int] = []
-        for w in words:
-            out += ids[w]
-        return np.array(out, dtype="<u4")
+            if len(known) + len(new) > self.most:
+                known.clear()
+                new = set(chunks)
+            for c in new:
+                known[c] = b"".join([self._word(w) for w in self.words.findall(c)])
+        return b"".join(map(known.__getitem__, chunks))
 
 
 @lru_cache(2)
@@ -85,15 +97,15 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for i, text in enumerate(batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(0)).astype("<u4")
-                for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    for col, value in zip(out, (i, piece, at, len(part), zlib.crc32(part.tobytes()), part), strict=True):
+                ids = encode(text.as_py() or "") + bytes(4)
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    for col, value in zip(out, (i, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
                         col.append(value)
             cols = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                cols.append(pa.array([x.astype(np.int32) for x in out[5]], pa.list_(pa.int32())))
+                cols.append(pa.array([np.frombuffer(x, dtype=np.int32) for x in out[5]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -113,30 +125,32 @@ class Pattern:
 def _best_fill(room: int, sizes: list[int], counts: dict[int, int], most_nodes: int) -> list[int]:
     """Lengths from ``sizes`` (ascending, with ``counts``) that leave least of ``room``: branch and bound.
 
-    Depth first, larger lengths first, so the first leaf is best fit's choice.  A filling is dominated by one
-    that has a larger length in a smaller one's place; going down from the largest that fits visits undominated
-    ones first, and a branch is cut when even the sum of all it may still use wastes no less than the incumbent.
+    Depth first, larger lengths first, so the first leaf is best fit's choice and the first incumbent; with
+    ``most_nodes`` 0 it is also the answer.  A filling is dominated by one that has a larger length in a smaller
+    one's place; going down from the largest that fits visits undominated ones first.  A branch is cut when all
+    lengths it may still use, taken together, would leave no less than the incumbent does.
     """
     if not sizes or room < sizes[0]:
         return []
-    best, best_left = [], room
-    nodes = 0
+    below = [0]  # sum of the lengths up to each size
+    for s in sizes:
+        below.append(below[-1] + s * counts[s])
+    best, best_left, nodes = [], room, 0
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes) - 1, ())]
-    while stack and best_left and nodes < most_nodes:
+    while stack and best_left:
         left, top, chosen = stack.pop()
         nodes += 1
         if left < best_left:
             best, best_left = list(chosen), left
-            if not left:
-                break
         at = min(top, bisect_right(sizes, left) - 1)
-        if at < 0:
+        if at < 0 or left - below[at + 1] >= best_left:
+            if nodes > most_nodes:
+                break
             continue
         size = sizes[at]
-        used = chosen.count(size)
         if at > 0:
             stack.append((left, at - 1, chosen))  # without this length: later
-        if used < counts[size]:
+        if chosen.count(size) < counts[size]:
             stack.append((left - size, at, (*chosen, size)))
     return best
 
@@ -171,13 +185,15 @@ def _solve(hist: dict[int, int], capacity: int, most_nodes: int) -> list[Pattern
 
 
 def complete_bins(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 2000) -> list[Pattern]:
-    """Patterns that use up the histogram {length: pieces}.  ``most_nodes`` bounds one search; 1 per length is best fit decreasing."""
-    best = _solve(hist, capacity, 2 * capacity if most_nodes <= 1 else 64)  # greedy descent: best fit's incumbent
-    bound = _first_bound(hist, capacity)
-    if sum(p.times for p in best) > bound:
-        better = _solve(hist, capacity, most_nodes)
-        if sum(p.times for p in better) < sum(p.times for p in best):
-            best = better
+    """Patterns that use up the histogram {length: pieces}; ``most_nodes`` bounds one search.
+
+    Best fit decreasing is the incumbent; it is kept if it meets the lower bound or bin completion needs no fewer.
+    """
+    best = _solve(hist, capacity, 0)
+    if sum(p.times for p in best) > _first_bound(hist, capacity):
+        completed = _solve(hist, capacity, most_nodes)
+        if sum(p.times for p in completed) < sum(p.times for p in best):
+            best = completed
     return best
 
 
