@@ -9,8 +9,10 @@ minima mean a shared token.  A run samples two coordinates and puts each set int
 there; a bucket of more than ``small`` sets is split in the same way by two more coordinates that depend on the
 path taken, down to ``deepest`` levels.  A pair at similarity s shares each of a bucket's two sampled coordinates
 with probability s, so that a run loses it, at any depth, with probability r at most, the smallest root of
-r = (1 - s + s r)^2 (0.0625 at 0.8), and ``runs_for`` independent runs reach the target recall (1 - 1e-6 by default).  Small buckets are compared in full.  A bucket that is still large at the last level
-(mutually similar sets, which no sampling separates) is compared in full as well, in pairs of blocks.
+r = (1 - s + s r)^2 (0.0625 at 0.8), and ``runs_for`` independent runs reach the target recall
+(1 - 1e-6 by default).  Small buckets are compared in full.  A bucket that sampling does not take apart (its sets
+are alike: more than half of them stay together), or that is still large at the last level, is compared in full as
+well, in pairs of blocks.
 
 Each pair is counted once: in the smallest id of the buckets that the two sets share.  In a bucket, sketches (one
 byte of each minimum) first drop pairs that cannot reach the threshold (the test errs with probability below 1e-7);
@@ -42,7 +44,9 @@ WORDS = 5
 THRESHOLD = 0.8
 COORDINATES = 64
 SMALL = 200
-DEEPEST = 4
+DEEPEST = 5
+#: Share of a bucket's sets in one of its parts from which the bucket counts as alike throughout.
+DENSE = 0.5
 TARGET_RECALL = 1 - 1e-6
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 400_000
@@ -128,24 +132,34 @@ def _children(rows: DataFrame) -> DataFrame:
     step = F.pmod(F.xxhash64(F.col("path"), F.lit(1)), F.lit(COORDINATES - 1)).cast("int") + 1
     second = F.pmod(first + step, F.lit(COORDINATES))  # another coordinate than the first
     both = rows.withColumn("at", F.explode(F.array(first, second)))
-    return both.select("key", F.xxhash64("path", "at", F.substring(F.col("mins"), 4 * F.col("at") + 1, F.lit(4))).alias("path"))
+    child = F.xxhash64("path", "at", F.substring(F.col("mins"), 4 * F.col("at") + 1, F.lit(4)))
+    return both.select("key", child.alias("path"), F.col("path").alias("parent"), F.col("many").alias("parent_many"))
 
 
 def _buckets(classes: DataFrame, n_runs: int, small: int, deepest: int) -> tuple[DataFrame, list[str]]:
     """``key, path, many`` for each set and each final bucket of two sets or more that it is in."""
     paths = classes.select("key", "mins", F.explode(F.array(*[F.lit(1000 + r).cast("long") for r in range(n_runs)])).alias("path"))
-    level = _children(paths)
+    level = _children(paths.withColumn("many", F.lit(0).cast("long")))
     out, made = None, []
     for depth in range(deepest):
-        counted = attach(level.distinct() if depth else level, ["path"], F.col("key"), {"many": F.count("*")}, {"many": F.sum("many")}).where("many > 1")
-        counted, path = written(counted.select("key", "path", "many"), "buckets")
+        counted = attach(level, ["path"], F.col("key"), {"many": F.count("*")}, {"many": F.sum("many")})
+        if depth:
+            counted = attach(counted, ["parent"], F.col("key"), {"top": F.max("many")}, {"top": F.max("top")})
+        counted, path = written(counted.where("many > 1") if not depth else counted, "buckets")
         made.append(path)
+        live = counted
+        if depth:
+            # a bucket that sampling does not take apart (its sets are alike) is final itself
+            dense = F.col("top") > DENSE * F.col("parent_many")
+            out = out.unionByName(counted.where(dense).select("key", F.col("parent").alias("path"), F.col("parent_many").alias("many")).distinct())
+            live = counted.where(~dense & (F.col("many") > 1))
+        live = live.select("key", "path", "many")
         last = depth == deepest - 1
-        here = counted if last else counted.where(F.col("many") <= small)
+        here = live if last else live.where(F.col("many") <= small)
         out = here if out is None else out.unionByName(here)
-        if last or not has_rows(large := counted.where(F.col("many") > small)):
+        if last or not has_rows(large := live.where(F.col("many") > small)):
             break
-        level = _children(large.select("key", "path").join(classes.select("key", "mins"), "key"))
+        level = _children(large.join(classes.select("key", "mins"), "key"))
     return out, made
 
 
