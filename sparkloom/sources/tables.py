@@ -86,7 +86,8 @@ class TableGraph:
 def _contains(g: TableGraph) -> list[EdgeTable]:
     """Order lines: an order contains a part, with the line's columns."""
     lines = g.table("lineitem")
-    eid = F.concat_ws(":", F.lit("CONTAINS"), "l_orderkey", "l_partkey", "l_suppkey")
+    # no set of key columns is unique in these tables: the whole line tells lines apart
+    eid = F.concat_ws(":", F.lit("CONTAINS"), "l_orderkey", "l_partkey", "l_suppkey", F.hex(F.xxhash64(*lines.columns)))
     df = lines.select(eid.alias("_eid"), node_id("Order", "l_orderkey").alias("_src"), node_id("Part", "l_partkey").alias("_dst"), *lines.columns)
     return [EdgeTable("CONTAINS", df, "Order", "Part")]
 
