@@ -8,9 +8,10 @@ link of the chain is the label ``toxic`` itself.
 
 The models are fitted on a bounded sample of labelled rows (``most_rows``, the smallest hashes of doc_id, toxic
 rows first up to half).  Features are words (letter runs, lower case) and beginnings of words (``PREFIXES`` letters,
-for inflected forms) that occur in at least ``least`` sample rows, ``vocabulary`` at most; a feature's value is the
-logarithm of one plus the number of different words that have it, so that a few toxic words in a long text weigh as
-much as in a short one.  Every row is scored on its whole text.
+for inflected forms) that occur in at least ``least`` sample rows and whose rows are toxic more often than chance lets
+any of all candidates be (Chernoff bound), ``vocabulary`` at most: words of clean texts are no features, so that no
+length of clean text hides toxic words.  A feature's value is the logarithm of one plus the number of different words
+that have it.  Every row is scored on its whole text.
 
 Defined results: null text counts as empty and is not toxic; with no labelled row, or with labels of one class
 only, nothing is toxic and all probabilities are 0; labels of null doc_id or toxic teach nothing; if a doc_id has
@@ -41,8 +42,10 @@ VOCABULARY = 3000
 LEAST = 4
 FOLDS = 4
 PREFIXES = (4, 5, 6)
+#: No document is called toxic below this probability.
+LEAST_PROBABILITY = 0.2
 #: Words whose features a worker remembers.
-MOST_KNOWN = 300_000
+MOST_KNOWN = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,9 +57,6 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def counted(words: set[str]) -> Counter:
-    return Counter(f for w in words for f in features_of(w))
-
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8) -> np.ndarray:
     """Weights (bias last) of L2-regularised logistic regression: Newton steps in the smaller of row and feature space.
@@ -66,19 +66,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8) ->
     n, d = x.shape
     positive = max(1, int(y.sum()))
     weight = np.where(y > 0, n / (2 * positive), n / (2 * max(1, n - positive)))
-    xb = np.hstack([x, np.ones((n, 1))])
-    gram = xb @ xb.T  # n x n: dual Newton keeps the cost independent of the vocabulary
-    alpha = np.zeros(n)
+    solve = np.linalg.solve
+    if d < n:
+        xb, w = np.hstack([x, np.ones((n, 1))]), np.zeros(d + 1)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
+            h = np.maximum(weight * p * (1 - p), 1e-6)
+            step = solve((xb.T * h) @ xb + l2 * np.eye(d + 1), xb.T @ (weight * (y - p)) - l2 * w)
+            w = w + step
+            if np.abs(step).max() < 1e-3:
+                break
+        return w
+    gram, alpha = x @ x.T + 1, np.zeros(n)  # with the bias
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(gram @ alpha, -30, 30)))
         h = np.maximum(weight * p * (1 - p), 1e-6)
-        z = gram @ alpha + weight * (y - p) / h
-        new = np.linalg.solve(gram + l2 * np.diag(1 / h), z)
+        new = solve(gram + l2 * np.diag(1 / h), gram @ alpha + weight * (y - p) / h)
         done = np.abs(new - alpha).max() < 1e-3
         alpha = new
         if done:
             break
-    return xb.T @ alpha
+    return np.append(x.T @ alpha, alpha.sum())
+
+
+def _surprise(hits: int, seen: int, base: float) -> float:
+    """Minus the logarithm of (a bound on) the chance of so many toxic rows, 0 if they are no more than expected."""
+    h = hits / seen
+    if h <= base:
+        return 0.0
+    return seen * (h * np.log(h / base) + ((1 - h) * np.log((1 - h) / (1 - base)) if h < 1 else 0.0))
 
 
 def _prob(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -96,31 +112,34 @@ class ToxicityChain:
         if not len(y) or y.min() == y.max():
             return None
         sets = [words_in(t) for t in texts]
-        bags = [counted(s) for s in sets]
-        seen = Counter(f for bag in bags for f in bag)
-        hits = Counter(f for bag, t in zip(bags, toxic, strict=True) if t for f in bag)
-        # features by how far their share among toxic rows is from the overall share: the most telling are kept
+        seen, hits = Counter(), Counter()
+        for s, t in zip(sets, toxic, strict=True):  # a row's features are counted again below rather than held
+            found = {f for w in s for f in features_of(w)}
+            seen.update(found)
+            if t:
+                hits.update(found)
         base = y.mean()
-        ranked = sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-abs(hits[w] - base * seen[w]) / (base * (1 - base) * seen[w]) ** 0.5, w))
+        strength = {w: _surprise(hits[w], seen[w], base) for w in hits if seen[w] >= least}
+        ranked = sorted((w for w, z in strength.items() if z >= np.log(len(seen))), key=lambda w: (-strength[w], w))
         words = {w: i for i, w in enumerate(ranked[:vocabulary])}
-        x = np.zeros((len(sets), len(words)))
-        for row, bag in zip(x, bags, strict=True):
-            for f in bag.keys() & words.keys():
-                row[words[f]] = np.log2(1 + bag[f])
+        d = len(words)
+        x = np.zeros((len(sets), d + len(CHAIN)))
+        del seen, hits, ranked, strength
+        for row, s in zip(x, sets, strict=True):
+            for f, n in Counter(f for w in s for f in features_of(w) if f in words).items():
+                row[words[f]] = np.log2(1 + n)
         labels = {name: np.array([float(t and not s.isdisjoint(seed)) for s, t in zip(sets, toxic, strict=True)]) for name, seed in SEEDS.items()} | {"toxic": y}
         fold = np.arange(len(y)) % folds
-        links, out_of_fold = [], np.zeros(len(y))
-        for name in CHAIN:
-            goal = labels[name]
+        links = []
+        for at, name in enumerate(CHAIN):
+            goal, own = labels[name], x[:, : d + at]
+            out_of_fold = x[:, d + at]  # what later models see
             if goal.sum() < folds:
-                links.append((name, np.append(np.zeros(x.shape[1]), -30.0)))
-                out_of_fold = np.zeros(len(y))
-            else:
-                out_of_fold = np.zeros(len(y))
-                for k in range(folds):
-                    out_of_fold[fold == k] = _prob(x[fold == k], _logistic(x[fold != k], goal[fold != k]))
-                links.append((name, _logistic(x, goal)))
-            x = np.hstack([x, out_of_fold[:, None]])
+                links.append((name, np.append(np.zeros(d + at), -30.0)))
+                continue
+            for k in range(folds):
+                out_of_fold[fold == k] = _prob(own[fold == k], _logistic(own[fold != k], goal[fold != k]))
+            links.append((name, _logistic(own, goal)))
         threshold = best_threshold(out_of_fold, y)
         return cls(words, links, threshold)
 
@@ -154,7 +173,7 @@ def best_threshold(prob: np.ndarray, y: np.ndarray) -> float:
     grid = np.linspace(0.05, 0.95, 91)
     cost = np.array([2 * ((prob >= t) & (y == 0)).sum() + ((prob < t) & (y == 1)).sum() for t in grid])
     good = grid[cost == cost.min()]
-    return float(0.25 * good.min() + 0.75 * good.max())
+    return max(LEAST_PROBABILITY, float(0.25 * good.min() + 0.75 * good.max()))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[list[str], list[int]]:
