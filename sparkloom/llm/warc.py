@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ._shared import attach, written
@@ -115,9 +115,13 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType):
         self.path, self.names = path, schema.names
         self.wanted: dict[str, set] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
+            if isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in self.PUSHED:
+                self.present.add(f.attribute[0])
+                continue
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
             if values is not None and len(f.attribute) == 1 and f.attribute[0] in self.PUSHED:
                 self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
@@ -137,7 +141,7 @@ class WarcReader(DataSourceReader):
         store, name = _store(partition.uri)
         with store.open_input_file(name) as raw:
             stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(_Seekable(raw), 1 << 20)
-            for record in read_records(stream, self.wanted, "payload" in self.names):
+            for record in read_records(stream, self.wanted, "payload" in self.names, self.present):
                 yield tuple(record[n] for n in self.names)
 
 
@@ -182,8 +186,8 @@ def _headers(stream) -> dict[str, str]:
     return out
 
 
-def read_records(stream, wanted: dict[str, set], with_payload: bool) -> Iterator[dict]:
-    """The records of a WARC stream whose headers hold one of ``wanted``'s values for each of its columns."""
+def read_records(stream, wanted: dict[str, set], with_payload: bool, present: set[str] = frozenset()) -> Iterator[dict]:
+    """The records of a WARC stream whose headers hold one of ``wanted``'s values for each of its columns, and all of ``present``."""
     while line := stream.readline():
         if not line.strip():
             continue
@@ -192,7 +196,7 @@ def read_records(stream, wanted: dict[str, set], with_payload: bool) -> Iterator
         head = _headers(stream)
         left = int(head["content-length"])
         record = {
-            "record_id": head.get("warc-record-id", "").strip("<>"),
+            "record_id": head.get("warc-record-id", "").strip("<>") or None,
             "record_type": head.get("warc-type"),
             "target_uri": head.get("warc-target-uri"),
             "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
@@ -200,7 +204,7 @@ def read_records(stream, wanted: dict[str, set], with_payload: bool) -> Iterator
             "payload_bytes": None,
             "payload": None,
         }
-        if all(record[k] in v for k, v in wanted.items()):
+        if all(record[k] in v for k, v in wanted.items()) and all(record[k] is not None for k in present):
             body = 0
             if head.get("content-type", "").startswith("application/http"):
                 status = stream.readline()
