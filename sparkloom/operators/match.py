@@ -58,7 +58,8 @@ class Matcher:
         df = merged(dfs)
         kinds = {f.name: f.dataType for f in df.schema.fields}
         names = list(dict.fromkeys(p for t in tables for p in t.props))
-        node = Node(slot, {p: kinds[f"{slot}_{p}"] for p in names}, tuple(t.labels for t in tables), any(t.has_vectors for t in tables))
+        key = tables[0].key if len(tables) == 1 else None
+        node = Node(slot, {p: kinds[f"{slot}_{p}"] for p in names}, tuple(t.labels for t in tables), any(t.has_vectors for t in tables), key)
         return df, node
 
     def keep(self, df: DataFrame, entity: Any, props: tuple, scope: dict[str, Any]) -> DataFrame:
@@ -99,6 +100,8 @@ class Matcher:
         return replace(rows, scope={k: v for k, v in rows.scope.items() if not k.startswith("?")})
 
     def node(self, rows: Rows, n: A.NodePattern, alone: bool) -> Rows:
+        if n.var == rows.virtual:
+            return rows
         if n.var in rows.scope:
             bound = rows.scope[n.var]
             if not isinstance(bound, Node):
@@ -124,10 +127,31 @@ class Matcher:
             return step
         slot = new_slot("e")
         edges, edge = self.edges(tables, slot)
-        rows = rows.with_df(rows.df.join(edges, a.id == col(f"{slot}__near")), scope={**rows.scope, **({e.var: edge} if e.var else {})})
+        near_key, far_key = (self._edge_key(tables, edge, end) for end in ("near", "far"))
+        scope = {**rows.scope, **({e.var: edge} if e.var else {})}
+        if rows.virtual:
+            rows = self._landed(rows, a, edges, col(f"{slot}__near"), near_key, scope)
+        else:
+            same = col(a.key_column) == col(near_key) if near_key and a.key_column else a.id == col(f"{slot}__near")
+            rows = rows.with_df(rows.df.join(edges, same), scope=scope)
         rows = rows.with_df(self.keep(rows.df, edge, e.props, {**rows.scope, e.var or "?": edge}))
         labels = {t.dst_label if d == "out" else t.src_label for t, d in tables}
-        return self.arrive(rows, far, col(f"{slot}__far"), None if None in labels else labels)
+        return self.arrive(rows, far, col(f"{slot}__far"), None if None in labels else labels, far_key)
+
+    @staticmethod
+    def _edge_key(tables: list[tuple[EdgeTable, str]], edge: Edge, end: str) -> str | None:
+        """The edges' column that holds the key of the nodes at an end, if all tables agree on one."""
+        keys = {t.src_key if (d == "out") == (end == "near") else t.dst_key for t, d in tables}
+        (key,) = keys if len(keys) == 1 else (None,)
+        return f"{edge.slot}_{key}" if key else None
+
+    @staticmethod
+    def _landed(rows: Rows, a: Node, found: DataFrame, near_id: Column, near_key: str | None, scope: dict[str, Any]) -> Rows:
+        """Rows that begin with a hop: the near node's id, and its key if the hop has it, come from there."""
+        found = found.withColumn(f"{a.slot}__id", near_id)
+        if near_key and a.key:
+            found = found.withColumn(f"{a.slot}_{a.key}", col(near_key))
+        return Rows(found, scope, virtual=None)
 
     def _fits(self, t: EdgeTable, direction: str, near: tuple, far: tuple | None, labels: tuple[str, ...]) -> bool:
         """Whether an edge table can connect nodes of the label sets in question."""
@@ -147,21 +171,31 @@ class Matcher:
         near_end = "src" if direction == "out" else "dst"
         slot = new_slot("e")
         if t.key.owner == near_end:
-            if a.props is None or t.key.prop not in a.props or any(t.key.label not in x for x in a.tables):
+            if rows.virtual or a.props is None or t.key.prop not in a.props or any(t.key.label not in x for x in a.tables):
                 return None
             far_id = t.key.other_id(lambda p: col(f"{a.slot}_{p}"))
-            df = rows.df.withColumn(f"{slot}__far", far_id).where(col(f"{slot}__far").isNotNull())
+            key = f"{a.slot}_{t.key.prop}"
+            df = rows.df.where(col(key).isNotNull()).withColumn(f"{slot}__far", far_id)
             rows, far_col, owner = rows.with_df(df), col(f"{slot}__far"), a.id
             rows = self._key_edge(rows, e, slot, t, owner, *((a.id, far_col) if near_end == "src" else (far_col, a.id)))
-            return self.arrive(rows, far, far_col, {t.dst_label if direction == "out" else t.src_label})
+            return self.arrive(rows, far, far_col, {t.dst_label if direction == "out" else t.src_label}, key)
         if bound is not None:
             return None
         tables = [x for x in self.catalog.node_tables((t.key.label, *far.labels))]
         df, node = self.scan(far.var, far.labels, far.props, tables, (f"{slot}__near", t.key.other_id))
         scope = {**rows.scope, far.var: node}
-        joined = rows.df.join(self.keep(df, node, far.props, scope) if not _uses(far.props) else df, a.id == col(f"{slot}__near"))
-        if _uses(far.props):
+        free = not _uses(far.props)
+        if free:
+            df = self.keep(df, node, far.props, scope)
+        key = f"{node.slot}_{t.key.prop}"
+        if rows.virtual:
+            joined = self._landed(rows, a, df.where(col(key).isNotNull()), col(f"{slot}__near"), key, scope).df
+        else:
+            same = col(a.key_column) == col(key) if a.key_column else a.id == col(f"{slot}__near")
+            joined = rows.df.join(df, same)
+        if not free:
             joined = self.keep(joined, node, far.props, scope)
+        rows = replace(rows, virtual=None)
         rows = rows.with_df(joined, scope=scope)
         return self._key_edge(rows, e, slot, t, node.id, *((a.id, node.id) if near_end == "src" else (node.id, a.id)))
 
@@ -187,11 +221,14 @@ class Matcher:
         props = {p: kinds[f"{slot}_{p}"] for t, _ in tables for p in t.props}
         return df, Edge(slot, props, tuple(dict.fromkeys(t.type for t, _ in tables)))
 
-    def arrive(self, rows: Rows, far: A.NodePattern, far_id: Column, labels: set | None) -> Rows:
-        """Binds the far node of a hop to an id; its node tables are joined only if more than the id is needed."""
+    def arrive(self, rows: Rows, far: A.NodePattern, far_id: Column, labels: set | None, far_key: str | None = None) -> Rows:
+        """Binds the far node of a hop to an id; its node tables are joined only if more than the id is needed.
+
+        ``far_key`` is a column with the far node's key, which is compared instead where the node has one.
+        """
         if far.var in rows.scope:
             bound = rows.scope[far.var]
-            df = self.labelled(rows.df.where(bound.id == far_id), bound, far.labels)
+            df = self.labelled(rows.df.where(col(bound.key_column) == col(far_key) if far_key and bound.key_column else bound.id == far_id), bound, far.labels)
             return rows.with_df(self.keep(df, bound, far.props, rows.scope))
         tables = self.catalog.node_tables(far.labels)
         if labels is not None:
@@ -203,9 +240,10 @@ class Matcher:
             return rows.with_df(rows.df.withColumn(f"{slot}__id", far_id), scope={**rows.scope, far.var: node})
         df, node = self.scan(far.var, far.labels, far.props, tables)
         scope = {**rows.scope, far.var: node}
+        same = col(node.key_column) == col(far_key) if far_key and node.key_column else far_id == node.id
         if not _uses(far.props):  # before the join: they do not depend on the rows
-            return rows.with_df(rows.df.join(self.keep(df, node, far.props, scope), far_id == node.id), scope=scope)
-        return rows.with_df(self.keep(rows.df.join(df, far_id == node.id), node, far.props, scope), scope=scope)
+            return rows.with_df(rows.df.join(self.keep(df, node, far.props, scope), same), scope=scope)
+        return rows.with_df(self.keep(rows.df.join(df, same), node, far.props, scope), scope=scope)
 
     # ----------------------------------------------------------------- variable length
 
@@ -241,14 +279,15 @@ class Matcher:
                     frontier = frontier.join(visited, [*identity, here], "left_anti").select(*[col(c) for c in names])
             else:
                 frontier = frontier.withColumn(seen, F.concat(col(seen), F.array("far"))).withColumn(here, F.col("far")).drop("near", "far")
-            if most > MOST_UNROLLED:
+            stop = most > MOST_UNROLLED and (search or depth % MOST_UNROLLED == 0)
+            if stop:
                 frontier = written(frontier, "level")
             if search:
                 mine = frontier.select(*identity, here)
                 visited = mine if visited is None else visited.unionAll(mine)
             if depth >= least:
                 levels.append(frontier)
-            if most > MOST_UNROLLED and not has_rows(frontier):
+            if stop and not has_rows(frontier):
                 break
         df = levels[0] if levels else frontier.where(F.lit(False))
         for level in levels[1:]:
@@ -263,24 +302,44 @@ class Matcher:
         if rows.df is None:
             found = self.match(rows, paths)
             return found.with_df(self.catalog.spark.range(1).select().join(found.df, F.lit(True), "left"))
-        seed, on = self._seed(rows, paths)
-        found = self.match(seed, paths)
+        found, on, plain = self._from_seed(rows, paths)
         new = {k: v for k, v in found.scope.items() if k not in rows.scope}
         carried = [c for b in new.values() for c in b.columns]
         right = found.df.select(*[col(c).alias(f"{c}~") for c in on], *[col(c) for c in carried])
-        df = rows.df.join(right, _same(on), "left").drop(*[f"{c}~" for c in on])
+        df = rows.df.join(right, _same(on, plain), "left").drop(*[f"{c}~" for c in on])
         return Rows(df, {**rows.scope, **new})
 
     def absent(self, rows: Rows, paths: tuple) -> Rows:
         """The rows without a match, as a left anti join; the pattern's variables are null."""
-        seed, on = self._seed(rows, paths)
-        found = self.match(seed, paths)
+        found, on, plain = self._from_seed(rows, paths)
         new = {k: v for k, v in found.scope.items() if k not in rows.scope}
         kinds = {f.name: f.dataType for f in found.df.schema.fields}
-        df = rows.df.join(found.df.select(*[col(c).alias(f"{c}~") for c in on]), _same(on), "left_anti")
+        df = rows.df.join(found.df.select(*[col(c).alias(f"{c}~") for c in on]), _same(on, plain), "left_anti")
         df = df.withColumns({c: F.lit(None).cast(kinds[c]) for b in new.values() for c in b.columns})
         return Rows(df, {**rows.scope, **new})
 
+    def _from_seed(self, rows: Rows, paths: tuple) -> tuple[Rows, list[str], bool]:
+        """The pattern's matches, the columns that join them to the rows, and whether all of these identify nodes.
+
+        If one bound node at an end of a single path of single hops is all the pattern shares with the rows, the
+        matches start from the edges themselves and meet the rows in that one join.
+        """
+        bound = {n.var for p in paths for n in p.nodes if n.var in rows.scope} | {e.var for p in paths for e in p.edges if e.var in rows.scope}
+        used = set().union(*[_names(part.props) for p in paths for part in (*p.nodes, *p.edges)]) & set(rows.scope)
+        if len(paths) == 1 and len(bound) == 1 and not used and paths[0].edges and not any(e.hops for e in paths[0].edges):
+            (var,) = bound
+            nodes = paths[0].nodes
+            where = [i for i, n in enumerate(nodes) if n.var == var]
+            node = rows.scope[var]
+            if isinstance(node, Node) and where in ([0], [len(nodes) - 1]) and not nodes[where[0]].props and all(set(nodes[where[0]].labels) <= set(t) for t in node.tables):
+                alone = replace(node, props={node.key: node.props[node.key]} if node.key_column else None, has_vector=False)
+                found = self.match(Rows(None, {var: alone}, virtual=var), paths)
+                if node.key_column and node.key_column in found.df.columns:
+                    return found, [node.key_column], True
+                return found, [f"{node.slot}__id"], True
+        seed, on = self._seed(rows, paths)
+        return self.match(seed, paths), on, False
+
     def _seed(self, rows: Rows, paths: tuple) -> tuple[Rows, list[str]]:
         """What the pattern needs of the rows, once each, and the columns that join its matches back."""
         used: set[str] = set()
@@ -290,12 +349,11 @@ class Matcher:
                 if part.var:
                     used.add(part.var)
         scope = {k: v for k, v in rows.scope.items() if k in used}
-        columns = [c for b in scope.values() for c in b.columns]
         on = [c for b in scope.values() for c in (b.columns if isinstance(b, Scalar) else b.columns[:1])]
         if not on:
             return Rows(), on
         # a bound node brings its other columns along only if the pattern reads them
-        thin = {k: replace(v, props=None, has_vector=False) if isinstance(v, Node) and not self._reads(k, v, paths) else v for k, v in scope.items()}
+        thin = {k: replace(v, props=None, has_vector=False, key=None) if isinstance(v, Node) and not self._reads(k, v, paths) else v for k, v in scope.items()}
         columns = [c for b in thin.values() for c in b.columns]
         seed = rows.df.select(*[col(c) for c in columns])
         present = [v.id for v in thin.values() if not isinstance(v, Scalar)]
@@ -329,9 +387,9 @@ def _uses(props: tuple) -> bool:
     return bool(_names(props))
 
 
-def _same(on: list[str]) -> Column:
+def _same(on: list[str], plain: bool) -> Column:
     """Join condition for columns and their copies; ids are compared plainly, as null ids match nothing."""
     out = F.lit(True)
     for c in on:
-        out = out & (col(c) == col(f"{c}~") if c.endswith(("__id", "__eid")) else col(c).eqNullSafe(col(f"{c}~")))
+        out = out & (col(c) == col(f"{c}~") if plain or c.endswith(("__id", "__eid")) else col(c).eqNullSafe(col(f"{c}~")))
     return out

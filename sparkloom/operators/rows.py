@@ -36,6 +36,7 @@ class Node:
     props: dict[str, T.DataType] | None
     tables: tuple[tuple[str, ...], ...]
     has_vector: bool = False
+    key: str | None = None  # a property that stands for the id
 
     @property
     def id(self) -> Column:
@@ -49,6 +50,10 @@ class Node:
     def vector(self) -> Column | None:
         return col(f"{self.slot}__vec") if self.has_vector else None
 
+    @property
+    def key_column(self) -> str | None:
+        return f"{self.slot}_{self.key}" if self.key and self.props and self.key in self.props else None
+
     @property
     def columns(self) -> list[str]:
         if self.props is None:
@@ -138,6 +143,8 @@ class Rows:
     sortable: dict[Any, Value] = field(default_factory=dict)
     #: Sort keys in force: (column name, descending); an aggregate that keeps order sorts by them.
     order: tuple[tuple[str, bool], ...] = ()
+    #: The node whose ids the first hop brings along, if the rows are no table yet.
+    virtual: str | None = None
     #: Output of a RETURN: (name, column or binding).
     output: tuple | None = None
 

@@ -22,11 +22,15 @@ EDGE_COLUMNS = ("_eid", "_src", "_dst")
 
 @dataclass(frozen=True)
 class NodeTable:
-    """Nodes of one set of labels: ``_id``, typed property columns and, if nodes have vectors, ``_vec``."""
+    """Nodes of one set of labels: ``_id``, typed property columns and, if nodes have vectors, ``_vec``.
+
+    ``key`` is a property that stands for the id (equal if and only if the ids are), so that joins can compare it.
+    """
 
     labels: tuple[str, ...]
     df: DataFrame
     changes: int = 0
+    key: str | None = None
 
     @property
     def props(self) -> dict[str, T.DataType]:
@@ -57,7 +61,10 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """Edges of one type: ``_eid, _src, _dst`` and property columns; labels of the ends where they are known."""
+    """Edges of one type: ``_eid, _src, _dst`` and property columns; labels of the ends where they are known.
+
+    ``src_key`` and ``dst_key`` are properties that hold the key property of the node at that end.
+    """
 
     type: str
     df: DataFrame
@@ -65,6 +72,8 @@ class EdgeTable:
     dst_label: str | None = None
     key: ForeignKey | None = None
     changes: int = 0
+    src_key: str | None = None
+    dst_key: str | None = None
 
     @property
     def props(self) -> dict[str, T.DataType]:

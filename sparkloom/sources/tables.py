@@ -63,7 +63,7 @@ class TableGraph:
                 df = df.join(self.table("labels"), "doc_id", "left")
             vector = [F.col("embedding").alias("_vec")] if label == "Vec" else []
             cols = [F.col(c) for c in df.columns if c != "embedding"]
-            self._nodes[label] = NodeTable((label,), df.select(node_id(label, *keys).alias("_id"), *cols, *vector))
+            self._nodes[label] = NodeTable((label,), df.select(node_id(label, *keys).alias("_id"), *cols, *vector), key=keys[0] if len(keys) == 1 else None)
         return self._nodes[label]
 
     def edges(self, kind: str) -> list[EdgeTable]:
@@ -89,13 +89,13 @@ def _contains(g: TableGraph) -> list[EdgeTable]:
     # no set of key columns is unique in these tables: the whole line tells lines apart
     eid = F.concat_ws(":", F.lit("CONTAINS"), "l_orderkey", "l_partkey", "l_suppkey", F.hex(F.xxhash64(*lines.columns)))
     df = lines.select(eid.alias("_eid"), node_id("Order", "l_orderkey").alias("_src"), node_id("Part", "l_partkey").alias("_dst"), *lines.columns)
-    return [EdgeTable("CONTAINS", df, "Order", "Part")]
+    return [EdgeTable("CONTAINS", df, "Order", "Part", src_key="l_orderkey", dst_key="l_partkey")]
 
 
 def _supplies(g: TableGraph) -> list[EdgeTable]:
     pairs = g.table("lineitem").select("l_suppkey", "l_partkey").distinct()
-    df = pairs.select(F.concat_ws(":", F.lit("SUPPLIES"), "l_suppkey", "l_partkey").alias("_eid"), node_id("Supplier", "l_suppkey").alias("_src"), node_id("Part", "l_partkey").alias("_dst"))
-    return [EdgeTable("SUPPLIES", df, "Supplier", "Part")]
+    df = pairs.select(F.concat_ws(":", F.lit("SUPPLIES"), "l_suppkey", "l_partkey").alias("_eid"), node_id("Supplier", "l_suppkey").alias("_src"), node_id("Part", "l_partkey").alias("_dst"), *pairs.columns)
+    return [EdgeTable("SUPPLIES", df, "Supplier", "Part", src_key="l_suppkey", dst_key="l_partkey")]
 
 
 def _next(g: TableGraph) -> list[EdgeTable]:
