@@ -55,7 +55,12 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
+#: Rows that go to a Python worker at a time: texts can be long.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +68,15 @@ def salted(*cols: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
+def thinned(df: DataFrame, key: str, most: int, rows: int, slack: int = 4) -> DataFrame:
+    """About ``slack * most`` of ``rows`` rows, by a hash of ``key``; all if there are no more than that.
+
+    What a bounded sample is then ordered and cut from: tasks send it few rows, however many tasks there are.
+    """
+    share = slack * most / max(rows, 1)
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def attach(df: DataFrame, keys: list[str], spread: Column, partial: dict[str, Column], final: dict[str, Column], salts: int = SALTS) -> DataFrame:
     """Each row of ``df`` with aggregates of its key group.
 

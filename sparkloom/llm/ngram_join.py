@@ -49,7 +49,7 @@ DEEPEST = 5
 DENSE = 0.5
 TARGET_RECALL = 1 - 1e-6
 #: Words whose hashes a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)

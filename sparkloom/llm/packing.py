@@ -47,7 +47,7 @@ class WordIds:
     ``_WORDS`` and encode the bytes of each word alone; texts outside Latin letters take the tokenizer's own way.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -63,7 +63,7 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         ids = self.by_word.get(word)
         if ids is None:
-            if len(self.by_word) >= self.most:
+            if 2 * len(self.by_word) >= self.most:
                 self.by_word.clear()
             tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.spelling))
             ids = self.by_word[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
@@ -100,7 +100,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                 ids = encode(text.as_py() or "") + bytes(4)
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for col, value in zip(out, (i, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
+                    for col, value in zip(out, (i, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
                         col.append(value)
             cols = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -201,12 +201,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     """``pieces`` (of ``tokenise``, written down: it is read twice) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
     dealt = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    parts = {(r[0], r[1]): r[2] for r in dealt.groupBy("length", "__salt").count().collect()}  # at most capacity x salts numbers
-    hist: dict[int, int] = {}
-    before: dict[int, list[int]] = {}
-    for (length, salt), n in sorted(parts.items()):
-        before.setdefault(length, [0] * salts)[salt] = hist.get(length, 0)
-        hist[length] = hist.get(length, 0) + n
+    # at most capacity x salts numbers, whatever the number of pieces
+    parts = dealt.groupBy("length", "__salt").count().toPandas()
+    counts = np.zeros((capacity + 1, salts), dtype=np.int64)
+    counts[parts["length"].to_numpy(), parts["__salt"].to_numpy()] = parts["count"].to_numpy()
+    before = np.cumsum(counts, axis=1) - counts  # pieces of a length in the salts before
+    hist = {int(k): int(counts[k].sum()) for k in np.flatnonzero(counts.sum(1))}
     slots: dict[int, list[tuple[int, int, int, int]]] = {k: [] for k in hist}  # first rank, first sequence, per sequence, offset
     taken, base = dict.fromkeys(hist, 0), 0
     for p in complete_bins(hist, capacity):
@@ -227,7 +227,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
             seq, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
             for k in np.unique(length).tolist():
                 mine = np.flatnonzero(length == k)
-                r = rank[mine] + np.array(before[k], dtype=np.int64)[salt[mine]]
+                r = rank[mine] + before[k, salt[mine]]
                 t = tables[k]
                 s = t[np.searchsorted(t[:, 0], r, side="right") - 1]
                 seq[mine] = s[:, 1] + (r - s[:, 0]) // s[:, 2]
