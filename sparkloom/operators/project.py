@@ -68,7 +68,7 @@ def _bind(v: Value, known: dict[str, Any]) -> tuple[Any, list[Column]]:
 
 
 def _plain(rows: Rows, items: tuple, names: list[str], params: dict[str, Any], sort_keys: tuple, spark) -> Rows:
-    compiler = Compiler(rows.scope, params)
+    compiler = Compiler(rows.scope, params, rows.known)
     scope, columns, sortable = {}, {}, {}
     for item, name in zip(items, names, strict=True):
         binding, cols = _bind(compiler(item.expr), scope)
@@ -101,7 +101,7 @@ def _calls(e: Any, out: dict[A.Call, None]) -> None:
 
 
 def _aggregate(rows: Rows, items: tuple, names: list[str], params: dict[str, Any], spark) -> Rows:
-    compiler = Compiler(rows.scope, params)
+    compiler = Compiler(rows.scope, params, rows.known)
     df: DataFrame = rows.start(spark)
     known: dict[Any, Value] = {}
     scope: dict[str, Any] = {}

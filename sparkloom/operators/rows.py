@@ -141,6 +141,8 @@ class Rows:
     scope: dict[str, Any] = field(default_factory=dict)
     #: Expressions that the last projection left as columns, and those its ORDER BY may use.
     sortable: dict[Any, Value] = field(default_factory=dict)
+    #: Costly expressions over the variables in scope that are columns already.
+    known: dict[Any, Value] = field(default_factory=dict)
     #: Sort keys in force: (column name, descending); an aggregate that keeps order sorts by them.
     order: tuple[tuple[str, bool], ...] = ()
     #: The node whose ids the first hop brings along, if the rows are no table yet.

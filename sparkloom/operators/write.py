@@ -28,14 +28,14 @@ def _frozen(rows: Rows, name: str) -> Rows:
     return rows if rows.df is None or not rows.df.columns else rows.with_df(written(rows.df, name))
 
 
-def _property_columns(props: tuple, compiler: Compiler, slot: str) -> tuple[dict[str, Any], dict[str, Any]]:
-    """Columns ``<slot>_<key>`` for the inline properties and their types; a null has no column."""
+def _property_columns(props: tuple, compiler: Compiler, slot: str) -> dict[str, Any]:
+    """Columns ``<slot>_<key>`` for the inline properties; a null has no column."""
     cols = {}
     for key, e in props:
         v = compiler.stored(e)
         if v.type != "null":
             cols[f"{slot}_{key}"] = v.col
-    return cols, {}
+    return cols
 
 
 def create(catalog: Catalog, rows: Rows, paths: tuple, params: dict[str, Any]) -> tuple[Catalog, Rows]:
@@ -53,7 +53,7 @@ def create(catalog: Catalog, rows: Rows, paths: tuple, params: dict[str, Any]) -
                 ends.append(scope[n.var])
                 continue
             slot = new_slot("n")
-            cols, _ = _property_columns(n.props, Compiler(scope, params), slot)
+            cols = _property_columns(n.props, Compiler(scope, params), slot)
             new_id = F.lit(str(uuid.uuid4())) if single else F.uuid()
             df = df.withColumns({f"{slot}__id": new_id, f"{slot}__labels": F.array(*[F.lit(x) for x in n.labels]).cast("array<string>"), **cols})
             kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -67,7 +67,7 @@ def create(catalog: Catalog, rows: Rows, paths: tuple, params: dict[str, Any]) -
             a, b = (ends[i + 1], ends[i]) if e.direction == "in" else (ends[i], ends[i + 1])
             slot = new_slot("e")
             kind = e.types[0] if e.types else ""
-            cols, _ = _property_columns(e.props, Compiler(scope, params), slot)
+            cols = _property_columns(e.props, Compiler(scope, params), slot)
             df = df.withColumns({f"{slot}__eid": F.lit(str(uuid.uuid4())) if single else F.uuid(), f"{slot}__src": a.id, f"{slot}__dst": b.id, f"{slot}__type": F.lit(kind), **cols})
             kinds = {f.name: f.dataType for f in df.schema.fields}
             edge = Edge(slot, {c.removeprefix(f"{slot}_"): kinds[c] for c in cols}, (kind,))

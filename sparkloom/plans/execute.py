@@ -13,10 +13,10 @@ from ..functions.expressions import Compiler
 from ..operators import knn, write
 from ..operators.match import Matcher
 from ..operators.project import project, result, sort
-from ..operators.rows import Rows, Scalar, new_slot
+from ..operators.rows import Rows, Scalar, col, new_slot, shaped
 from ..sources.catalog import Catalog
 from . import ast as A
-from .usage import absent_variable, needed_in_full, only_endpoints_matter
+from .usage import absent_variable, needed_in_full, only_endpoints_matter, repeated_kernels
 
 
 def execute(statement: A.Statement, catalog: Catalog, params: dict[str, Any]) -> tuple[Catalog, DataFrame | None]:
@@ -36,11 +36,16 @@ def execute(statement: A.Statement, catalog: Catalog, params: dict[str, Any]) ->
                     rows = matcher.optional(rows, paths) if optional else matcher.match(rows, paths)
             case A.Where(condition):
                 if i != skip_to:
-                    compiler = Compiler(rows.scope, params, rows.sortable)
-                    df = rows.start(catalog.spark)
-                    for c in compiler.condition(condition):
+                    df, known = rows.start(catalog.spark), dict(rows.known)
+                    for e in repeated_kernels(clauses, i):  # computed once, before the filter
+                        v = Compiler(rows.scope, params)(e)
+                        if e not in known and v.type != "null":
+                            slot = new_slot("v")
+                            df = df.withColumn(slot, v.col)
+                            known[e] = shaped(col(slot), v)
+                    for c in Compiler(rows.scope, params, {**rows.sortable, **known}).condition(condition):
                         df = df.where(c)
-                    rows = rows.with_df(df)
+                    rows = rows.with_df(df, known=known)
             case A.Project():
                 following = clauses[i + 1] if i + 1 < len(clauses) else None
                 rows = project(rows, clause, params, following.keys if isinstance(following, A.OrderBy) else (), catalog.spark)

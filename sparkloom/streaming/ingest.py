@@ -11,21 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.catalog import Catalog, EdgeTable
 
 
-def _start(stream: DataFrame, folder: str, name: str, checkpoint: str) -> StreamingQuery:
+def _start(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_nodes(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Takes in rows with ``_id`` and properties (and ``_vec``)."""
-    return _start(stream, folder, f"nodes_{abs(hash(folder))}", checkpoint)
+    return _start(stream, folder, checkpoint)
 
 
 def stream_edges(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Takes in rows with ``_eid, _src, _dst`` and properties."""
-    return _start(stream, folder, f"edges_{abs(hash(folder))}", checkpoint)
+    return _start(stream, folder, checkpoint)
 
 
 def with_streamed(catalog: Catalog, spark: SparkSession, nodes: dict[tuple[str, ...], str] | None = None, edges: dict[str, str] | None = None) -> Catalog:

@@ -66,6 +66,15 @@ def test_no_query_runs_python_workers(spark, sf):
         assert "Python" not in text and "Arrow" not in text, name
 
 
+def test_a_kernel_in_where_and_return_is_computed_once(spark, sf):
+    from sparkloom.queries import Spec
+
+    text = "MATCH (e:Vec) WHERE vector_similarity(e.embedding,$q) > 0.1 RETURN e.vec_id AS id, vector_similarity(e.embedding,$q) AS s ORDER BY s DESC, id LIMIT 5"
+    df = Spec("Vec", "", text, query_vector=True)(spark, sf)
+    rows = df.collect()
+    assert len(rows) == 5 and rows[0].s == pytest.approx(1) and all(r.s > 0.1 for r in rows)
+
+
 def test_many_queries_are_dealt_into_blocks(spark, sf, monkeypatch):
     from sparkloom.operators import knn
 
