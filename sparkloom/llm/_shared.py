@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +61,29 @@ def has_rows(df: DataFrame) -> bool:
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """What operators with Python code need: small batches, and this package on the workers' path.
+
+    The package is sent once to each application through Spark's own file server, so that executors need not have it
+    installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    package = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / f"{package.name}-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

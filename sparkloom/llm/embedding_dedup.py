@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import attach, components, discard, forest, has_rows, runs, written
+from ._shared import attach, components, discard, forest, has_rows, prepare, runs, written
 
 THRESHOLD = 0.98
 DIMS = 6
@@ -215,6 +215,7 @@ def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
+    prepare(spark)
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     rows, path = written(_unit_vectors(vectors), "vectors")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("unit").alias("unit"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import attach, components, discard, forest, has_rows, runs, written
+from ._shared import attach, components, discard, forest, has_rows, prepare, runs, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -275,6 +275,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     document is the one of its group that stays.
     """
     spark = docs.sparkSession
+    prepare(spark)
     profiles, made = written(_profiles(docs, words), "profiles")
     used = [made]
     # one row of each class; `first` of equal sets is any of them

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ._shared import attach, written
+from ._shared import attach, prepare, written
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -241,6 +241,7 @@ def verify(record: dict) -> bool:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").load(path)
