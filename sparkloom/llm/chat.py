@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import runs, written
+from ._shared import prepare, runs, thinned, written
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Spellings of speaker markers (fixed values).
@@ -130,7 +130,7 @@ def _ordered(turns: DataFrame, block_turns: int) -> DataFrame:
 def _sample(turns: DataFrame, most: int) -> list[list[tuple[str | None, str | None]]]:
     """Whole conversations by the hash of their key, up to about ``most`` turns (a longer one is cut)."""
     sizes = turns.groupBy("conv").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
-    first = sizes.orderBy(F.xxhash64("conv"), "conv").limit(most)
+    first = thinned(sizes, "conv", most, sizes.count()).orderBy(F.xxhash64("conv"), "conv").limit(most)
     chosen = first.withColumn("sum", F.sum("n").over(Window.orderBy(F.xxhash64("conv"), "conv"))).where(F.col("sum") - F.col("n") < most)
     rows = turns.join(F.broadcast(chosen.select("conv")), "conv").orderBy(F.xxhash64("conv"), "conv", F.asc_nulls_first("turn"), "role", "text").limit(2 * most)
     out: dict[str, list] = {}
@@ -142,6 +142,7 @@ def _sample(turns: DataFrame, most: int) -> list[list[tuple[str | None, str | No
 def format_chats(turns: DataFrame, most_turns: int = MOST_TURNS, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """``conv_id, turn, role, role_recovered, rendered`` of each row of ``turns`` (conv_id, turn, role, text)."""
     spark = turns.sparkSession
+    prepare(spark)
     ordered, _ = written(_ordered(turns, block_turns), "turns")  # keys of null conversations must not change when a task is run again
     model = spark.sparkContext.broadcast(RoleModel.fit(_sample(ordered, most_turns)))
     firsts = ordered.groupBy("conv").agg(F.min("block").alias("first"), F.max("block").alias("last"))

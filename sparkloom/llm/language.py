@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import prepare, written
+
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 200
 LANDMARKS = 96
@@ -129,6 +131,10 @@ def learning_sample(docs: DataFrame, learn: Column, per_language: int = PER_LANG
     """Texts and languages: of each language the rows with the smallest hash, ``per_language`` at most."""
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    # about four times as many of each language by another hash, so that tasks pass on few texts, however many tasks there are
+    share = rows.groupBy("lang").agg((F.lit(4.0 * per_language * (1 << 30)) / F.count("*")).alias("share"))
+    share, _ = written(share, "shares")  # a few rows, known to be few when the join is planned
+    rows = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("share")).drop("share")
     rows = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["rank"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
@@ -137,6 +143,7 @@ def learning_sample(docs: DataFrame, learn: Column, per_language: int = PER_LANG
 def identify(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``doc_id, lang_pred, score`` of each row; ``learn`` tells which rows may teach."""
     spark = docs.sparkSession
+    prepare(spark)
     model = SpectrumClassifier.fit(*learning_sample(docs, learn, per_language))
     sent = spark.sparkContext.broadcast(model)  # bounded by the vocabulary, the landmarks and the slots
 

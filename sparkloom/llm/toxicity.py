@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import prepare, thinned
+
 #: Seed words of the categories (fixed values).
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "fool", "dumb"),
@@ -178,7 +180,8 @@ def best_threshold(prob: np.ndarray, y: np.ndarray) -> float:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[list[str], list[int]]:
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = lambda n, y: marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rows = dict(marks.groupBy("toxic").count().collect())
+    first = lambda n, y: thinned(marks.where(F.col("toxic") == y), "doc_id", n, rows.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(most_rows // 2, 1).unionByName(first(most_rows // 2, 0))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # most_rows rows at most
     # one row of each doc_id
@@ -190,6 +193,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """``doc_id, toxic, p_<category>...`` of each row of ``docs``."""
     spark = docs.sparkSession
+    prepare(spark)
     sent = spark.sparkContext.broadcast(ToxicityChain.fit(*labelled_sample(docs, labels, most_rows)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +209,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
 def clean_documents(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that are not toxic.  The text is scored in place: no shuffle."""
     spark = docs.sparkSession
+    prepare(spark)
     sent = spark.sparkContext.broadcast(ToxicityChain.fit(*labelled_sample(docs, labels, most_rows)))
     at = docs.columns.index("text")
 
