@@ -236,8 +236,10 @@ class Matcher:
         certain = labels is not None and all(set(x.labels) >= set(far.labels) for label in labels for x in self.catalog.node_tables((label,)))
         if certain and not far.props and far.var not in self.full:
             slot = new_slot("n")
-            node = Node(slot, None, tuple(t.labels for t in tables))
-            return rows.with_df(rows.df.withColumn(f"{slot}__id", far_id), scope={**rows.scope, far.var: node})
+            key = tables[0].key if len(tables) == 1 and far_key else None
+            node = Node(slot, None, tuple(t.labels for t in tables), key=key)
+            cols = {f"{slot}__id": far_id} | ({f"{slot}_{key}": col(far_key)} if key else {})
+            return rows.with_df(rows.df.withColumns(cols), scope={**rows.scope, far.var: node})
         df, node = self.scan(far.var, far.labels, far.props, tables)
         scope = {**rows.scope, far.var: node}
         same = col(node.key_column) == col(far_key) if far_key and node.key_column else far_id == node.id
@@ -268,7 +270,7 @@ class Matcher:
             steps = steps.distinct()
         here, seen = f"{slot}__here", f"{slot}__seen"
         frontier = rows.df.withColumn(here, a.id).withColumn(seen, F.array(a.id))
-        identity = [c for b in rows.scope.values() for c in (b.columns[:1] if not isinstance(b, Scalar) else b.columns)]
+        identity = list(dict.fromkeys(b.identity for b in rows.scope.values()))
         visited, levels = None, []
         for depth in range(1, most + 1):
             frontier = frontier.join(steps, col(here) == F.col("near")).where(~F.array_contains(col(seen), F.col("far")))
@@ -332,7 +334,7 @@ class Matcher:
             where = [i for i, n in enumerate(nodes) if n.var == var]
             node = rows.scope[var]
             if isinstance(node, Node) and where in ([0], [len(nodes) - 1]) and not nodes[where[0]].props and all(set(nodes[where[0]].labels) <= set(t) for t in node.tables):
-                alone = replace(node, props={node.key: node.props[node.key]} if node.key_column else None, has_vector=False)
+                alone = replace(node, props=None, has_vector=False, key=node.key if node.key_column else None)
                 found = self.match(Rows(None, {var: alone}, virtual=var), paths)
                 if node.key_column and node.key_column in found.df.columns:
                     return found, [node.key_column], True

@@ -51,8 +51,7 @@ def project(rows: Rows, clause: A.Project, params: dict[str, Any], sort_keys: tu
     else:
         done = _plain(rows, items, names, params, sort_keys if not clause.distinct else (), spark)
     if clause.distinct:
-        keys = [c for b in done.scope.values() for c in (b.columns if isinstance(b, Scalar) else b.columns[:1])]
-        done = done.with_df(done.df.dropDuplicates(keys))
+        done = done.with_df(done.df.dropDuplicates(list(dict.fromkeys(b.identity for b in done.scope.values()))))
     if clause.final:
         done = replace(done, output=tuple((n, done.scope[n]) for n in names))
     return done
@@ -113,8 +112,8 @@ def _aggregate(rows: Rows, items: tuple, names: list[str], params: dict[str, Any
         v = compiler(item.expr)
         if v.entity:
             # grouped by identity; the other columns are the same throughout a group
-            keys.append(col(v.entity.columns[0]))
-            carried += [F.any_value(col(c)).alias(c) for c in v.entity.columns[1:]]
+            keys.append(col(v.entity.identity))
+            carried += [F.any_value(col(c)).alias(c) for c in v.entity.columns if c != v.entity.identity]
             binding = v.entity
         else:
             slot = new_slot("k")
@@ -159,6 +158,9 @@ def aggregate(call: A.Call, compiler: Compiler, order: tuple) -> Value:
     v = compiler(call.args[0])
     c = v.entity.id if v.entity else v.col
     match name:
+        case "count" if v.entity:
+            c = col(v.entity.identity)
+            return Value(F.count_distinct(c) if call.distinct else F.count(c), "int")
         case "count":
             return Value(F.count_distinct(c) if call.distinct else F.count(c), "int")
         case "collect":

@@ -29,7 +29,7 @@ def col(name: str) -> Column:
 class Node:
     """A node variable: columns ``<slot>__id``, ``<slot>__labels``, ``<slot>__vec`` and ``<slot>_<property>``.
 
-    ``props`` is None if only the id is there (no expression asks for more).  ``tables`` are the label sets it can have.
+    ``props`` is None if only the id (and the key, if known) is there: no expression asks for more.  ``tables`` are the label sets it can have.
     """
 
     slot: str
@@ -52,12 +52,17 @@ class Node:
 
     @property
     def key_column(self) -> str | None:
-        return f"{self.slot}_{self.key}" if self.key and self.props and self.key in self.props else None
+        return f"{self.slot}_{self.key}" if self.key and (self.props is None or self.key in self.props) else None
+
+    @property
+    def identity(self) -> str:
+        """The column that tells nodes apart at least cost."""
+        return self.key_column or f"{self.slot}__id"
 
     @property
     def columns(self) -> list[str]:
         if self.props is None:
-            return [f"{self.slot}__id"]
+            return [f"{self.slot}__id", *([f"{self.slot}_{self.key}"] if self.key else [])]
         return [f"{self.slot}__id", f"{self.slot}__labels", *[f"{self.slot}_{p}" for p in self.props], *([f"{self.slot}__vec"] if self.has_vector else [])]
 
     def property(self, name: str) -> Value:
@@ -92,6 +97,10 @@ class Edge:
     def type(self) -> Column:
         return col(f"{self.slot}__type")
 
+    @property
+    def identity(self) -> str:
+        return f"{self.slot}__eid"
+
     vector = None
 
     @property
@@ -123,6 +132,10 @@ class Scalar:
     def columns(self) -> list[str]:
         return [self.name]
 
+    @property
+    def identity(self) -> str:
+        return self.name
+
     def value(self) -> Value:
         return shaped(col(self.name), self)
 
