@@ -108,4 +108,36 @@ ORACLE = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op5_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null),
+        l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+              where list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(n, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.n),
+        g as (select n, min(c) as c from r group by n), k as (select a, count(*) as links from l group by a)
+        select vec_id, coalesce(links, 0)::bigint as n_links, c as component_id, vec_id = c as kept
+        from embeddings join g on n = vec_id left join k on a = vec_id""",
+    "op7_warc": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        f as (select page_id, body, sha1(body) || '0' as h, min(page_id) over (partition by body) as first from p)
+        select page_id, strlen(body)::bigint as payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, (5 * i // 4 + 1)::bigint, 2))::bigint >> (3 - 5 * i % 4)) & 31) + 1)::bigint, 1)), '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from f""",
+    "op10_ngram_jaccard_join": r"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') as t from documents),
+        s as (select doc_id, list_distinct(list_transform(range(1, greatest(len(t) - 4, 1)::bigint + 1),
+                  lambda i: array_to_string(t[i : i + 4], ' '))) as g from w where len(t) > 0),
+        u as (select doc_id, len(g) as n, unnest(g) as x from s),
+        c as (select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n) as m, any_value(b.n) as n
+              from u a join u b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b, k = m and k = n as same from c where k >= 0.8 * (m + n - k)),
+        d as (select doc_id, coalesce(min(b) filter (same), doc_id) as other, count(b) as links, count(b) filter (same) as copies
+              from documents left join l on a = doc_id group by doc_id),
+        r(n, c) as (select doc_id, doc_id from documents union select l.b, r.c from r join l on l.a = r.n),
+        h as (select n, min(c) as c from r group by n)
+        select doc_id, least(doc_id, other) as class_id, (copies + 1)::bigint as class_size, links::bigint as n_links,
+               c as group_id, doc_id = c as kept
+        from d join h on n = doc_id""",
 }
