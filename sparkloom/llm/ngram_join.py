@@ -121,6 +121,17 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, "doc_id long, key binary, n int, mins binary")
 
 
+def _keyed(docs: DataFrame, words: int) -> DataFrame:
+    """Texts with the keys of their shingle sets."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(shingles(t.as_py(), words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["text", "key"])
+
+    return docs.select("text").mapInArrow(build, "text string, key binary")
+
+
 def _coordinate(path, turn: int):
     """The ``turn``-th coordinate that a path (a column of hashes, or a literal for a run) samples."""
     return F.pmod(F.xxhash64(path, F.lit(turn)), F.lit(COORDINATES)).cast("int")
@@ -299,7 +310,13 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     wanted = wanted.join(classes.select("key", "rep", "weight"), "key").withColumnRenamed("key", "want")
     wanted, made = written(wanted, "wanted")
     used.append(made)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = rows.join(wanted.where("rep is not null"), F.col("doc_id") == F.col("rep")).drop("doc_id", "rep")
+    if has_rows(wanted.where("rep is null")):  # classes without any doc_id are found by their shingles
+        nameless = _keyed(rows.where("doc_id is null"), words).dropDuplicates(["key"])
+        texts = texts.unionByName(nameless.join(wanted.where("rep is null"), F.col("key") == F.col("want")).drop("key", "rep"))
+    if has_rows(profiles.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")):
+        texts = texts.dropDuplicates(["want", "text"])  # rows that repeat doc_id and text
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["text", "want", "weight", "paths", "tasks"]
@@ -319,7 +336,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["path", "a", "b"]):
             keys = group.column("key").to_pylist()
-            at = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]  # rows that repeat doc_id and text
+            at = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]  # texts of one doc_id with equal shingles
             if len(at) < 2:
                 continue
             group = group.take(pa.array(at))
@@ -370,6 +387,9 @@ def _with_classes(profiles: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each group of linked documents the one with the smallest doc_id."""
-    gone, _ = written(similarity_join(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs``, all columns, that stay: of each group of linked documents the one with the smallest doc_id.
+
+    A doc_id names one document: rows that share it stay or go together.  Rows without one cannot be named and stay.
+    """
+    gone, _ = written(similarity_join(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "near")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -86,6 +86,15 @@ def test_edge_cases(spark):
     assert run(spark, [(1, None)]).count() == 1
 
 
+def test_rows_without_ids_are_compared(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(w)), (None, " ".join(w[:-1] + ["x"])), (None, " ".join(w)), (5, " ".join(w[:-1] + ["y"])), (None, "other words here"), (None, None)]
+    got = sorted((r.n_links, r.group_id is None) for r in run(spark, rows).collect())
+    assert got == [(0, True), (0, True), (3, False), (3, False), (3, False), (3, False)]
+    df = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in [*rows, (6, " ".join(w))]], SCHEMA)
+    assert sorted((r.doc_id for r in one_of_each_group(df).collect()), key=repr) == [5, *[None] * 5]
+
+
 def test_one_of_each_group_keeps_columns_and_clean_documents(spark):
     rows = corpus(3, 80, [(10, 2)])
     df = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in rows], SCHEMA)
