@@ -303,3 +303,28 @@ def test_a_variable_length_variable_cannot_be_used(g):
     g.cypher(KNOWS)
     with pytest.raises(CypherTypeError):
         g.cypher("MATCH (a)-[r:KNOWS*1..2]->(b) RETURN type(r) AS t")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_variable_length_on_random_graphs(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    edges = {(r.randrange(8), r.randrange(8)) for _ in range(14)}
+    engine = GraphEngine(spark)
+    ids = engine.create_nodes_batch([(["R"], {"n": i}) for i in range(8)])
+    engine.create_edges_batch([(ids[a], ids[b], "E", {}) for a, b in sorted(edges)])
+
+    def paths(at, seen, left):
+        for a, b in edges:
+            if a == at and b not in seen:
+                yield seen[0], b, len(seen)
+                if left > 1:
+                    yield from paths(b, [*seen, b], left - 1)
+
+    every = [p for s in range(8) for p in paths(s, [s], 5)]
+    for least, most in ((1, 3), (2, 4), (1, 5)):
+        want = sorted((a, b) for a, b, d in every if least <= d <= most)
+        query = f"MATCH (a:R)-[:E*{least}..{most}]->(b:R) RETURN {{}}a.n AS a, b.n AS b"
+        assert rows(engine.cypher(query.format(""))) == want
+        assert rows(engine.cypher(query.format("DISTINCT "))) == sorted(set(want))
