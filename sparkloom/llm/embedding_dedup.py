@@ -65,20 +65,33 @@ def _unit_vectors(vectors: DataFrame) -> DataFrame:
 def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
     """Principal axes of the unit vectors of each dimension: from sums of d + d x d numbers per task."""
 
+    def rows(total: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([s.tobytes() for _, s in total.values()], pa.binary())], names=["d", "n", "sums"])
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        total: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             d = batch.column(0).to_numpy()
             raw = batch.column(1).to_pylist()
             for k in np.unique(d).tolist():
                 x = np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(d == k)), dtype=np.float64).reshape(-1, k)
-                n, s, c = total.get(k, (0, np.zeros(k), np.zeros((k, k))))
-                total[k] = (n + len(x), s + x.sum(0), c + x.T @ x)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n for n, _, _ in total.values()], pa.int64()), pa.array([s.tobytes() + c.tobytes() for _, s, c in total.values()], pa.binary())], names=["d", "n", "sums"])
+                n, s = total.get(k, (0, 0.0))
+                total[k] = (n + len(x), s + np.concatenate([x.sum(0), (x.T @ x).ravel()]))
+        yield from rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, s = total.get(r["d"], (0, 0.0))
+                total[r["d"]] = (n + r["n"], s + np.frombuffer(r["sums"], dtype=np.float64))
+        yield from rows(total)
 
+    kind = "d int, n long, sums binary"
+    few = classes.select("d", "unit").mapInArrow(sums, kind).repartition(16).mapInArrow(add, kind)  # the driver gets 16 rows a dimension at most
     parts: dict[int, tuple[int, np.ndarray]] = {}
-    for r in classes.select("d", "unit").mapInArrow(sums, "d int, n long, sums binary").toLocalIterator():  # one row per task and dimension, one task at a time
+    for r in few.collect():
         n, s = parts.get(r["d"], (0, 0.0))
         parts[r["d"]] = (n + r["n"], s + np.frombuffer(r["sums"], dtype=np.float64))
     out = {}
@@ -120,8 +133,7 @@ def _blocks(ordered: DataFrame, block: int) -> DataFrame:
     The order is global (range partitioning by label, dimension and cells), so a label of any size is spread over
     tasks; each task cuts its part of the sequence.
     """
-    parts = max(1, ordered.sparkSession.sparkContext.defaultParallelism * 2)
-    spread = ordered.repartitionByRange(parts, "label", "d", "cells", "key").sortWithinPartitions("label", "d", "cells", "key")
+    spread = ordered.repartitionByRange("label", "d", "cells", "key").sortWithinPartitions("label", "d", "cells", "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
