@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -90,7 +91,19 @@ def _on_vectors(kernel: Callable[[Column, Column], Column]) -> Callable[[Value,
     return call
 
 
-SCALARS["vector_similarity"] = _on_vectors(vectors.cosine)
+def _similarity(a: Value, b: Value) -> Value:
+    x, y = _vector(a), _vector(b)
+    return V.null() if x is None or y is None else Value(vectors.cosine(x, y, constant_norm(a), constant_norm(b)), "float")
+
+
+def constant_norm(v: Value) -> Column | None:
+    """The norm of a vector that is a constant, so that it is not computed for each row."""
+    if not isinstance(v.literal, list) or not all(isinstance(x, (int, float)) for x in v.literal):
+        return None
+    return F.lit(math.sqrt(sum(float(x) * float(x) for x in v.literal)))
+
+
+SCALARS["vector_similarity"] = _similarity
 SCALARS["vector_distance"] = _on_vectors(vectors.euclidean)
 SCALARS["dot_product"] = _on_vectors(vectors.dot)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import CypherTypeError
 from ..functions import values as V
 from ..functions import vectors
-from ..functions.expressions import Compiler
+from ..functions.expressions import Compiler, constant_norm
 from ..plans import ast as A
 from ..sources.catalog import Catalog
 from .match import Matcher
@@ -54,7 +54,7 @@ def _nearest(catalog: Catalog, args: list[V.Value]) -> Rows:
         df = df.withColumn(slot, F.lit(None).cast("double"))
     else:
         query = F.array(*[F.lit(float(x)) for x in args[1].literal]) if args[1].literal else args[1].col
-        df = df.withColumn(slot, vectors.cosine(node.vector, query))
+        df = df.withColumn(slot, vectors.cosine(node.vector, query, norm_b=constant_norm(args[1])))
     top = df.where(F.col(slot).isNotNull()).orderBy(F.col(slot).desc(), node.id).limit(k)
     return Rows(top, {"node": node, "score": Scalar(slot, "float")}, order=((slot, True),))
 
