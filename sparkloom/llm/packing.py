@@ -19,7 +19,9 @@ doc_id are packed like any others; a null doc_id is kept; other columns are igno
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,41 +49,53 @@ class WordIds:
     ``_WORDS`` and encode the bytes of each word alone; texts outside Latin letters take the tokenizer's own way.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are stored as little-endian 32-bit numbers")
         self.tokenizer, self.words, self.most = Tokenizer.from_file(path), regex.compile(_WORDS), most
         self.model = self.tokenizer.model
-        self.by_word: dict[str, bytes] = {}
-        self.by_chunk: dict[str, bytes] = {}
+        # words and chunks met lately, and before: what is met again moves on, the rest is forgotten
+        self.words_now: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
+        self.chunks_now: dict[str, bytes] = {}
+        self.chunks_before: dict[str, bytes] = {}
         # byte-level spelling: printable bytes stand for themselves, the others for code points from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = (x for x in range(256) if x not in plain)
         self.spelling = {x: chr(256 + i) for i, x in enumerate(other)}
 
     def _word(self, word: str) -> bytes:
-        ids = self.by_word.get(word)
+        ids = self.words_now.get(word)
         if ids is None:
-            if 2 * len(self.by_word) >= self.most:
-                self.by_word.clear()
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.spelling))
-            ids = self.by_word[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            if 4 * len(self.words_now) >= self.most:
+                self.words_before, self.words_now = self.words_now, {}
+            ids = self.words_before.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+                ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            self.words_now[word] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if _PLAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks, known = text.lower().split(), self.by_chunk
-        new = set(chunks).difference(known)
+        chunks = text.lower().split()
+        new = set(chunks).difference(self.chunks_now)
         if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
+            if 2 * (len(self.chunks_now) + len(new)) > self.most:
+                self.chunks_before, self.chunks_now = self.chunks_now, {}
                 new = set(chunks)
+            known, before = self.chunks_now, self.chunks_before
             for c in new:
-                known[c] = b"".join([self._word(w) for w in self.words.findall(c)])
-        return b"".join(map(known.__getitem__, chunks))
+                ids = before.get(c)
+                if ids is None:
+                    ids = self._word(c) if c.isalpha() else b"".join([self._word(w) for w in self.words.findall(c)])
+                known[c] = ids
+        return b"".join(map(self.chunks_now.__getitem__, chunks))
 
 
 @lru_cache(2)
