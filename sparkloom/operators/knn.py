@@ -21,6 +21,8 @@ from .rows import Rows, Scalar, new_slot
 PROCEDURES: dict[str, Callable[..., Rows]] = {}
 #: Query vectors that `nearest_to_each` sends to all tasks at a time.
 MOST_QUERIES = 1000
+#: Blocks that `nearest_of_all` deals vectors into: each vector is sent to twice as many tasks.  More only for very large tables.
+ALL_BLOCKS, MOST_IN_BLOCK = 12, 100_000
 
 
 def call(catalog: Catalog, rows: Rows, clause: A.CallProcedure, params: dict[str, Any]) -> Rows:
@@ -84,6 +86,49 @@ def nearest_to_each(vectors_df: DataFrame, queries: DataFrame, k: int, metric: s
     return out
 
 
+def nearest_of_all(vectors_df: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """The k nearest by cosine of every vector of ``vectors_df`` (id, vec), its own id left out: ``q, id, score, rk``.
+
+    Exact: each pair of blocks is one matrix product in a Python worker, which keeps the k best of each row.  Scores
+    are rounded to ``digits`` before they are ranked and ties go to the smaller id, as in ``nearest_to_each``.  Vectors
+    of different lengths do not meet; those that are null, empty or not finite are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def best(part: pa.Table) -> pa.Table:
+        ids, side = part.column("id").to_numpy(), part.column("side").to_numpy()
+        rows = np.asarray(part.column("vec").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
+        rows = rows / np.maximum(np.sqrt((rows * rows).sum(1)), np.finfo(float).tiny)[:, None]
+        asked, known = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        known = known[np.argsort(ids[known], kind="stable")]  # of equal scores the first has the smallest id
+        out = []
+        for at in range(0, len(asked), 512) if len(known) else []:
+            mine = asked[at : at + 512]
+            score = np.rint(rows[mine] @ rows[known].T * 10.0**digits)
+            first, last = (np.searchsorted(ids[known], ids[mine], side=s) for s in ("left", "right"))
+            for i in np.flatnonzero(last > first):
+                score[i, first[i] : last[i]] = -np.inf
+            for _ in range(min(k, len(known))):
+                top = score.argmax(1)
+                value = score[np.arange(len(mine)), top]
+                there = value > -np.inf
+                out.append((ids[mine][there], ids[known[top]][there], value[there] / 10.0**digits))
+                score[np.arange(len(mine)), top] = -np.inf
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, ids.dtype)] * 2 + [np.zeros(0)]
+        return pa.table({"q": cols[0], "id": cols[1], "score": cols[2]})
+
+    kept = vectors_df.where(vectors.is_valid(F.col("vec"))).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    count = max(ALL_BLOCKS, -(-kept.count() // MOST_IN_BLOCK))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = kept.select("id", "vec", F.size("vec").alias("size"), own.alias("own"), every.alias("other"))
+    asked = dealt.select("id", "vec", "size", F.col("own").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"))
+    known = dealt.select("id", "vec", "size", F.col("other").alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"))
+    top = asked.unionByName(known).groupBy("size", "a", "b").applyInArrow(best, "q long, id long, score double")
+    rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
+    return top.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
+
+
 def approximate_nearest(vectors_df: DataFrame, queries: DataFrame, k: int, tables: int = 8, width: float = 0.5, reach: float = 1.2, seed: int = 1) -> DataFrame:
     """``q, id, score, rk`` by locality-sensitive hashing of unit vectors: only vectors that share a hash bucket with a query meet it.
 

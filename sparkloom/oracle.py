@@ -29,6 +29,7 @@ ORACLE = {
     "unwind_join": "select p_type as t,count(*) as c from part where p_type in ('PROMO','SMALL') group by 1",
     "expand_out": 'select c_name as name,o_orderkey as k from customer join orders on o_custkey=c_custkey where o_totalprice>450000',
     "expand_in": 'select o_orderkey as k,o_custkey as c from orders where o_custkey<50',
+    "expand_in_all": 'select o_orderkey as k,o_custkey as c from orders',
     "expand_both": 'select n_name as n,r_name as r from nation join region on n_regionkey=r_regionkey',
     "expand_both_homog": VECTOR_EDGES + " select src as a,dst as b from g where t='CALLS' union all select dst,src from g where t='CALLS'",
     "expand_into": 'select n_name as n,count(*) as c from orders join customer on c_custkey=o_custkey join lineitem l on l_orderkey=o_orderkey join (select distinct l_suppkey as sk,l_partkey as pk from lineitem) on pk=l_partkey join supplier on s_suppkey=sk and s_nationkey=c_nationkey join nation on n_nationkey=c_nationkey where o_totalprice>480000 group by 1',
@@ -40,7 +41,9 @@ ORACLE = {
     "varlen_1_3": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g where t in ('CALLS') and src<>dst and true union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS') where d<3 and not list_contains(path,g.dst)) select a,b from p where d>=1",
     "varlen_exact_2": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g where t in ('CALLS') and src<>dst and true union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS') where d<2 and not list_contains(path,g.dst)) select a,b from p where d>=2",
     "varlen_2_4_from": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g where t in ('CALLS','REFERENCES') and src<>dst and src<20 union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS','REFERENCES') where d<4 and not list_contains(path,g.dst)) select a,count(*) as paths from p where d>=2 group by 1",
+    "varlen_2_4_all": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g where t in ('CALLS','REFERENCES') and src<>dst union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS','REFERENCES') where d<4 and not list_contains(path,g.dst)) select a,count(*) as paths from p where d>=2 group by 1",
     "varlen_distinct": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g where t in ('CALLS','IMPORTS') and src<>dst and src<20 union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS','IMPORTS') where d<4 and not list_contains(path,g.dst)) select distinct a,b from p where d>=1",
+    "varlen_distinct_all": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g where t in ('CALLS','IMPORTS') and src<>dst union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS','IMPORTS') where d<4 and not list_contains(path,g.dst)) select distinct a,b from p where d>=1",
     "varlen_chain_default_cap": 'select a.conv_id as c,count(*) as n from conversations a join conversations b on a.conv_id=b.conv_id and b.turn>a.turn and b.turn-a.turn<=10 group by 1',
     "cartesian": 'select a.r_name as a,b.r_name as b from region a,region b where a.r_regionkey<b.r_regionkey',
     "comma_equi_join": 'select count(*) as n from customer join supplier on c_nationkey is not distinct from s_nationkey',
@@ -60,6 +63,7 @@ ORACLE = {
     "limit_then_skip": 'select o_orderkey as k from orders order by k limit 5 offset 5',
     "order_nonprojected": 'select c_name as n from customer order by c_acctbal desc,c_name limit 7',
     "to_integer_string": 'select trunc(c_acctbal)::bigint as i,c_custkey::varchar as s from customer where c_custkey<100',
+    "to_integer_string_all": 'select trunc(c_acctbal)::bigint as i,c_custkey::varchar as s from customer',
     "labels_fn": "select 'Nation' as l",
     "list_map_literals": "select r_regionkey::varchar||',7' as l, r_name as m from region",
     "vec_similarity": 'select vec_id as id,round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]),6) as s from embeddings e,(select embedding from embeddings where vec_id=0) q',
@@ -70,6 +74,7 @@ ORACLE = {
     "knn_traverse": VECTOR_EDGES + ", k as (select vec_id from embeddings e,(select embedding from embeddings where vec_id=0) q order by round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]),6) desc,vec_id limit 10) select src as a,dst as n from g join k on dst=vec_id where t='CALLS'",
     "hybrid_rank": VECTOR_EDGES + " select b.vec_id as id,round(list_cosine_similarity(b.embedding::double[],q.embedding::double[]),6) as s from g join embeddings a on a.vec_id=src join embeddings b on b.vec_id=dst,(select embedding from embeddings where vec_id=0) q where t='REFERENCES' and a.label=3 order by s desc,id limit 5",
     "knn_batch": 'select q as q,id as id,rk as rk from (select q.vec_id as q,e.vec_id as id,row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[],q.embedding::double[]),6) desc,e.vec_id) as rk from embeddings e, embeddings q where q.vec_id<10 and e.vec_id<>q.vec_id) where rk<=3',
+    "knn_all": 'select q as q,id as id,rk as rk from (select q.vec_id as q,e.vec_id as id,row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[],q.embedding::double[]),6) desc,e.vec_id) as rk from embeddings e, embeddings q where e.vec_id<>q.vec_id) where rk<=3',
     "vec_normalize": 'select vec_id as id,round(sqrt(list_inner_product(embedding::double[],embedding::double[])),6) as n,1.0::double as u from embeddings',
     "create_edges_query": 'select count(*) as c from region a,region b where a.r_regionkey<b.r_regionkey',
     "set_property": "select case when c_acctbal<0 then 'neg' end as f,count(*) as c from customer group by 1",

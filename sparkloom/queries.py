@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .engine import GraphEngine
 from .functions import vectors
-from .operators.knn import nearest_to_each
+from .operators.knn import nearest_of_all, nearest_to_each
 from .oracle import ORACLE
 from .sources.tables import TableGraph
 from .sources.vector_store import VectorStore
@@ -88,6 +88,7 @@ SPECS: dict[str, Spec] = {
     "case_searched": Spec("Part", "", "MATCH (p:Part) RETURN CASE WHEN p.p_size < 10 THEN 'low' WHEN p.p_size < 30 THEN 'mid' ELSE 'high' END AS tier, count(*) AS c"),
     "case_simple": Spec("Order", "", "MATCH (o:Order) RETURN o.o_orderkey AS k, CASE o.o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS s"),
     "to_integer_string": Spec("Customer", "", "MATCH (c:Customer) WHERE c.c_custkey < 100 RETURN toInteger(c.c_acctbal) AS i, toString(c.c_custkey) AS s"),
+    "to_integer_string_all": Spec("Customer", "", "MATCH (c:Customer) RETURN toInteger(c.c_acctbal) AS i, toString(c.c_custkey) AS s"),
     "labels_fn": Spec("Nation", "", "MATCH (n:Nation) RETURN DISTINCT labels(n) AS l", after=_joined("l")),
     "list_map_literals": Spec("Region", "", "MATCH (r:Region) RETURN [r.r_regionkey, 7] AS l, {k: r.r_name}.k AS m", after=_joined("l")),
     "null_tests": Spec("Customer Order", "PLACED", f"MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order {URGENT}) RETURN c.c_custkey AS k, o.o_orderkey IS NULL AS missing, o.nothing IS NOT NULL AS there"),
@@ -100,6 +101,7 @@ SPECS: dict[str, Spec] = {
     # one hop and more
     "expand_out": Spec("Customer Order", "PLACED", "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 450000 RETURN c.c_name AS name, o.o_orderkey AS k"),
     "expand_in": Spec("Customer Order", "PLACED", "MATCH (o:Order)<-[:PLACED]-(c:Customer) WHERE c.c_custkey < 50 RETURN o.o_orderkey AS k, c.c_custkey AS c"),
+    "expand_in_all": Spec("Customer Order", "PLACED", "MATCH (o:Order)<-[:PLACED]-(c:Customer) RETURN o.o_orderkey AS k, c.c_custkey AS c"),
     "expand_both": Spec("Region Nation", "IN_REGION", "MATCH (n:Nation)-[:IN_REGION]-(r:Region) RETURN n.n_name AS n, r.r_name AS r"),
     "expand_both_homog": Spec("Vec", "CALLS", "MATCH (a:Vec)-[:CALLS]-(b:Vec) RETURN a.vec_id AS a, b.vec_id AS b"),
     "expand_into": Spec(
@@ -122,7 +124,9 @@ SPECS: dict[str, Spec] = {
     "varlen_1_3": Spec("Vec", "CALLS", "MATCH (a:Vec)-[:CALLS*1..3]->(b:Vec) RETURN a.vec_id AS a, b.vec_id AS b"),
     "varlen_exact_2": Spec("Vec", "CALLS", "MATCH (a:Vec)-[:CALLS*2]->(b:Vec) RETURN a.vec_id AS a, b.vec_id AS b"),
     "varlen_2_4_from": Spec("Vec", "CALLS REFERENCES", "MATCH (a:Vec)-[:CALLS:REFERENCES*2..4]->(b:Vec) WHERE a.vec_id < 20 RETURN a.vec_id AS a, count(*) AS paths"),
+    "varlen_2_4_all": Spec("Vec", "CALLS REFERENCES", "MATCH (a:Vec)-[:CALLS:REFERENCES*2..4]->(b:Vec) RETURN a.vec_id AS a, count(*) AS paths"),
     "varlen_distinct": Spec("Vec", "CALLS IMPORTS", "MATCH (a:Vec)-[:CALLS:IMPORTS*1..4]->(b:Vec) WHERE a.vec_id < 20 RETURN DISTINCT a.vec_id AS a, b.vec_id AS b"),
+    "varlen_distinct_all": Spec("Vec", "CALLS IMPORTS", "MATCH (a:Vec)-[:CALLS:IMPORTS*1..4]->(b:Vec) RETURN DISTINCT a.vec_id AS a, b.vec_id AS b"),
     "varlen_chain_default_cap": Spec("Turn", "NEXT", "MATCH (a:Turn)-[:NEXT*]->(b:Turn) RETURN a.conv_id AS c, count(*) AS n"),
     # products, theta joins, correlated and optional patterns
     "cartesian": Spec("Region", "", "MATCH (a:Region), (b:Region) WHERE a.r_regionkey < b.r_regionkey RETURN a.r_name AS a, b.r_name AS b"),
@@ -171,6 +175,13 @@ def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_to_each(base, asked, 3, digits=6).select("q", "id", F.col("rk").cast("long").alias("rk"))
 
 
+def knn_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The three nearest of every vector, itself left out."""
+    vecs = graph_of(spark, folder).table("embeddings")
+    base = vecs.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return nearest_of_all(base, 3, digits=6).select("q", "id", F.col("rk").cast("long").alias("rk"))
+
+
 def vec_normalize(spark: SparkSession, folder: str) -> DataFrame:
     """Norms of the vectors, and of their normalized forms."""
     vec = F.col("embedding")
@@ -213,7 +224,7 @@ def items_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(Spec.__call__, spec) for name, spec in SPECS.items()} | {
-    f.__name__: f for f in (knn_batch, vec_normalize, vec_metric_scores, graph_stats, edge_type_counts, items_list_page, items_stats, items_query)
+    f.__name__: f for f in (knn_batch, knn_all, vec_normalize, vec_metric_scores, graph_stats, edge_type_counts, items_list_page, items_stats, items_query)
 }
 
 __all__ = ["ORACLE", "QUERIES", "SPECS"]

@@ -1,5 +1,6 @@
 """Registered queries against their SQL oracles, plans, and streams."""
 
+import collections
 import os
 
 import duckdb
@@ -93,6 +94,39 @@ def test_approximate_neighbours_are_true_neighbours(spark, sf):
     assert found and all(abs(exact[(r.q, r.id)] - r.score) < 1e-6 for r in found)
 
 
+def test_whole_table_queries_leave_no_row_out(spark, sf, db):
+    """The forms of the examples without their id filters: brute force over all rows, not over the oracle's SQL."""
+    n = db.execute("select count(*) from embeddings").fetchone()[0]
+    edges = [(i % n, (i * 7 + 3) % n, ("CALLS", "IMPORTS", "REFERENCES")[i % 3]) for i in range(2 * n)]
+
+    def walks(kinds, most):
+        found = collections.Counter()
+        out = collections.defaultdict(list)
+        for s, d, t in edges:
+            if t in kinds:
+                out[s].append(d)
+
+        def go(path):
+            if len(path) > 1:
+                found[path[0], path[-1], len(path) - 1] += 1
+            for d in out[path[-1]] if len(path) <= most else []:
+                if d not in path:
+                    go((*path, d))
+
+        for a in range(n):
+            go((a,))
+        return found
+
+    paths = collections.Counter()
+    for (a, _, length), times in walks(("CALLS", "REFERENCES"), 4).items():
+        paths[a] += times * (length >= 2)
+    assert {r.a: r.paths for r in QUERIES["varlen_2_4_all"](spark, sf).collect()} == {a: c for a, c in paths.items() if c}
+    assert {(r.a, r.b) for r in QUERIES["varlen_distinct_all"](spark, sf).collect()} == {(a, b) for a, b, _ in walks(("CALLS", "IMPORTS"), 4)}
+    assert collections.Counter(r.q for r in QUERIES["knn_all"](spark, sf).collect()) == dict.fromkeys(range(n), 3)
+    for name, table in (("expand_in_all", "orders"), ("to_integer_string_all", "customer")):
+        assert QUERIES[name](spark, sf).count() == db.execute(f"select count(*) from {table}").fetchone()[0]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     rows = df.select(vectors.cosine(df.a, df.b), vectors.similarity("euclidean", df.a, df.b), vectors.norm(vectors.normalized(df.a)), vectors.is_valid(df.a)).collect()
