@@ -9,7 +9,8 @@ overshoot is entered document by document, and the document at the boundary give
 How many blocks of each source go to which output shard is decided by a splitting tree: the vector of all block
 quotas is split between two halves of the shards by a multivariate hypergeometric draw of the half's exact number
 of blocks, and so on down to single shards.  Shards then draw disjoint runs of each source's permuted blocks, and
-each shard shuffles its documents locally.
+each shard shuffles its documents locally: by a hash, in ranges of it that are counted first, so that no task sorts
+a whole shard.  ``mixed_documents`` are sorted by shard and position.
 
 The driver holds one row per source and the quotas of sources x shards, never documents or blocks.  Ranks of
 blocks are found in two steps (``BINS`` ranges of the hash, then within a range), so that a source with a third
@@ -87,7 +88,9 @@ def source_table(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
 
 
 def mix(sized: DataFrame, sources: DataFrame, seed: int = 7, whole: bool = False) -> DataFrame:
-    """``doc_id, source, size, pass, words, shard, position``: each document once for each pass that takes it.
+    """``doc_id, source, size, row, pass, words, shard, position``: each document once for each pass that takes it.
+
+    ``row`` numbers, from 1, the rows that repeat doc_id, source and size.
 
     ``sized`` (of ``measured``) is read several times and should be written down.
     """
@@ -134,22 +137,31 @@ def mix(sized: DataFrame, sources: DataFrame, seed: int = 7, whole: bool = False
     prior = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.greatest(F.col("quota") - F.col("prior"), F.lit(0))
     part = F.when(F.col("full"), F.col("size")).when(2 * left >= F.col("size"), F.col("size")).otherwise(0) if whole else F.when(F.col("full"), F.col("size")).otherwise(F.least("size", left))
-    taken = taken.withColumn("prior", prior).withColumn("words", part.cast("long")).where("words > 0")
-    shuffled = Window.partitionBy("shard").orderBy(draw("doc_id", "pass", "size"), "doc_id", "pass")
-    return taken.select("doc_id", "source", "size", "pass", "words", "shard", F.row_number().over(shuffled).alias("position"))
+    taken = taken.withColumn("prior", prior)
+    taken = taken.withColumn("row", F.row_number().over(Window.partitionBy("source", "block", "pass", "doc_id", "size").orderBy("prior")))
+    taken = taken.withColumn("words", part.cast("long")).where("words > 0").select("doc_id", "source", "size", "row", "pass", "words", "shard")
+    # the shuffle within a shard, in ranges of the hash (its upper ten bits): a shard is not sorted in one task
+    taken = taken.withColumn("key", draw("doc_id", "pass", "size")).withColumn("range", F.shiftright("key", 54).cast("int"))
+    taken, _ = written(taken, "taken")
+    earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = taken.groupBy("shard", "range").agg(F.count("*").alias("c"))
+    ranges = ranges.select("shard", "range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
+    within = Window.partitionBy("shard", "range").orderBy("key", "doc_id", "source", "size", "pass", "row")
+    ranked = taken.withColumn("at", F.row_number().over(within)).join(ranges, ["shard", "range"])
+    return ranked.select("doc_id", "source", "size", "row", "pass", "words", "shard", (F.col("c0") + F.col("at")).alias("position"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them (whole documents only).
+    """The rows of ``docs``, all columns, as often as the mix takes them (whole documents only), in the order of shards and positions.
 
     A document's copies are its rows repeated; documents without words are in no mix.
     """
     sized, _ = written(measured(docs), "sized")
-    times = mix(sized, source_table(sized), seed, whole=True).groupBy("doc_id", "source", "size").agg(F.count("*").alias("__t"))
-    # rows that repeat doc_id, source and size share their count
-    same = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("__rows"))
-    on = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    times = times.withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__z"}).join(same, on("__d", "doc_id") & on("__s", "source") & on("__z", "size"))
-    times = times.select("__d", "__s", "__z", F.greatest(F.lit(1), F.ceil(F.col("__t") / F.col("__rows"))).cast("int").alias("__t"))
-    rows = docs.withColumn("__size", words_of(F.col("text"))).join(times, on("doc_id", "__d") & on("source", "__s") & on("__size", "__z"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__t")))).select(*[rows[c] for c in docs.columns])
+    # nulls are equal within a struct, so that one key serves the join and the numbering of rows that repeat it
+    placed = mix(sized, source_table(sized), seed, whole=True).select(F.struct("doc_id", "source", "size").alias("__k"), F.col("row").alias("__r"), "shard", "position")
+    placed = placed.withColumnsRenamed({"__k": "__pk", "__r": "__pr", "shard": "__shard", "position": "__position"})
+    size = words_of(F.col("text"))
+    rows = docs.withColumn("__k", F.struct(F.col("doc_id"), F.col("source"), size.alias("size")))
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64("text"))))
+    rows = rows.join(placed, (F.col("__k") == F.col("__pk")) & (F.col("__r") == F.col("__pr")))
+    return rows.orderBy("__shard", "__position").select(*[rows[c] for c in docs.columns])

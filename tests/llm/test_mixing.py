@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sparkloom.llm.mixing import measured, mix, mixed_documents, source_table, splitting_tree, targets
@@ -91,6 +92,29 @@ def test_documents_of_the_mix(spark):
     assert max(times.values()) <= 3
 
 
+def test_registered_results_show_the_shuffle(spark, tmp_path, monkeypatch):
+    from sparkloom.llm import mixing, queries
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 6000)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    _, docs = sample(spark)
+    docs = docs.union(docs.where("doc_id = 7"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shards = collections.defaultdict(list)
+    for r in queries.op9_mixing(spark, str(tmp_path)).collect():
+        assert len(r.shard) == len(r.position) <= 3 and (r.taken > 0) == bool(r.shard)
+        for s, p in zip(r.shard, r.position, strict=True):
+            shards[s].append(p)
+    assert len(shards) > 5 and all(sorted(p) == list(range(1, len(p) + 1)) for p in shards.values())
+    # the pipeline's documents are written in that order
+    sized = measured(docs).cache()
+    order = sorted((r.shard, r.position, r.doc_id) for r in mix(sized, source_table(sized), whole=True).collect())
+    mixed_documents(docs).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    found = [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()]
+    assert found == [i for *_, i in order] and found != sorted(found, key=lambda i: (i is None, i or 0))
+
+
 def test_empty_and_repeated(spark):
     assert mixed_documents(documents(spark, [])).count() == 0
     sized = measured(documents(spark, []))
