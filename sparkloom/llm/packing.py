@@ -3,12 +3,14 @@
 1. ``tokenise`` cuts each document's ids (with id 0 at the end) into pieces of at most ``capacity``.
 2. The pieces' lengths are counted.  There are at most ``capacity`` different lengths, so this histogram, and all
    that the driver does with it, has a fixed size at any number of documents.
-3. ``complete_bins`` solves the packing on the histogram.  It takes the largest length left and looks, by branch
-   and bound over the undominated fillings around it, for the one that wastes least; the filling that best fit
-   would choose is the first incumbent, branches whose best possible waste is no better are cut, and a filling
-   without waste ends the search.  The filling found is used as often as the counts allow at once, so the number
-   of searches depends on the number of lengths, not of documents.  Best fit decreasing over the whole histogram
-   is the incumbent for the full solution: the solution with fewer sequences is returned.
+3. ``complete_bins`` solves the packing on the histogram.  Best fit decreasing, computed for groups of equal
+   sequences, is the first incumbent; the second takes for the largest length left the filling that wastes least,
+   as often as the counts allow, and so on.  If neither meets the lower bound, ``_search`` branches over the
+   fillings around the largest length left, sequence by sequence, and takes back earlier ones: fillings that
+   another one dominates (Martello and Toth) are left out, and so are branches that cannot need fewer sequences
+   than the incumbent.  The search visits at most ``budget`` nodes; if it ends before that, the packing is optimal,
+   otherwise it is the best one found.  Each branch uses a filling first as often as the counts allow, then once,
+   so the number of steps depends on the number of lengths, not of documents.
 4. Each piece takes a slot of its length: its rank among pieces of equal length, counted in salted parts so that
    a length that a third of all pieces share is not ranked in one task.
 
@@ -22,7 +24,8 @@ import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -140,8 +143,8 @@ class Pattern:
 def _best_fill(room: int, sizes: list[int], counts: dict[int, int], most_nodes: int) -> list[int]:
     """Lengths from ``sizes`` (ascending, with ``counts``) that leave least of ``room``: branch and bound.
 
-    Depth first, larger lengths first, so the first leaf is best fit's choice and the first incumbent; with
-    ``most_nodes`` 0 it is also the answer.  A filling is dominated by one that has a larger length in a smaller
+    Depth first, larger lengths first, so the first leaf takes the largest lengths that fit and is the first
+    incumbent; with ``most_nodes`` 0 it is also the answer (first fit decreasing).  A filling is dominated by one that has a larger length in a smaller
     one's place; going down from the largest that fits visits undominated ones first.  A branch is cut when all
     lengths it may still use, taken together, would leave no less than the incumbent does.
     """
@@ -199,16 +202,128 @@ def _solve(hist: dict[int, int], capacity: int, most_nodes: int) -> list[Pattern
     return out
 
 
-def complete_bins(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 2000) -> list[Pattern]:
-    """Patterns that use up the histogram {length: pieces}; ``most_nodes`` bounds one search.
+def _best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[Pattern]:
+    """Largest first, each piece into the fullest sequence it fits in; equal sequences are filled together."""
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room left: contents and number of sequences
+    rooms: list[int] = []  # ascending
+    for size in sorted((k for k, n in hist.items() if n), reverse=True):
+        left = hist[size]
+        while left:
+            at = bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                held, there = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+            else:
+                room, held, there = capacity, (), -(-left // (capacity // size))
+            each = min(room // size, left)
+            full = min(there, left // each)
+            for part, times in ((each, full), (left - full * each if full < there else 0, min(1, there - full)), (0, there - full - 1)):
+                if times > 0 and (part or held):
+                    rest = room - part * size
+                    if rest not in groups:
+                        groups[rest] = []
+                        insort(rooms, rest)
+                    groups[rest].append((held + (size,) * part, times))
+                    left -= part * times
+    return [Pattern(_grouped(list(held)), times) for room in rooms for held, times in groups[room]]
+
+
+def _dominated(fill: tuple[int, ...], left: int, counts: dict[int, int], sizes: list[int]) -> bool:
+    """Whether an unused length fits in place of none, of one smaller length or of two that it is no smaller than."""
+    used = Counter(fill)
+    kinds = sorted(used)
+    pairs = [a + b for i, a in enumerate(kinds) for b in kinds[i:] if a != b or used[a] > 1]
+    for gone, least in [(0, 1), *((a, a + 1) for a in kinds), *((p, p) for p in pairs)]:
+        for x in sizes[bisect_left(sizes, least) : bisect_right(sizes, gone + left)]:
+            if counts[x] > used[x]:
+                return True
+    return False
+
+
+def _fillings(room: int, counts: dict[int, int], waste: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` that leave ``waste`` at most, larger lengths first."""
+    sizes = sorted(k for k, n in counts.items() if n and k <= room)
+    now = {k: counts[k] for k in sizes}  # the counts change while a caller searches on
+    below = [0]
+    for s in sizes:
+        below.append(below[-1] + s * now[s])
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes) - 1, ())]
+    while stack and budget[0] > 0:
+        left, top, chosen = stack.pop()
+        budget[0] -= 1
+        at = min(top, bisect_right(sizes, left) - 1)
+        if at < 0:
+            if left <= waste and not _dominated(chosen, left, now, sizes):
+                yield chosen
+        elif left - below[at + 1] <= waste:
+            size = sizes[at]
+            stack.append((left, at - 1, chosen))
+            if chosen.count(size) < now[size]:
+                stack.append((left - size, at, (*chosen, size)))
+
+
+def _search(hist: dict[int, int], capacity: int, most: int, left: list[int]) -> list[Pattern] | None:
+    """A packing into fewer than ``most`` sequences, found by branching over the fillings of all sequences, or None.
+
+    ``left`` holds the number of nodes that may still be visited.
+    """
+    counts = {k: n for k, n in hist.items() if n}
+    slack = (most - 1) * capacity - sum(k * n for k, n in counts.items())
+    path: list[tuple[Counter, int, int]] = []  # filling, times, waste
+
+    def use(lengths: Counter, times: int) -> None:
+        for k, n in lengths.items():
+            counts[k] -= n * times
+
+    def choices(waste: int) -> Iterator[tuple[Counter, int, int]]:
+        top = max(k for k, n in counts.items() if n)
+        counts[top] -= 1
+        found = _fillings(capacity - top, counts, min(waste, capacity), left)
+        first = next(found, None)
+        counts[top] += 1
+        while first is not None:
+            lengths = Counter((top, *first))
+            each = capacity - sum(k * n for k, n in lengths.items())
+            times = min(counts[k] // n for k, n in lengths.items())
+            times = min(times, waste // each) if each else times
+            for t in dict.fromkeys((times, 1)):
+                yield lengths, t, each * t
+            first = next(found, None)
+
+    levels = [choices(slack)] if slack >= 0 and counts else []
+    while levels and left[0] > 0:
+        step = next(levels[-1], None)
+        if step is None:
+            levels.pop()
+            if path:
+                lengths, times, waste = path.pop()
+                use(lengths, -times)
+                slack += waste
+            continue
+        use(step[0], step[1])
+        slack -= step[2]
+        path.append(step)
+        if not any(counts.values()):
+            return [Pattern(_grouped(list(lengths.elements())), times) for lengths, times, _ in path]
+        levels.append(choices(slack))
+    return None
+
+
+def complete_bins(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: int = 2000, budget: int = 100_000) -> list[Pattern]:
+    """Patterns that use up the histogram {length: pieces}; ``most_nodes`` bounds one filling, ``budget`` the search.
 
-    Best fit decreasing is the incumbent; it is kept if it meets the lower bound or bin completion needs no fewer.
+    Best fit decreasing is the incumbent; the lower bound ends the search.
     """
-    best = _solve(hist, capacity, 0)
-    if sum(p.times for p in best) > _first_bound(hist, capacity):
-        completed = _solve(hist, capacity, most_nodes)
-        if sum(p.times for p in completed) < sum(p.times for p in best):
-            best = completed
+    size = lambda patterns: sum(p.times for p in patterns)
+    least = _first_bound(hist, capacity)
+    best = _best_fit_decreasing(hist, capacity)
+    if size(best) > least:
+        best = min(best, _solve(hist, capacity, most_nodes), key=size)
+    left = [budget]
+    while size(best) > least and (better := _search(hist, capacity, size(best), left)):
+        best = better
     return best
 
 

@@ -67,6 +67,41 @@ def test_completion_beats_best_fit_decreasing():
     assert sum(p.times for p in found) <= 1.01 * _first_bound(hist, 2048)
 
 
+def test_small_cases_are_solved_to_the_optimum():
+    def optimum(items, capacity):
+        left = {0: (0, capacity)}  # by set of pieces: sequences closed, load of the open one
+        for s in range(1, 1 << len(items)):
+            left[s] = min((n + 1, x) if load + x > capacity else (n, load + x) for i, x in enumerate(items) if s >> i & 1 for n, load in [left[s & ~(1 << i)]])
+        return left[(1 << len(items)) - 1][0] + 1 if items else 0
+
+    r, greedy_misses = random.Random(11), 0
+    for _ in range(400):
+        items = [r.randint(3, 20) for _ in range(11)]
+        hist = collections.Counter(items)
+        found = complete_bins(hist, 30)
+        want = optimum([*items], 30) - 1
+        assert used(found) == hist and all(sum(k * n for k, n in p.lengths) <= 30 for p in found)
+        assert sum(p.times for p in found) == want
+        greedy_misses += sum(p.times for p in _solve(hist, 30, 2000)) > want
+    assert greedy_misses
+
+
+def test_the_incumbent_is_best_fit_decreasing():
+    from sparkloom.llm.packing import _best_fit_decreasing
+
+    r = random.Random(3)
+    for _ in range(200):
+        items = [r.randint(1, 40) for _ in range(60)]
+        room = []
+        for x in sorted(items, reverse=True):
+            fits = [i for i, left in enumerate(room) if left >= x]
+            at = min(fits, key=lambda i: room[i]) if fits else len(room)
+            room[at:] = [room[at] - x, *room[at + 1 :]] if fits else [50 - x]
+        found = _best_fit_decreasing(collections.Counter(items), 50)
+        assert used(found) == collections.Counter(items)
+        assert sorted(50 - sum(k * n for k, n in p.lengths) for p in found for _ in range(p.times)) == sorted(room)
+
+
 def test_work_does_not_grow_with_counts():
     hist = {k: 10**9 + k for k in range(1, 400)}
     found = complete_bins(hist, 512)
