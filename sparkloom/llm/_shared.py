@@ -57,8 +57,16 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
-#: Rows that go to a Python worker at a time: texts can be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time, where the session does not say otherwise: texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**63 - 1), str(32 << 20))}
+
+
+def unused_name(columns: Iterable[str], stem: str) -> str:
+    """``stem`` with as many underscores before it as make it differ from all ``columns`` (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
 
 
 _shipped: set[str] = set()
@@ -70,7 +78,9 @@ def prepare(spark: SparkSession) -> None:
     The package is sent once to each application through Spark's own file server, so that executors need not have it
     installed.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key).removesuffix("b") == default:
+            spark.conf.set(key, own)
     package = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
     if app in _shipped or not package.is_dir():

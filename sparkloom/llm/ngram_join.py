@@ -5,14 +5,19 @@ is at least 0.8; a text of fewer words is one shingle.  Documents with equal set
 so copies are never expanded.
 
 Chosen paths: every set has ``COORDINATES`` minimum hashes, each a token sampled from the set in a way that equal
-minima mean a shared token.  A run samples two coordinates and puts each set into the two buckets of its minima
-there; a bucket of more than ``small`` sets is split in the same way by two more coordinates that depend on the
-path taken, down to ``deepest`` levels.  A pair at similarity s shares each of a bucket's two sampled coordinates
-with probability s, so that a run loses it, at any depth, with probability r at most, the smallest root of
-r = (1 - s + s r)^2 (0.0625 at 0.8), and ``runs_for`` independent runs reach the target recall
-(1 - 1e-6 by default).  Small buckets are compared in full.  A bucket that sampling does not take apart (its sets
-are alike: more than half of them stay together), or that is still large at the last level, is compared in full as
-well, in pairs of blocks.
+minima mean a shared token.  Each run has a pool of coordinates of its own.  It samples two of them and puts each set
+into the two buckets of its minima there; a bucket of more than ``small`` sets is split in the same way by two more
+coordinates of the pool, which depend on the path taken and are never sampled twice on a path, down to ``deepest``
+levels.  ``miss`` gives the probability that a run loses a pair, ``plan_runs`` the number of runs for the target
+recall: with the defaults five runs of twelve coordinates, which together lose a pair of similarity 0.8 with
+probability 4.7e-5 at most (at the last level; 1e-7 where buckets are small at once), and fewer of higher similarity.
+Small buckets are compared in full.  A bucket that sampling does not take apart (its sets are alike: more than
+``DENSE`` of them stay together), or that is still large at the last level, is compared in full as well.
+
+Work of a bucket: its sets are dealt into blocks of about ``BLOCK`` sets and ``BLOCK_TOKENS`` shingles.  A bucket of
+one block is one row for each set.  Of a larger one, blocks are packed into one row each, and pairs of these rows meet,
+so that the rows of n alike sets are n, and (n / BLOCK)^2 of blocks.  The comparisons within n sets that are alike
+remain n^2 / 2, in tasks of bounded size.
 
 Each pair is counted once: in the smallest id of the buckets that the two sets share.  In a bucket, sketches (one
 byte of each minimum) first drop pairs that cannot reach the threshold (the test errs with probability below 1e-7);
@@ -21,7 +26,8 @@ documents left with a partner are read again, and their whole shingle sets decid
 No pair leaves a task: a task gives each set its number of links and its root in the task's spanning forest, and
 components are found from these forest edges.
 
-Defined results: null text counts as empty; a document without words is a class and a group of its own, has no
+Defined results: texts of any length are read whole (a set may be a block of its own); null text counts as empty; a
+document without words is a class and a group of its own, has no
 links and stays (copies of it are for exact deduplication); classes and groups are named by their smallest doc_id
 (null if all are null); rows that repeat a doc_id count as documents; an empty table gives no rows; other columns
 are ignored by ``similarity_join``.
@@ -29,8 +35,10 @@ are ignored by ``similarity_join``.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +46,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import attach, components, discard, forest, has_rows, prepare, runs, written
+from ._shared import attach, components, discard, forest, has_rows, prepare, runs, unused_name, written
 
 WORDS = 5
 THRESHOLD = 0.8
 COORDINATES = 64
 SMALL = 200
-DEEPEST = 5
+DEEPEST = 6
 #: Share of a bucket's sets in one of its parts from which the bucket counts as alike throughout.
-DENSE = 0.5
-TARGET_RECALL = 1 - 1e-6
+DENSE = 0.8
+TARGET_RECALL = 1 - 5e-5
+#: Sets and shingles in a block of a bucket, about.
+BLOCK, BLOCK_TOKENS = 2000, 2_000_000
+#: Rows of a block that are compared with the others at a time.
+STRIP = 256
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 150_000
 
@@ -99,12 +111,33 @@ def minima(s: np.ndarray, block: int = 4096) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold is missed with probability 1 - recall at most."""
-    r = 0.0
-    for _ in range(1000):
-        r = (1 - threshold + threshold * r) ** 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(r)))
+def miss(similarity: float, pool: int, deepest: int) -> float:
+    """Probability that a run with ``pool`` coordinates loses a pair whose buckets are all split ``deepest`` times.
+
+    Of the pool's coordinates, a binomial number agrees; a node samples two of those not yet used on its path.
+    """
+
+    @lru_cache(None)
+    def lost(left: int, agree: int, differ: int) -> float:
+        if not left:
+            return 0.0
+        child = lost(left - 1, agree - 1, differ) if agree else 1.0
+        both, one, none = math.comb(agree, 2), agree * differ, math.comb(differ, 2)
+        return (both * child**2 + one * child + none) / (both + one + none)
+
+    return sum(math.comb(pool, k) * similarity**k * (1 - similarity) ** (pool - k) * lost(deepest, k, pool - k) for k in range(pool + 1))
+
+
+def plan_runs(threshold: float, recall: float, deepest: int) -> tuple[int, int]:
+    """The smallest number of runs, each with its share of the coordinates, that find a pair at the threshold with
+    probability ``recall``, and the levels they may split: fewer than ``deepest`` if it takes that, so that larger
+    buckets are compared in full.
+    """
+    for levels in range(deepest, 0, -1):
+        for n in range(1, COORDINATES // (levels + 1) + 1):
+            if miss(threshold, COORDINATES // n, levels) ** n <= 1 - recall:
+                return n, levels
+    raise ValueError(f"{COORDINATES} coordinates do not reach a recall of {recall} at {threshold}")
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -132,28 +165,29 @@ def _keyed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(build, "text string, key binary")
 
 
-def _coordinate(path, turn: int):
-    """The ``turn``-th coordinate that a path (a column of hashes, or a literal for a run) samples."""
-    return F.pmod(F.xxhash64(path, F.lit(turn)), F.lit(COORDINATES)).cast("int")
-
-
-def _children(rows: DataFrame) -> DataFrame:
-    """Two buckets of each (key, path): path hashed with a coordinate and the set's minimum there."""
-    first = _coordinate(F.col("path"), 0)
-    step = F.pmod(F.xxhash64(F.col("path"), F.lit(1)), F.lit(COORDINATES - 1)).cast("int") + 1
-    second = F.pmod(first + step, F.lit(COORDINATES))  # another coordinate than the first
-    both = rows.withColumn("at", F.explode(F.array(first, second)))
-    child = F.xxhash64("path", "at", F.substring(F.col("mins"), 4 * F.col("at") + 1, F.lit(4)))
-    return both.select("key", child.alias("path"), F.col("path").alias("parent"), F.col("many").alias("parent_many"))
+def _children(rows: DataFrame, pool: int) -> DataFrame:
+    """Two buckets of each (key, path): path hashed with a coordinate that it has not used and the set's minimum there."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(pool - 1)), lambda x: F.call_function("shiftright", F.col("used"), x).bitwiseAND(1) == 0)
+    n = F.size("free")
+    first = F.pmod(F.xxhash64("path", F.lit(0)), n).cast("int")
+    step = F.pmod(F.xxhash64("path", F.lit(1)), n - 1).cast("int") + 1
+    both = rows.withColumn("free", free).withColumn("own", F.explode(F.array(F.get("free", first), F.get("free", F.pmod(first + step, n)))))
+    at = F.col("run") * pool + F.col("own")
+    child = F.xxhash64("path", at, F.substring(F.col("mins"), 4 * at + 1, F.lit(4)))
+    used = F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("own")))
+    return both.select("key", "n", "run", used.alias("used"), child.alias("path"), F.col("path").alias("parent"), F.col("many").alias("parent_many"), F.col("mass").alias("parent_mass"))
 
 
 def _buckets(classes: DataFrame, n_runs: int, small: int, deepest: int) -> tuple[DataFrame, list[str]]:
-    """``key, path, many`` for each set and each final bucket of two sets or more that it is in."""
-    paths = classes.select("key", "mins", F.explode(F.array(*[F.lit(1000 + r).cast("long") for r in range(n_runs)])).alias("path"))
-    level = _children(paths.withColumn("many", F.lit(0).cast("long")))
+    """``key, path, many, mass`` for each set and each final bucket of two sets or more that it is in."""
+    pool = COORDINATES // n_runs
+    paths = classes.select("key", "n", "mins", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run"))
+    nothing = F.lit(0).cast("long")
+    level = _children(paths.withColumns({"path": F.col("run").cast("long") + 1000, "used": nothing, "many": nothing, "mass": nothing}), pool)
     out, made = None, []
+    own = ["key", "path", "many", "mass"]
     for depth in range(deepest):
-        counted = attach(level, ["path"], F.col("key"), {"many": F.count("*")}, {"many": F.sum("many")})
+        counted = attach(level, ["path"], F.col("key"), {"many": F.count("*"), "mass": F.sum("n")}, {"many": F.sum("many"), "mass": F.sum("mass")})
         if depth:
             counted = attach(counted, ["parent"], F.col("key"), {"top": F.max("many")}, {"top": F.max("top")})
         counted, path = written(counted.where("many > 1") if not depth else counted, "buckets")
@@ -162,35 +196,22 @@ def _buckets(classes: DataFrame, n_runs: int, small: int, deepest: int) -> tuple
         if depth:
             # a bucket that sampling does not take apart (its sets are alike) is final itself
             dense = F.col("top") > DENSE * F.col("parent_many")
-            out = out.unionByName(counted.where(dense).select("key", F.col("parent").alias("path"), F.col("parent_many").alias("many")).distinct())
+            whole = counted.where(dense).select("key", F.col("parent").alias("path"), F.col("parent_many").alias("many"), F.col("parent_mass").alias("mass"))
+            out = out.unionByName(whole.distinct())
             live = counted.where(~dense & (F.col("many") > 1))
-        live = live.select("key", "path", "many")
         last = depth == deepest - 1
-        here = live if last else live.where(F.col("many") <= small)
+        here = (live if last else live.where(F.col("many") <= small)).select(*own)
         out = here if out is None else out.unionByName(here)
         if last or not has_rows(large := live.where(F.col("many") > small)):
             break
-        level = _children(large.join(classes.select("key", "mins"), "key"))
+        level = _children(large.select(*own, "n", "run", "used").join(classes.select("key", "mins"), "key"), pool)
     return out, made
 
 
-def _tasks(rows: DataFrame, block: int) -> DataFrame:
-    """Each row once for each pair of blocks (a, b) of its bucket, with ``side`` bit 1 if in a and 2 if in b."""
-    blocks = F.ceil(F.col("many") / F.lit(block)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "path"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    side = F.when(F.col("a") == F.col("b"), 3).when(F.col("own") == F.col("a"), 1).otherwise(2)
-    return rows.withColumn("side", side).drop("blocks", "own", "other")
-
-
-def _pairs(side: np.ndarray) -> np.ndarray:
-    """Which pairs (i < j) a task compares: within a block, or across its two blocks."""
-    if (side == 3).all():
-        allowed = np.ones((len(side), len(side)), dtype=bool)
-    else:
-        allowed = (side[:, None] | side[None, :]) == 3
-    return np.triu(allowed, 1)
+def _pairs(side: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Which pairs (i in a..b, j > i) a task compares: within a block, or across its two blocks."""
+    allowed = (side[a:b, None] | side[None, :]) == 3
+    return allowed & (np.arange(len(side))[None, :] > np.arange(a, b)[:, None])
 
 
 def _shared_least(left: np.ndarray, right: np.ndarray) -> int:
@@ -214,35 +235,92 @@ def _canonical(i: np.ndarray, j: np.ndarray, paths: list[np.ndarray], path: int)
     return (x @ x.T)[i, j] == 0
 
 
-def _hopeful(group: pa.Table, threshold: float) -> np.ndarray:
-    """Positions of the rows of a task that have a partner by sketch, size and bucket."""
-    n = group.column("n").to_numpy().astype(np.float64)
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(n), COORDINATES)
-    m = len(n)
-    allowed = _pairs(group.column("side").to_numpy())
-    allowed &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
-    # matches of b-bit minima: binomial with share j + (1 - j) / 256; six deviations below the mean at the threshold
-    share = threshold + (1 - threshold) / 256
-    least = math.floor(COORDINATES * share - 6 * math.sqrt(COORDINATES * share * (1 - share)))
-    equal = np.zeros((m, m), dtype=np.uint8)
-    for k in range(COORDINATES):
-        c = sketch[:, k]
-        equal += c[:, None] == c[None, :]
-    i, j = np.nonzero(allowed & (equal >= least))
-    if not len(i):
-        return i
-    paths = [np.frombuffer(p, dtype=np.int64) for p in group.column("paths").to_pylist()]
-    mine = _canonical(i, j, paths, group.column("path")[0].as_py())
-    return np.unique(np.concatenate([i[mine], j[mine]]))
-
-
-def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Block:
+    """Sets of a task with what tells that two of them cannot reach the threshold."""
+
+    def __init__(self, path: int, n: np.ndarray, sketch: np.ndarray, paths: list[np.ndarray]):
+        self.path, self.n, self.sketch, self.paths = path, n, sketch, paths
+
+    @classmethod
+    def of(cls, group: pa.Table) -> _Block:
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(group.num_rows, COORDINATES)
+        return cls(group.column("path")[0].as_py(), group.column("n").to_numpy().astype(np.float64), sketch, [np.frombuffer(p, dtype=np.int64) for p in group.column("paths").to_pylist()])
+
+    def hopeful(self, side: np.ndarray, threshold: float) -> np.ndarray:
+        """Positions of the sets that have a partner by sketch, size and bucket."""
+        n, sketch = self.n, np.ascontiguousarray(self.sketch.T)
+        # matches of b-bit minima: binomial with share j + (1 - j) / 256; six deviations below the mean at the threshold
+        share = threshold + (1 - threshold) / 256
+        least = math.floor(COORDINATES * share - 6 * math.sqrt(COORDINATES * share * (1 - share)))
+        found = np.zeros(len(n), dtype=bool)
+        for a in range(0, len(n), STRIP):
+            b = min(a + STRIP, len(n))
+            allowed = _pairs(side, a, b)
+            allowed &= np.minimum(n[a:b, None], n[None, :]) >= threshold * np.maximum(n[a:b, None], n[None, :]) - 1e-9
+            equal = np.zeros(allowed.shape, dtype=np.uint8)
+            for c in sketch:
+                equal += c[a:b, None] == c[None, :]
+            i, j = np.nonzero(allowed & (equal >= least))
+            if len(i):
+                i = i + a
+                mine = _canonical(i, j, self.paths, self.path)
+                found[i[mine]] = found[j[mine]] = True
+        return np.flatnonzero(found)
+
+
+#: What is left of a set in a task: the block pair it is in, and on which side of it.
+_LEFT = "key binary, path long, a int, b int, side int, paths binary"
+
+
+def _left(path: int, a: int, b: int, keys: list[bytes], side: np.ndarray, paths: list[bytes]) -> pa.RecordBatch:
+    same = lambda v, kind: pa.array([v] * len(keys), kind)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), same(path, pa.int64()), same(a, pa.int32()), same(b, pa.int32()), pa.array(side, pa.int32()), pa.array(paths, pa.binary())], names=["key", "path", "a", "b", "side", "paths"])
+
+
+def _candidates(rows: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """Sets with a possible partner, by task; ``rows``: key, path, blocks, block, n, sketch, paths."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["path"]):
+            side = np.full(group.num_rows, 3)
+            if group.num_rows > 1 and len(at := _Block.of(group).hopeful(side, threshold)):
+                left = group.take(pa.array(at))
+                yield _left(left.column("path")[0].as_py(), 0, 0, left.column("key").to_pylist(), side[at], left.column("paths").to_pylist())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["path", "block"]):
+            one = lambda c: group.column(c)[0].as_py()  # noqa: B023, E731
+            joined = lambda c: b"".join(group.column(c).to_pylist())  # noqa: B023, E731
+            ends = np.cumsum([len(p) for p in group.column("paths").to_pylist()]).astype(np.int64).tobytes()
+            values = [one("path"), one("blocks"), one("block"), joined("key"), group.column("n").to_numpy().astype(np.int64).tobytes(), joined("sketch"), joined("paths"), ends]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["path", "blocks", "block", "keys", "n", "sketch", "paths", "ends"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["path", "a", "b"]):
-            if group.num_rows > 1 and len(at := _hopeful(group, threshold)):
-                yield from group.select(["key", "path", "a", "b", "side", "paths"]).take(pa.array(at)).combine_chunks().to_batches()
-
-    return rows.mapInArrow(search, "key binary, path long, a int, b int, side int, paths binary")
+            r = group.to_pylist()
+            n = np.concatenate([np.frombuffer(x["n"], dtype=np.int64) for x in r]).astype(np.float64)
+            raw = [x["paths"][c:d] for x in r for c, d in itertools.pairwise([0, *np.frombuffer(x["ends"], dtype=np.int64).tolist()])]
+            sketch = np.frombuffer(b"".join(x["sketch"] for x in r), dtype=np.uint8).reshape(-1, COORDINATES)
+            keys = [x["keys"][k : k + 16] for x in r for k in range(0, len(x["keys"]), 16)]
+            first = len(r[0]["keys"]) // 16
+            side = np.full(len(n), 3) if len(r) == 1 else np.repeat([1, 2], [first, len(n) - first])
+            at = _Block(r[0]["path"], n, sketch, [np.frombuffer(p, dtype=np.int64) for p in raw]).hopeful(side, threshold)
+            if len(at):
+                yield _left(r[0]["path"], r[0]["a"], r[0]["b"], [keys[i] for i in at], side[at], [raw[i] for i in at])
+
+    one = rows.where("blocks = 1").select("key", "path", "n", "sketch", "paths").repartition("path").sortWithinPartitions("path", "key")
+    out, made = one.mapInArrow(within, _LEFT), []
+    large = rows.where("blocks > 1")
+    if has_rows(large):
+        packed = large.repartition("path", "block").sortWithinPartitions("path", "block", "key").mapInArrow(pack, "path long, blocks int, block int, keys binary, n binary, sketch binary, paths binary, ends binary")
+        packed, path = written(packed, "blocks")
+        made.append(path)
+        ends = packed.select("path", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        ends = ends.select("path", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+        met = ends.join(packed.drop("blocks"), ["path", "block"]).repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "block")
+        out = out.unionByName(met.mapInArrow(across, _LEFT))
+    return out, made
 
 
 def _verify(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, paths: list[np.ndarray], path: int, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -259,17 +337,21 @@ def _verify(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, paths:
     keep = count[group] > 1  # tokens of one set only are in no intersection
     column, owner = np.cumsum(first & keep)[keep] - 1, owner[keep]
     shared = np.zeros((m, m), dtype=np.float32)
-    width = 4096
+    width = 4096 if m <= 1000 else 1024
     total = int(column[-1]) + 1 if len(column) else 0
     for a in range(0, total, width):
         lo, hi = np.searchsorted(column, [a, a + width])
         x = np.zeros((m, min(width, total - a)), dtype=np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
         shared += x @ x.T
-    union = size[:, None] + size[None, :] - shared
-    i, j = np.nonzero(_pairs(side) & (shared >= threshold * union - 1e-6))
-    exact = shared[i, j].astype(np.float64) / union[i, j] >= threshold
-    i, j = i[exact], j[exact]
+    found = []
+    for a in range(0, m, STRIP):
+        b = min(a + STRIP, m)
+        union = size[a:b, None] + size[None, :] - shared[a:b]
+        i, j = np.nonzero(_pairs(side, a, b) & (shared[a:b] >= threshold * union - 1e-6))
+        exact = shared[a:b][i, j].astype(np.float64) / union[i, j] >= threshold
+        found.append((i[exact] + a, j[exact]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     mine = _canonical(i, j, paths, path)
     i, j = i[mine], j[mine]
     links = np.zeros(m, dtype=np.int64)
@@ -278,7 +360,7 @@ def _verify(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, paths:
     return links, forest(m, i, j)
 
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = TARGET_RECALL, small: int = SMALL, deepest: int = DEEPEST) -> DataFrame:
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = TARGET_RECALL, small: int = SMALL, deepest: int = DEEPEST, block: int = BLOCK) -> DataFrame:
     """``doc_id, class_id, class_size, n_links, group_id, kept`` of each row of ``docs``.
 
     ``class_id`` is the smallest doc_id with an equal shingle set, ``n_links`` the number of other documents at the
@@ -293,16 +375,19 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"))
     classes, made = written(classes, "classes")
     used.append(made)
-    buckets, made_paths = _buckets(classes, runs_for(threshold, recall), small, deepest)
+    n_runs, levels = plan_runs(threshold, recall, deepest)
+    buckets, made_paths = _buckets(classes, n_runs, small, levels)
     used += made_paths
     sorted_paths = F.array_sort(F.collect_set("path"))
     packed = lambda c: F.unhex(F.array_join(F.transform(c, _little_endian), ""))
     per_key = buckets.groupBy("key").agg(packed(sorted_paths).alias("paths"))
     stride = F.concat(*[F.substring(F.col("mins"), 4 * k + 1, 1) for k in range(COORDINATES)])
     sketches = classes.select("key", "n", stride.alias("sketch")).join(per_key, "key")
-    rows = _tasks(buckets.distinct(), small).join(sketches, "key")
-    rows = rows.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "key")
-    hopeful, made = written(_candidates(rows, threshold), "hopeful")
+    blocks = F.ceil(F.greatest(F.col("many") / F.lit(block), F.col("mass") / F.lit(BLOCK_TOKENS))).cast("int")
+    rows = buckets.distinct().select("key", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "path"), blocks).cast("int").alias("block")).join(sketches, "key")
+    candidates, made_paths = _candidates(rows, threshold)
+    used += made_paths
+    hopeful, made = written(candidates, "hopeful")
     used.append(made)
 
     # the texts of documents with a partner are read again; their shingle sets go to the tasks
@@ -391,5 +476,6 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
 
     A doc_id names one document: rows that share it stay or go together.  Rows without one cannot be named and stay.
     """
-    gone, _ = written(similarity_join(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "near")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = unused_name(docs.columns, "gone")
+    gone, _ = written(similarity_join(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "near")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm.ngram_join import minima, one_of_each_group, runs_for, shingles, similarity_join
+from sparkloom.llm.ngram_join import COORDINATES, TARGET_RECALL, minima, miss, one_of_each_group, plan_runs, shingles, similarity_join
 
 SCHEMA = "doc_id long, text string, key string, n int, kept int"
 
@@ -57,7 +57,7 @@ def run(spark, rows, **options):
     return similarity_join(df, **options)
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 6, "deepest": 3}, {"small": 4, "deepest": 1}])
+@pytest.mark.parametrize("options", [{}, {"small": 6, "deepest": 3}, {"small": 4, "deepest": 1}, {"small": 4, "block": 7}, {"small": 4, "deepest": 4, "block": 15}])
 def test_against_brute_force(spark, options):
     rows = corpus(7, 150, [(40, 4), (12, 3), (5, 2), (2, 1)])
     got = sorted((r.doc_id, r.n_links, r.group_id) for r in run(spark, rows, **options).collect())
@@ -112,4 +112,53 @@ def test_minima_agree_as_often_as_sets_overlap():
 
 
 def test_runs_reach_the_recall():
-    assert 0.0625 ** runs_for(0.8, 1 - 1e-6) <= 1e-6 * 1.001
+    for deepest in (1, 3, 6):
+        n, levels = plan_runs(0.8, TARGET_RECALL, deepest)
+        assert levels == deepest and miss(0.8, COORDINATES // n, deepest) ** n <= 1 - TARGET_RECALL
+    assert plan_runs(0.8, TARGET_RECALL, 6)[0] == 5 and plan_runs(0.6, TARGET_RECALL, 6)[1] < 6
+    with pytest.raises(ValueError):
+        plan_runs(0.1, TARGET_RECALL, 6)
+
+
+def test_miss_is_what_sampling_loses():
+    """The formula against the sampling itself: a tree over one pool of coordinates."""
+    r, pool, deepest, n = random.Random(5), 12, 4, 20_000
+
+    def found(agree, left, free):
+        if not left:
+            return True
+        return any(c in agree and found(agree, left - 1, [x for x in free if x != c]) for c in r.sample(free, 2))
+
+    lost = sum(not found({c for c in range(pool) if r.random() < 0.8}, deepest, list(range(pool))) for _ in range(n))
+    assert abs(lost / n - miss(0.8, pool, deepest)) < 0.01
+
+
+def test_rows_of_near_copies_are_in_proportion(spark):
+    """Twice as many near copies make twice as many rows in buckets and tasks, and every link is found."""
+    import sparkloom.llm.ngram_join as module
+
+    r, base, counts = random.Random(1), [f"w{i}" for i in range(60)], []
+    for n in (1000, 2000):
+        seen = {}
+        search = module._candidates
+
+        def counted(rows, threshold, _search=search, _seen=seen):
+            _seen["rows"] = rows.count()
+            return _search(rows, threshold)
+
+        module._candidates = counted
+        try:
+            rows = [(i, " ".join(w if j != i % 50 + 5 else f"x{i}" for j, w in enumerate(base))) for i in range(n)]
+            got = {x.doc_id: x.n_links for x in run(spark, rows).collect()}
+        finally:
+            module._candidates = search
+        counts.append(seen["rows"])
+        sets = [frozenset(shingles(t).tolist()) for _, t in rows]
+        for i in r.sample(range(n), 40):
+            assert got[i] == sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for s in sets) - 1
+    assert counts[1] < 2.6 * counts[0]
+
+
+def test_extra_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id long, text string, gone int, _gone int")
+    assert [tuple(r) for r in one_of_each_group(df).collect()] == [(1, "a b c d e f", 7, 8)]
