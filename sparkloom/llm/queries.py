@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, table, written
+from ._shared import new_path, table
 from .chat import format_chats
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .language import identify
-from .mixing import measured, mix, source_table
+from .mixing import mixture
 from .ngram_join import similarity_join
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data
@@ -72,19 +72,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized, _ = written(measured(table(spark, sf_dir, "documents")), "sized")
-    sources = source_table(sized)
-    key = ["doc_id", "source", "size", "row"]
-    # a document's places in the mix, one for each pass that takes it
-    places = F.array_sort(F.collect_list(F.struct("pass", "shard", "position")))
-    taken = mix(sized, sources).groupBy(*key).agg(F.sum("words").alias("words"), places.alias("places")).withColumnsRenamed({k: f"__{k}" for k in key})
-    rows = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("row") == F.col("__row"))
-    found = rows.join(taken, same, "left").withColumn("places", F.coalesce("places", F.expr("cast(array() as array<struct<pass: int, shard: int, position: bigint>>)")))
-    found = found.select("doc_id", "source", "size", F.coalesce("words", F.lit(0)).alias("taken"), F.col("places.shard").alias("shard"), F.col("places.position").alias("position"))
-    few = F.broadcast(sources.select(F.col("source").alias("__s"), "source_size", "target"))
-    found = found.join(few, F.col("source").eqNullSafe(F.col("__s")))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "shard", "position")
+    return mixture(table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
