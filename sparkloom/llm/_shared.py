@@ -160,20 +160,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The root of each of n nodes after joining left[i] with right[i]."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return np.fromiter((find(x) for x in range(n)), dtype=np.int64, count=n)
+    """The root, its smallest node, of each of n nodes after joining left[i] with right[i]."""
+    root = np.arange(n)
+    while len(left):
+        a, b = root[left], root[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(higher := root[root], root):
+            root = higher
+    return root
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -219,20 +219,34 @@ def _shared_least(left: np.ndarray, right: np.ndarray) -> int:
     return int(both[0]) if len(both) else 0
 
 
-def _canonical(i: np.ndarray, j: np.ndarray, paths: list[np.ndarray], path: int) -> np.ndarray:
-    """Which pairs belong to this bucket: it is the smallest that both sets are in."""
-    if len(i) < 8:
-        return np.fromiter((_shared_least(paths[a], paths[b]) == path for a, b in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
-    before = [p[p < path] for p in paths]
-    owner = np.repeat(np.arange(len(paths)), [len(p) for p in before])
-    ids, column, count = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
-    if not len(ids):
-        return np.ones(len(i), dtype=bool)
-    keep = count[column] > 1
-    x = np.zeros((len(paths), len(ids)), dtype=np.float32)
-    x[owner[keep], column[keep]] = 1
-    x = x[:, count > 1]
-    return (x @ x.T)[i, j] == 0
+class _Earlier:
+    """Buckets before a task's own in the order of their ids: a pair belongs to the smallest bucket that both sets are in."""
+
+    def __init__(self, paths: list[np.ndarray], path: int):
+        self.paths, self.path, self.marks = paths, path, None
+
+    def _mark(self) -> np.ndarray:
+        """Whether a set is in an earlier bucket, for the buckets that two sets or more are in."""
+        before = [p[p < self.path] for p in self.paths]
+        owner = np.repeat(np.arange(len(before)), [len(p) for p in before])
+        ids, column, count = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+        keep = count[column] > 1
+        marks = np.zeros((len(before), int((count > 1).sum())), dtype=np.uint8)
+        marks[owner[keep], (np.cumsum(count > 1) - 1)[column[keep]]] = 1
+        return marks
+
+    def none(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs share no earlier bucket."""
+        if len(i) < 8:
+            return np.fromiter((_shared_least(self.paths[a], self.paths[b]) == self.path for a, b in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
+        if self.marks is None:
+            self.marks = self._mark()
+        rows = np.unique(i)
+        shared = np.zeros((len(rows), len(self.paths)), dtype=np.float32)
+        for c in range(0, self.marks.shape[1], 512):
+            part = self.marks[:, c : c + 512].astype(np.float32)
+            shared += part[rows] @ part.T
+        return shared[np.searchsorted(rows, i), j] == 0
 
 
 class _Block:
@@ -252,7 +266,7 @@ class _Block:
         # matches of b-bit minima: binomial with share j + (1 - j) / 256; six deviations below the mean at the threshold
         share = threshold + (1 - threshold) / 256
         least = math.floor(COORDINATES * share - 6 * math.sqrt(COORDINATES * share * (1 - share)))
-        found = np.zeros(len(n), dtype=bool)
+        found, earlier = np.zeros(len(n), dtype=bool), _Earlier(self.paths, self.path)
         for a in range(0, len(n), STRIP):
             b = min(a + STRIP, len(n))
             allowed = _pairs(side, a, b)
@@ -263,7 +277,7 @@ class _Block:
             i, j = np.nonzero(allowed & (equal >= least))
             if len(i):
                 i = i + a
-                mine = _canonical(i, j, self.paths, self.path)
+                mine = earlier.none(i, j)
                 found[i[mine]] = found[j[mine]] = True
         return np.flatnonzero(found)
 
@@ -344,20 +358,19 @@ def _verify(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, paths:
         x = np.zeros((m, min(width, total - a)), dtype=np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
         shared += x @ x.T
-    found = []
-    for a in range(0, m, STRIP):
+    links, root, earlier = np.zeros(m, dtype=np.int64), np.arange(m), _Earlier(paths, path)
+    for a in range(0, m, STRIP):  # pairs are held for a strip at a time
         b = min(a + STRIP, m)
         union = size[a:b, None] + size[None, :] - shared[a:b]
         i, j = np.nonzero(_pairs(side, a, b) & (shared[a:b] >= threshold * union - 1e-6))
         exact = shared[a:b][i, j].astype(np.float64) / union[i, j] >= threshold
-        found.append((i[exact] + a, j[exact]))
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    mine = _canonical(i, j, paths, path)
-    i, j = i[mine], j[mine]
-    links = np.zeros(m, dtype=np.int64)
-    np.add.at(links, i, weight[j])
-    np.add.at(links, j, weight[i])
-    return links, forest(m, i, j)
+        i, j = i[exact] + a, j[exact]
+        mine = earlier.none(i, j)
+        i, j = i[mine], j[mine]
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
+        root = forest(m, root[i], root[j])[root]
+    return links, root
 
 
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = TARGET_RECALL, small: int = SMALL, deepest: int = DEEPEST, block: int = BLOCK) -> DataFrame:
