@@ -1,28 +1,32 @@
 """Personal data: exact base detectors, and a character-level bidirectional LSTM with CRF transitions.
 
 Base spans come from four patterns, leftmost and non-overlapping per kind, checked after matching (IP parts, card
-length and Luhn, phone digits); what fails is dropped without another try.  The network adds spans of the same
-kinds that the patterns miss (a card number run together with another, say); it never removes a base span.
-
-The network reads windows of characters, mapped to a small alphabet of character classes.  Every kind has a digit
-or an '@' in it, so windows are laid over the neighbourhood (``REACH`` characters each way) of every digit and
-every '@' of the whole text; a neighbourhood longer than a window is covered by overlapping windows.  Windows of a
-whole batch of documents are decoded together (Viterbi over the CRF), then reconciled globally in each document:
-a character takes its tag from the window in which it lies deepest.  A run of one tag is added if it overlaps no
-base span and passes its kind's plausibility test (``plausible``).
-
-Training is plain numpy (backpropagation through time, CRF forward-backward, Adam) on a bounded sample: windows
-of the ``most_docs`` documents with the smallest hash of their doc_id among those with a digit or an '@', labelled
-by base spans, plus the same spans re-cut into contexts that the patterns miss.  A document is labelled on its whole
-text.
-
-Defined results: null text counts as empty; with nothing to train on, only base spans are found; rows that repeat
-a doc_id are read one by one; other columns are ignored; offsets are code points, the end exclusive.
+length and Luhn, phone digits); what fails is dropped without another try.  The network adds spans of the same kinds
+in spellings that the patterns miss (``jane [at] example [dot] com``, ``192[.]0[.]2[.]7``, card numbers cut by other
+signs or run together, phone numbers without a plus); it never removes a base span.
+
+The network reads every character of every text, in overlapping windows of ``WINDOW`` characters.  Windows of a whole
+batch of documents are decoded together (Viterbi over the CRF), then reconciled globally in each document: a character
+takes its tag from the window in which it lies deepest.  A run of one tag is added if it overlaps no base span and its
+usual spelling (``usual``) passes its kind's checks (``plausible``).
+
+Training is plain numpy (backpropagation through time, CRF forward-backward, Adam) on a bounded sample: the
+``most_docs`` documents with the smallest hash of their doc_id among those with a digit or an '@' (texts are read
+whole when they are labelled; ``MOST_SPANS`` spans of a text and ``MOST_WINDOWS`` windows in all are fitted).  Labels
+are the shapes of the base patterns, the same data respelled (``respelled``), and windows without any: other text of
+the sample, and numbers that are no personal data (``decoy``).
+
+Defined results: null text counts as empty; very long texts are read whole; with no span in the sample there is no
+network and only base spans are found, as in an empty table; ties of equal doc_id and text are the same row to the
+sample; rows that repeat a doc_id are read one by one; other columns are ignored; offsets are code points, the end
+exclusive.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +38,20 @@ from ._shared import prepare, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1  # 0 is "outside"
-WINDOW, STEP, REACH = 80, 40, 24
-HIDDEN, EMBED = 12, 8
+#: Characters of a window, shared by neighbours, and of a window in training.
+WINDOW, OVERLAP, FITTED = 256, 48, 80
+HIDDEN, EMBED = 16, 10
 MOST_DOCS = 1500
-MOST_WINDOWS = 2000
-EPOCHS = 14
+MOST_SPANS = 8
+MOST_WINDOWS = 4000
+RESPELLED = 4
+EPOCHS = 16
 
 # --------------------------------------------------------------------------- base detectors
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # a match never begins within a run of digits
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -74,10 +81,15 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _byte_parts(found: str) -> bool:
+    parts = [p.lstrip("0") for p in found.split(".")]  # of any length
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [(0, a, b) for a, b in _emails(text)]
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if _byte_parts(m[0])]
     out += [(2, *m.span()) for m in _CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     out += [(3, *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
     return out
@@ -85,54 +97,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --------------------------------------------------------------------------- characters and windows
 
-_ALPHABET = " \n\t.,;:!?@%+-_()[]{}<>/\\|'\"#$&*=~"
-_CLASSES = len(_ALPHABET) + 6  # padding, digit, lower, upper, other letter, other
+_SIGNS = " \n\t.,;:!?@%+-_()[]{}<>/\\|'\"#$&*=~"
+#: Padding, digit, other letter, other; then letters of either case; then signs.
+_CLASSES = 4 + 26 + len(_SIGNS)
 
 
-def _class_table() -> np.ndarray:
-    table = np.full(0x250, 5, dtype=np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        table[c] = 1 if "0" <= ch <= "9" else 2 if "a" <= ch <= "z" else 3 if "A" <= ch <= "Z" else 4 if ch.isalpha() else 6 + _ALPHABET.index(ch) if ch in _ALPHABET else 5
-    return table
+def _class_of(c: str) -> int:
+    if "0" <= c <= "9":
+        return 1
+    if c.isascii() and c.isalpha():
+        return 4 + ord(c.lower()) - ord("a")
+    return 30 + _SIGNS.index(c) if c in _SIGNS else 2 if c.isalpha() else 3
 
 
-_TABLE = _class_table()
+_TABLE = np.array([_class_of(chr(c)) for c in range(0x250)], dtype=np.uint8)
 
 
 def char_classes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(codes < 0x250, _TABLE[np.minimum(codes, 0x24F)], 4).astype(np.uint8)
-
-
-_AT = 6 + _ALPHABET.index("@")
-
-
-def windows_of(classes: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the windows over the neighbourhoods of digits and '@'."""
-    marks = np.flatnonzero((classes == 1) | (classes == _AT))
-    if not len(marks):
-        return []
-    out = []
-    cut = np.flatnonzero(np.diff(marks) > 2 * REACH)
-    firsts, lasts = marks[np.append(0, cut + 1)], marks[np.append(cut, len(marks) - 1)]
-    for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-        a, b = max(0, a - REACH), min(len(classes), b + 1 + REACH)
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += STEP
-        out.append((a, b))
-    return out
+    return np.where(codes < 0x250, _TABLE[np.minimum(codes, 0x24F)], 2).astype(np.uint8)
 
 
-def batch_of(classes: list[np.ndarray], spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Padded class ids (windows x WINDOW) and lengths."""
-    x = np.zeros((len(spans), WINDOW), dtype=np.uint8)
-    n = np.zeros(len(spans), dtype=np.int64)
-    for row, (doc, a, b) in enumerate(spans):
-        x[row, : b - a] = classes[doc][a:b]
-        n[row] = b - a
-    return x, n
+def windows_of(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the windows over a text of n characters; the last one ends with it."""
+    if n <= WINDOW:
+        return [(0, n)] if n else []
+    return [(a, a + WINDOW) for a in [*range(0, n - WINDOW, WINDOW - OVERLAP), n - WINDOW]]
+
+
+def reconciled(windows: list[tuple[int, int]], rows: list[np.ndarray]) -> np.ndarray:
+    """A text's tags: each character's from the window in which it lies deepest, so windows change in mid-overlap."""
+    cuts = [(b + a) // 2 for (_, b), (a, _) in itertools.pairwise(windows)]
+    edges = itertools.pairwise([0, *cuts, windows[-1][1]])
+    return np.concatenate([row[x - a : y - a] for row, (a, _), (x, y) in zip(rows, windows, edges, strict=True)])
 
 
 # --------------------------------------------------------------------------- network
@@ -185,23 +182,75 @@ class BiLstmCrf:
         return both @ self.p["out"] + self.p["bias"]
 
     def decode(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Viterbi tags (windows x WINDOW) of padded class ids."""
-        mask = np.arange(x.shape[1])[None, :] < n[:, None]
-        e, mt = self.emissions(x, mask), mask.T
-        score = e[0] + self.p["start"]
-        back = np.zeros((x.shape[1], len(x), TAGS), dtype=np.int8)
-        for t in range(1, x.shape[1]):
-            to = score[:, :, None] + self.p["trans"][None]
-            back[t] = to.argmax(1)
-            new = np.take_along_axis(to, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
-            score = np.where(mt[t][:, None], new, score)
-            back[t][~mt[t]] = np.arange(TAGS)
+        """Viterbi tags (windows x characters) of padded class ids."""
+        rows, steps = x.shape
+        mask = np.arange(steps)[None, :] < n[:, None]
+        e = self._emissions(x, n)
+        trans = self.p["trans"]
+        scores = np.empty((steps, TAGS, rows), np.float32)
+        scores[0] = e[0] + self.p["start"][:, None]
+        outside = scores[0, 0].copy()  # of the path without any span, summed up in the same way
+        for t in range(1, steps):
+            before, m = scores[t - 1], mask[:, t]
+            best = before[0] + trans[0][:, None]
+            for i in range(1, TAGS):
+                np.maximum(best, before[i] + trans[i][:, None], out=best)
+            best += e[t]
+            straight = outside + trans[0, 0] + e[t, 0]
+            if m.all():
+                scores[t], outside = best, straight
+            else:
+                scores[t], outside = np.where(m, best, before), np.where(m, straight, outside)
         tags = np.zeros(x.shape, dtype=np.int8)
-        best = score.argmax(1)
-        for t in range(x.shape[1] - 1, -1, -1):
-            tags[:, t] = best
-            best = back[t][np.arange(len(x)), best] if t else best
-        return np.where(mask, tags, 0)
+        some = np.flatnonzero(scores[-1].max(0) != outside)  # the others have no span
+        now = scores[-1][:, some].argmax(0)
+        for t in range(steps - 1, -1, -1):
+            tags[some, t] = np.where(mask[some, t], now, 0)
+            if t:
+                now = np.where(mask[some, t], (scores[t - 1][:, some] + trans[:, now]).argmax(0), now)
+        return tags
+
+    def _emissions(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Emissions (characters x tags x windows) without what training needs.
+
+        The backward pass reads each window from its own end, so that no state has to be masked.
+        """
+        rows, steps = x.shape
+        at = np.arange(steps)[None, :]
+        turned = np.where(at < n[:, None], n[:, None] - 1 - at, at)  # its own inverse
+        out = np.empty((steps, TAGS, rows), np.float32)
+        parts = []
+        for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
+            # gates apart from each other; a sigmoid is (1 + tanh of half the argument) / 2, and h is kept twice as large
+            half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+            gates = lambda w: np.ascontiguousarray(w.reshape(-1, 4, HIDDEN).transpose(1, 0, 2))
+            inputs, wh = gates(self.p["embed"] @ self.p[d + "x"] + self.p[d + "b"]) * half, gates(self.p[d + "h"]) * half / 2
+            own = self.p["out"][part] / 2
+            ids = np.ascontiguousarray((x if d == "f" else np.take_along_axis(x, turned, 1)).T).astype(np.intp)
+            h, c, p, q = (np.zeros((rows, HIDDEN), np.float32) for _ in range(4))
+            g, seen = np.empty((4, rows, HIDDEN), np.float32), np.empty((steps, rows, TAGS), np.float32)
+            more = np.empty_like(g)
+            for t in range(steps):
+                np.matmul(h, wh, out=g)
+                np.take(inputs, ids[t], axis=1, out=more, mode="clip")
+                g += more
+                i, f, o, u = np.tanh(g, out=g)
+                np.multiply(f, c, out=p)
+                p += c
+                np.multiply(i, u, out=q)
+                q += u
+                np.add(p, q, out=c)
+                c *= 0.5
+                np.tanh(c, out=p)
+                np.multiply(o, p, out=h)
+                h += p
+                np.matmul(h, own, out=seen[t])
+            parts.append(seen)
+        back = parts[1] if (n == steps).all() else None
+        for t in range(steps):
+            b = back[steps - 1 - t] if back is not None else parts[1][turned[:, t], np.arange(rows)]
+            out[t] = (parts[0][t] + b).T
+        return out + self.p["bias"][:, None]
 
     def loss_and_grad(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags ``y`` and its gradient."""
@@ -262,7 +311,7 @@ class BiLstmCrf:
         grad[d + "x"] = self.p["embed"].T @ by_class
         grad["embed"] += by_class @ self.p[d + "x"].T
 
-    def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, batch: int = 32, seed: int = 9) -> list[float]:
+    def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, batch: int = 64, seed: int = 9) -> list[float]:
         rng = np.random.default_rng(seed)
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step, losses = 0, []
@@ -287,41 +336,116 @@ class BiLstmCrf:
 
 # --------------------------------------------------------------------------- training sample and detection
 
+_AT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+|\s*@\s*", re.I)
+_DOT = re.compile(r"\s*[\[(]\s*(?:dot|\.)\s*[\])]\s*|\s+dot\s+|\s*\.\s*", re.I)
+
+
+def usual(kind: int, found: str) -> str:
+    """The usual spelling of what the network has found."""
+    if kind == 0:
+        return _DOT.sub(".", _AT.sub("@", found))
+    if kind == 1:
+        return _DOT.sub(".", found)
+    return found
+
+
+def plausible(kind: int, found: str) -> bool:
+    """Whether an added span can be of its kind at all: the base checks of its usual spelling."""
+    found = usual(kind, found)
+    if kind == 0:
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", found))
+    if kind == 1:
+        return bool(_IP.fullmatch(found)) and all(len(p) <= 3 for p in found.split(".")) and _byte_parts(found)
+    digits = _digits(found)
+    if kind == 2:
+        return bool(re.fullmatch(r"[0-9](?:[ ./_-]{0,2}[0-9])+", found)) and 16 <= len(digits) <= 19 and luhn(digits)
+    # a number without a plus needs an area code and two gaps
+    return bool(re.fullmatch(r"[+(0-9][ ()./0-9-]+[0-9]", found)) and (8 if found[0] == "+" else 10) <= len(digits) <= 15 and (found[0] == "+" or len(re.findall(r"[ ()./-]+", found)) >= 2)
+
+
+def shapes(text: str) -> list[tuple[int, int, int]]:
+    """What the patterns match, whether it passes Luhn's check or not: a network cannot sum up digits."""
+    out = [x for x in base_spans(text) if x[0] != 2]
+    return out + [(2, *m.span()) for m in _CARD.finditer(text) if 16 <= len(_digits(m[0])) <= 19]
+
+
+def respelled(kind: int, found: str, rng: np.random.Generator) -> list[tuple[str, int]]:
+    """Parts (text, tag) of a span in a spelling that the patterns miss."""
+    pick = lambda *of: of[int(rng.integers(len(of)))]
+    tag, digits = kind + 1, _digits(found)
+    if kind == 0:
+        local, _, domain = found.partition("@")
+        at, dots = pick((" at ", (" dot ",)), (" [at] ", (" [dot] ", ".", " dot ")), ("[at]", ("[dot]", ".")), ("(at)", ("(dot)", ".")), (" (at) ", (" (dot) ", ".")), (" @ ", (".", " . ")), (" AT ", (" DOT ",)))
+        return [(local + at + domain.replace(".", pick(*dots)), tag)]
+    if kind == 1:
+        return [(found.replace(".", pick("[.]", "(.)", " . ", "[dot]", " dot ")), tag)]
+    if kind == 2:
+        if rng.random() < 0.4:  # two numbers that the pattern reads as one
+            return [(found, tag), (" ", 0), (found if rng.random() < 0.5 else _number(len(digits), rng), tag)]
+        return [(pick(".", "/", "_", "  ", " - ").replace(" - ", "--").join(digits[i : i + 4] for i in range(0, len(digits), 4)), tag)]
+    area, middle, end = digits[-10:-7] or "30", digits[-7:-4], digits[-4:]
+    area = (area + "217")[:3]
+    forms = ("({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "1-{0}-{1}-{2}", "001 {0} {1} {2}", "{0}/{1}-{2}", "0{0} {1} {2}", "+1/{0}/{1}/{2}")
+    return [(pick(*forms).format(area, middle, end), tag)]
+
+
+def _number(n: int, rng: np.random.Generator) -> str:
+    return "".join(str(d) for d in rng.integers(0, 10, n))
+
+
+def decoy(rng: np.random.Generator) -> str:
+    """Numbers and signs that are no personal data."""
+    n = lambda low, high: int(rng.integers(low, high))
+    forms = (
+        lambda: f"{n(1900, 2030)}-{n(1, 13):02}-{n(1, 29):02}", lambda: f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2030)}", lambda: f"{n(1, 13)}/{n(1, 29)}/{n(1900, 2030)} {n(0, 24):02}:{n(0, 60):02}:{n(0, 60):02}",
+        lambda: f"{n(0, 20)}.{n(0, 20)}.{n(0, 90)}", lambda: f"{n(0, 10**6):,}.{n(0, 100):02}", lambda: f"${n(1, 10**5)}", lambda: _number(n(1, 15), rng), lambda: _number(n(20, 40), rng), lambda: f"{n(0, 2**62):x}{n(0, 2**62):x}",
+        lambda: f"{n(1, 99)} at {n(1, 99)}", lambda: f"v{n(0, 9)}.{n(0, 99)}", lambda: f"978-{n(0, 10)}-{n(100, 999)}-{n(10000, 99999)}-{n(0, 10)}", lambda: f"({n(1, 99)}) {n(1, 999)}", lambda: f"@{n(1, 99)}", lambda: f"{n(1, 99)} - {n(100, 999)}", lambda: f"#{n(1, 10**6)}",
+    )
+    return forms[n(0, len(forms))]()
+
 
 def training_windows(texts: list[str], most: int = MOST_WINDOWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows with tags from base spans; for every fourth span also one in a context that the patterns miss."""
+    """Padded classes, lengths and tags of windows: at most a third of spans as they are, as many respelled and without any."""
     rng = np.random.default_rng(seed)
-    xs: list[np.ndarray] = []
-    ys: list[np.ndarray] = []
+    each: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
 
-    def add(classes: np.ndarray, tags: np.ndarray) -> None:
-        for a, b in windows_of(classes):
-            xs.append(classes[a:b])
-            ys.append(tags[a:b])
+    def add(kind: int, parts: list[tuple[str, int]]) -> None:
+        """A window that holds the first part with a tag (or the middle), at any place."""
+        text, tags = "".join(t for t, _ in parts), np.concatenate([np.full(len(t), k, dtype=np.int8) for t, k in parts])
+        marked = np.flatnonzero(tags)
+        low, high = (int(marked[0]), int(marked[-1]) + 1) if len(marked) else (len(text) // 2, len(text) // 2 + 1)
+        spare = max(1, FITTED - (high - low))
+        a = max(0, low - int(rng.integers(0, spare + 1)))
+        each[kind].append((char_classes(text[a : a + FITTED]), tags[a : a + FITTED]))
 
     for text in texts:
-        spans = base_spans(text)
-        classes, tags = char_classes(text), np.zeros(len(text), dtype=np.int8)
-        for kind, a, b in spans:
-            tags[a:b][tags[a:b] == 0] = kind + 1
-        add(classes, tags)
-        for kind, a, b in spans[::4]:
-            found, before, after = text[a:b], text[max(0, a - 30) : a], text[b : b + 30]
-            if kind == 2:  # two numbers that the pattern reads as one
-                parts = [(before, 0), (found, 3), (" ", 0), (found, 3), (after, 0)]
-            elif kind == 1:  # a number of a list before the address
-                parts = [(before, 0), (f"{rng.integers(1, 9)}.", 0), (found, 2), (after, 0)]
-            else:
-                parts = [(before, 0), (found, kind + 1), (after, 0)]
-            add(char_classes("".join(p for p, _ in parts)), np.concatenate([np.full(len(p), k, dtype=np.int8) for p, k in parts]))
-    if len(xs) > most:
-        chosen = rng.permutation(len(xs))[:most]
-        xs, ys = [xs[i] for i in chosen], [ys[i] for i in chosen]
-    x, y = np.zeros((len(xs), WINDOW), np.uint8), np.zeros((len(xs), WINDOW), np.int8)
-    n = np.array([len(a) for a in xs], dtype=np.int64)
-    for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
-        x[i, : len(a)], y[i, : len(b)] = a, b
-    return x, n, y.astype(np.int64)
+        spans = shapes(text)
+        for kind, a, b in (spans[i] for i in rng.permutation(len(spans))[:MOST_SPANS].tolist()):
+            low, high = max(0, a - FITTED), min(len(text), b + FITTED)
+            tags = np.zeros(high - low, dtype=np.int8)
+            for k, x, y in spans:
+                if x < high and y > low:
+                    part = tags[max(0, x - low) : y - low]
+                    part[part == 0] = k + 1
+            parts = lambda x, y, tags=tags, low=low, text=text: [(text[low + i], int(tags[i])) for i in range(x - low, y - low)]
+            add(0, [*[(t, 0) for t, _ in parts(low, a)], (text[a:b], kind + 1), *[(t, 0) for t, _ in parts(b, high)]] if not tags[: a - low].any() and not tags[b - low :].any() else parts(low, high))
+            if not tags[: a - low].any() and not tags[b - low :].any():
+                for _ in range(RESPELLED):
+                    add(1, [(text[low:a], 0), *respelled(kind, text[a:b], rng), (text[b:high], 0)])
+        free = int(rng.integers(0, max(1, len(text) - FITTED)))
+        low, high = free, min(len(text), free + FITTED)
+        if high > low and not any(x < high and y > low for _, x, y in spans):
+            add(2, [(text[low:high], 0)])
+            middle = low + int(rng.integers(0, high - low))
+            add(2, [(text[low:middle], 0), (f" {decoy(rng)} ", 0), (text[middle:high], 0)])
+    if not each[0]:
+        return np.zeros((0, FITTED), np.uint8), np.zeros(0, np.int64), np.zeros((0, FITTED), np.int64)
+    chosen = [part[i] for part in each for i in rng.permutation(len(part))[: most // len(each)].tolist()]
+    x, y = np.zeros((len(chosen), FITTED), np.uint8), np.zeros((len(chosen), FITTED), np.int64)
+    n = np.array([len(c) for c, _ in chosen], dtype=np.int64)
+    for i, (c, t) in enumerate(chosen):
+        x[i, : len(c)], y[i, : len(t)] = c, t
+    return x, n, y
 
 
 def train(texts: list[str], epochs: int = EPOCHS) -> BiLstmCrf | None:
@@ -333,51 +457,45 @@ def train(texts: list[str], epochs: int = EPOCHS) -> BiLstmCrf | None:
     return model
 
 
-def plausible(kind: int, found: str) -> bool:
-    """Whether an added span can be of its kind at all: the base checks, applied to the span as cut by the network."""
-    if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", found))
-    if kind == 1:
-        return bool(_IP.fullmatch(found)) and all(len(p) <= 3 and int(p) <= 255 for p in found.split("."))
-    if kind == 2:
-        return bool(_CARD.fullmatch(found)) and 16 <= len(d := _digits(found)) <= 19 and luhn(d)
-    return bool(_PHONE.fullmatch(found)) and 8 <= len(_digits(found)) <= 15
-
-
-def added_spans(model: BiLstmCrf | None, texts: list[str], base: list[list[tuple[int, int, int]]], block: int = 512) -> list[list[tuple[int, int, int]]]:
+def added_spans(model: BiLstmCrf | None, texts: list[str], base: list[list[tuple[int, int, int]]], block: int = 1024) -> list[list[tuple[int, int, int]]]:
     """Spans of the network in each text that overlap no base span."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if model is None:
         return out
     classes = [char_classes(t) for t in texts]
-    spans = [(i, a, b) for i, c in enumerate(classes) for a, b in windows_of(c)]
-    depth = [None] * len(texts)
-    tags = [None] * len(texts)
+    windows = [windows_of(len(t)) for t in texts]
+    spans = [(b - a, i, k, a, b) for i, w in enumerate(windows) for k, (a, b) in enumerate(w)]
+    spans.sort()  # windows of one length together
+    tags: dict[int, dict[int, np.ndarray]] = {}
     for k in range(0, len(spans), block):
         part = spans[k : k + block]
-        x, n = batch_of(classes, part)
-        for (doc, a, b), row in zip(part, model.decode(x, n), strict=True):
-            if tags[doc] is None:
-                tags[doc], depth[doc] = np.zeros(len(texts[doc]), np.int8), np.full(len(texts[doc]), -1, np.int16)
-            at = np.arange(b - a)
-            deep = np.minimum(np.where(a > 0, at, WINDOW), np.where(b < len(texts[doc]), b - a - 1 - at, WINDOW)).astype(np.int16)
-            better = deep > depth[doc][a:b]
-            depth[doc][a:b][better] = deep[better]
-            tags[doc][a:b][better] = row[: b - a][better]
-    for i, (t, text) in enumerate(zip(tags, texts, strict=True)):
-        if t is None or not t.any():
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], t, [0]])))
-        taken = [(a, b) for _, a, b in base[i]]
-        for a, b in zip(edges.tolist(), edges.tolist()[1:], strict=False):
-            if (kind := int(t[a]) if a < len(t) else 0) and not any(a < y and x < b for x, y in taken) and plausible(kind - 1, text[a:b]):
-                out[i].append((kind - 1, a, b))
+        n = np.array([x[0] for x in part], dtype=np.int64)
+        x = np.zeros((len(part), int(n[-1])), dtype=np.uint8)
+        for row, (length, i, _, a, b) in zip(x, part, strict=True):
+            row[:length] = classes[i][a:b]
+        found = model.decode(x, n)
+        for r in np.flatnonzero(found.any(1)).tolist():
+            length, i, at, _, _ = part[r]
+            tags.setdefault(i, {})[at] = found[r, :length]
+    for i, rows in tags.items():
+        text = texts[i]
+        t = reconciled(windows[i], [rows.get(k, np.zeros(b - a, np.int8)) for k, (a, b) in enumerate(windows[i])])
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]]).tolist()
+        taken = sorted((a, b) for _, a, b in base[i])
+        until = list(itertools.accumulate((b for _, b in taken), max))
+        for a, b in itertools.pairwise(edges):
+            kind = int(t[a]) - 1
+            if kind < 0:
+                continue
+            before = bisect_left(taken, (b, 0))  # base spans that begin before the end
+            if (not before or until[before - 1] <= a) and plausible(kind, text[a:b]):
+                out[i].append((kind, a, b))
     return out
 
 
 def sample_texts(docs: DataFrame, most_docs: int = MOST_DOCS) -> list[str]:
-    some = thinned(docs.select("doc_id", "text"), "doc_id", 4 * most_docs, docs.count())
-    rows = some.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_docs).collect()
+    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    rows = thinned(some, "doc_id", most_docs, some.count()).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_docs).collect()
     return [r["text"] for r in rows]
 
 
