@@ -19,8 +19,8 @@ from .operators.rows import new_slot
 from .plans.execute import execute
 from .plans.parser import parse
 from .sources import graph_json
-from .sources.catalog import Catalog, NodeTable, merged
-from .sources.scratch import has_rows
+from .sources.catalog import MOST_CHANGES, Catalog, NodeTable, merged
+from .sources.scratch import has_rows, written
 
 
 class GraphEngine:
@@ -29,6 +29,7 @@ class GraphEngine:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
         self.spark, self.catalog = spark, catalog or Catalog(spark)
         self.raw_vectors: DataFrame | None = None
+        self._raw_changes = 0
         self._saved: list[Catalog] = []
         self.indexes: set[tuple[str, str]] = set()
 
@@ -96,6 +97,23 @@ class GraphEngine:
             self.catalog = self.catalog.with_nodes(labels, graph_json.node_frame(self.spark, rows))
         return ids
 
+    def create_nodes_from(self, labels: Iterable[str], rows: DataFrame, id_col: str | None = None, vector_col: str | None = None) -> None:
+        """New nodes, one for each row of a DataFrame of any size: its columns are their properties.
+
+        Ids are those of ``id_col`` (as strings; they must be new) or drawn.  Drawn ids are written down once.
+        """
+        fixed = [F.expr("uuid()").alias("_id") if id_col is None else F.col(f"`{id_col}`").cast("string").alias("_id")]
+        if vector_col is not None:
+            fixed.append(F.col(f"`{vector_col}`").cast("array<float>").alias("_vec"))
+        rows = rows.select(*fixed, *[F.col(f"`{c}`") for c in rows.columns if c not in (id_col, vector_col)])
+        self.catalog = self.catalog.with_nodes(tuple(labels), written(rows, "nodes") if id_col is None else rows)
+
+    def create_edges_from(self, rel_type: str, rows: DataFrame, source_col: str, target_col: str) -> None:
+        """New edges, one for each row of a DataFrame of any size; endpoints are not looked up."""
+        ends = [F.expr("uuid()").alias("_eid"), F.col(f"`{source_col}`").cast("string").alias("_src"), F.col(f"`{target_col}`").cast("string").alias("_dst")]
+        rows = rows.select(*ends, *[F.col(f"`{c}`") for c in rows.columns if c not in (source_col, target_col)])
+        self.catalog = self.catalog.with_new_edges(rel_type, written(rows, "edges"))
+
     def _table_of(self, node_id: str) -> NodeTable:
         for t in self.catalog.nodes.values():
             if has_rows(t.df.where(F.col("_id") == node_id)):
@@ -189,10 +207,11 @@ class GraphEngine:
     # ----------------------------------------------------------------- catalog
 
     def create_property_index(self, label: str, prop: str) -> None:
-        """Notes that ``prop`` is looked up often: the label's tables are kept clustered by it, for scans to skip files and row groups."""
+        """Writes the label's tables clustered by ``prop``, so that lookups skip files and row groups; the order is lost when they change."""
         for t in self.catalog.node_tables((label,)):
             if prop in t.props:
-                self.catalog = self.catalog.with_table(replace(t, df=t.df.repartitionByRange(F.col(f"`{prop}`")).sortWithinPartitions(F.col(f"`{prop}`")), changes=t.changes + 1))
+                clustered = t.df.repartitionByRange(F.col(f"`{prop}`"), F.col("_id")).sortWithinPartitions(F.col(f"`{prop}`"))
+                self.catalog = self.catalog.with_table(replace(t, df=written(clustered, "clustered"), changes=0))
         self.indexes.add((label, prop))
 
     def reindex(self) -> list[tuple[str, str]]:
@@ -237,12 +256,29 @@ class GraphEngine:
         self.catalog, n, e = graph_json.load(self.catalog, graph)
         return n, e
 
+    def export_json_lines(self, folder: str) -> None:
+        """The graph as JSON lines under ``<folder>/nodes`` and ``<folder>/edges``, written by all executors."""
+        graph_json.write(self.catalog, folder)
+
+    def import_json_lines(self, folder: str) -> None:
+        """Adds a graph of JSON lines, of any size, under new ids; an edge with an unknown end is an error."""
+        self.catalog = graph_json.read(self.catalog, folder)
+
     # ----------------------------------------------------------------- vectors beside the graph
 
     def insert_vector(self, vector_id: str, vector: Iterable[float], metadata: dict[str, Any] | None = None) -> None:
         row = self.spark.createDataFrame([(vector_id, [float(x) for x in vector], json.dumps(metadata or {}))], "id string, vector array<float>, metadata string")
-        old = None if self.raw_vectors is None else self.raw_vectors.where(F.col("id") != vector_id)
-        self.raw_vectors = row if old is None else old.unionAll(row)
+        self.insert_vectors(row)
+
+    def insert_vectors(self, rows: DataFrame) -> None:
+        """Rows of (id, vector, metadata as JSON), ids different; of equal ids the new one stays.  Written down after every few changes."""
+        rows = rows.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("metadata").cast("string").alias("metadata"))
+        if self.raw_vectors is not None:
+            rows = self.raw_vectors.join(rows.select("id"), "id", "left_anti").unionByName(rows)
+        self._raw_changes += 1
+        if self._raw_changes >= MOST_CHANGES:
+            rows, self._raw_changes = written(rows, "vectors"), 0
+        self.raw_vectors = rows
 
     def get_vector(self, vector_id: str) -> list[float] | None:
         rows = [] if self.raw_vectors is None else self.raw_vectors.where(F.col("id") == vector_id).take(1)

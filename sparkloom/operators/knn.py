@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact top-k, many queries at once, and an approximate join for large query sets."""
+"""Nearest neighbours: exact top-k, the same through an index, and many queries at once."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from ..functions import values as V
 from ..functions import vectors
 from ..functions.expressions import Compiler, constant_norm
 from ..plans import ast as A
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, merged
+from .ivf import VectorIndex
 from .match import Matcher
 from .rows import Rows, Scalar, new_slot
 
@@ -64,6 +65,36 @@ def _nearest(catalog: Catalog, args: list[V.Value]) -> Rows:
 PROCEDURES["vector.nearest"] = _nearest
 
 
+def index_of(catalog: Catalog) -> VectorIndex | None:
+    """The index over the vectors of all nodes: built once, and again only after their tables have changed."""
+    tables = [t for t in catalog.node_tables() if t.has_vectors]
+    held = catalog.indexes.get("vectors")
+    if held is None or [id(df) for df in held[0]] != [id(t.df) for t in tables]:
+        rows = [t.df.select(F.col("_id").alias("id"), F.col("_vec").cast("array<double>").alias("vec")) for t in tables]
+        held = catalog.indexes["vectors"] = ([t.df for t in tables], VectorIndex.build(merged(rows)) if rows else None)
+    return held[1]
+
+
+def _approximate(catalog: Catalog, args: list[V.Value]) -> Rows:
+    """``vector.approximate(field, query [, k])``: as ``vector.nearest``, through the index."""
+    if not 2 <= len(args) <= 3 or args[0].type != "string" or args[1].literal is None:
+        raise CypherTypeError("vector.approximate takes a field name, a constant vector and optionally k")
+    k = args[2].literal if len(args) == 3 else 10
+    if not isinstance(k, int) or isinstance(k, bool) or k < 0:
+        raise CypherTypeError("k must be a whole number of 0 or more")
+    index = index_of(catalog)
+    if index is None:
+        return _nearest(catalog, args)
+    df, node = Matcher(catalog, {}, set()).scan(None, (), (), [t for t in catalog.node_tables() if t.has_vectors])
+    slot = new_slot("s")
+    found = index.search([float(x) for x in args[1].literal], k).select(F.col("id").alias(f"{slot}__id"), F.col("score").alias(slot))
+    df = df.join(found, node.id == F.col(f"{slot}__id")).drop(f"{slot}__id").orderBy(F.col(slot).desc(), node.id)
+    return Rows(df, {"node": node, "score": Scalar(slot, "float")}, order=((slot, True),))
+
+
+PROCEDURES["vector.approximate"] = _approximate
+
+
 def nearest_to_each(vectors_df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int | None = None) -> DataFrame:
     """The k nearest of ``vectors_df`` (id, vec) for each of ``queries`` (q, vec), the query's own id left out: ``q, id, score, rk``.
 
@@ -127,21 +158,3 @@ def nearest_of_all(vectors_df: DataFrame, k: int, digits: int = 6) -> DataFrame:
     top = asked.unionByName(known).groupBy("size", "a", "b").applyInArrow(best, "q long, id long, score double")
     rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
     return top.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
-
-
-def approximate_nearest(vectors_df: DataFrame, queries: DataFrame, k: int, tables: int = 8, width: float = 0.5, reach: float = 1.2, seed: int = 1) -> DataFrame:
-    """``q, id, score, rk`` by locality-sensitive hashing of unit vectors: only vectors that share a hash bucket with a query meet it.
-
-    ``reach`` is the largest Euclidean distance of unit vectors looked for.  Neighbours can be missed; use
-    ``nearest_to_each`` where results must be exact.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    unit = lambda df, key: df.where(vectors.is_valid(F.col("vec"))).select(key, array_to_vector(vectors.normalized(F.col("vec"))).alias("features"))
-    base, asked = unit(vectors_df, "id"), unit(queries, "q")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(base)
-    met = model.approxSimilarityJoin(base, asked, reach, distCol="distance")
-    met = met.select(F.col("datasetB.q").alias("q"), F.col("datasetA.id").alias("id"), vectors.dot(vector_to_array("datasetA.features"), vector_to_array("datasetB.features")).alias("score")).where("q <> id")
-    rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
-    return met.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)

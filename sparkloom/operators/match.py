@@ -1,7 +1,7 @@
 """Graph patterns as joins.
 
-A pattern starts at its most selective node (bound, then with inline properties, then the first) and grows hop by
-hop.  A hop is an equi-join of the rows with the edge tables of the wanted types and, if the far node's properties or
+A pattern starts at its most selective node (bound, then with inline properties or, in variable-length patterns, with
+conditions of the following WHERE, then the first) and grows hop by hop.  A hop is an equi-join of the rows with the edge tables of the wanted types and, if the far node's properties or
 labels are needed, with its node tables.  Edges that are a foreign key of the nodes at one end cost no join of their
 own: from the owner's side the far id is computed, towards the owner's side its nodes are joined on the key.
 Edge tables that cannot connect the labels in question are left out when the plan is built.
@@ -9,7 +9,7 @@ Edge tables that cannot connect the labels in question are left out when the pla
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,8 @@ class Matcher:
     params: dict[str, Any]
     full: set[str]  # variables of which more than the id is needed
     endpoints_only: bool = False
+    #: Conditions on one node each, by its variable: variable-length patterns apply them before they grow.
+    where: dict[str, list] = field(default_factory=dict)
 
     # ----------------------------------------------------------------- scans
 
@@ -91,14 +93,24 @@ class Matcher:
     def path(self, rows: Rows, path: A.Path) -> Rows:
         # anonymous parts get names of their own
         nodes = [replace(n, var=n.var or new_slot("?")) for n in path.nodes]
-        start = min(range(len(nodes)), key=lambda i: (nodes[i].var not in rows.scope, not nodes[i].props, i))
-        rows = self.node(rows, nodes[start], alone=not path.edges)
+        where = self.where if any(e.hops for e in path.edges) else {}
+        start = min(range(len(nodes)), key=lambda i: (nodes[i].var not in rows.scope, not nodes[i].props and nodes[i].var not in where, i))
+        rows = self.filtered(self.node(rows, nodes[start], alone=not path.edges), where.get(nodes[start].var, ()))
         for i in range(start, len(path.edges)):
             rows = self.hop(rows, nodes[i], path.edges[i], nodes[i + 1], path.edges[i].direction)
+            rows = self.filtered(rows, where.get(nodes[i + 1].var, ()))
         for i in range(start - 1, -1, -1):
             rows = self.hop(rows, nodes[i + 1], path.edges[i], nodes[i], _FLIP[path.edges[i].direction])
+            rows = self.filtered(rows, where.get(nodes[i].var, ()))
         return replace(rows, scope={k: v for k, v in rows.scope.items() if not k.startswith("?")})
 
+    def filtered(self, rows: Rows, conditions) -> Rows:
+        df = rows.df
+        for condition in conditions:
+            for c in Compiler(rows.scope, self.params).condition(condition):
+                df = df.where(c)
+        return rows.with_df(df) if conditions else rows
+
     def node(self, rows: Rows, n: A.NodePattern, alone: bool) -> Rows:
         if n.var == rows.virtual:
             return rows

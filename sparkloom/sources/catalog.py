@@ -86,6 +86,8 @@ class Catalog:
     nodes: dict[tuple[str, ...], NodeTable] = field(default_factory=dict)
     edges: tuple[EdgeTable, ...] = ()
     version: int = 0
+    #: Indexes built so far; snapshots share them, and each says which tables it is of.
+    indexes: dict = field(default_factory=dict, compare=False)
 
     # ----------------------------------------------------------------- reading
 

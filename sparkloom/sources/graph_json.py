@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..errors import GraphError
 from .catalog import Catalog
+from .scratch import written
 
 
 def value_type(x: Any) -> T.DataType:
@@ -141,3 +142,46 @@ def write(catalog: Catalog, folder: str) -> None:
             out = p if out is None else out.unionAll(p)
         if out is not None:
             out.write.text(f"{folder}/{name}")
+
+
+def read(catalog: Catalog, folder: str) -> Catalog:
+    """A graph written by ``write``, or JSON lines of the same form, added by all executors.
+
+    New ids are the old ones behind a prefix that is drawn once, so that edges need no join to find theirs.
+    """
+    spark, prefix = catalog.spark, uuid.uuid4().hex
+    new = lambda c: F.concat(F.lit(prefix + ":"), F.col(c).cast("string"))
+    lines = spark.read.json(f"{folder}/nodes")
+    if "labels" not in lines.columns or "id" not in lines.columns:
+        raise GraphError("nodes need an id and labels")
+    names = _members(lines, "properties")
+    # label sets are as few as a catalog's tables; each keeps the properties that its nodes have
+    found = lines.groupBy(F.to_json("labels").alias("key")).agg(F.any_value("labels").alias("labels"), F.count("id").alias("ids"), F.count("*").alias("n"), *[F.count(F.col(f"properties.`{p}`")).alias(f"p{i}") for i, p in enumerate(names)], *([F.count("vector").alias("vectors")] if "vector" in lines.columns else [])).collect()
+    for r in found:
+        if r["ids"] < r["n"]:
+            raise GraphError("a node has no id")
+        cols = [new("id").alias("_id")] + ([F.col("vector").cast("array<float>").alias("_vec")] if "vectors" in r and r["vectors"] else [])
+        cols += [F.col(f"properties.`{p}`").alias(p) for i, p in enumerate(names) if r[f"p{i}"]]
+        own = lines.where(F.to_json("labels").eqNullSafe(F.lit(r["key"])))
+        catalog = catalog.with_nodes(tuple(r["labels"] or ()), own.select(*cols))
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return catalog
+    edges = spark.read.json(f"{folder}/edges")
+    if not {"source", "target", "type"} <= set(edges.columns):
+        return catalog
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"))
+    lost = ends.join(lines.select("id"), "id", "left_anti").take(1)
+    if lost:
+        raise GraphError(f"an edge has the end {lost[0][0]}, which is no node of the graph")
+    names = _members(edges, "properties")
+    edges = written(edges.withColumn("_eid", F.expr("uuid()")), "edges")
+    for r in edges.groupBy("type").agg(*[F.count(F.col(f"properties.`{p}`")).alias(f"p{i}") for i, p in enumerate(names)], F.count("*").alias("n")).collect():
+        cols = ["_eid", new("source").alias("_src"), new("target").alias("_dst"), *[F.col(f"properties.`{p}`").alias(p) for i, p in enumerate(names) if r[f"p{i}"]]]
+        catalog = catalog.with_new_edges(r["type"], edges.where(F.col("type") == r["type"]).select(*cols))
+    return catalog
+
+
+def _members(df: DataFrame, name: str) -> list[str]:
+    kind = df.schema[name].dataType if name in df.columns else None
+    return kind.names if isinstance(kind, T.StructType) else []

@@ -23,6 +23,8 @@ from ..functions import vectors
 from .scratch import has_rows
 
 SCHEMA = "id string, vector array<float>, metadata string, indexed string, deleted boolean, created_at timestamp, updated_at timestamp, version int"
+#: Results of a search that are sent to all executors to fetch their metadata.
+MOST_SENT = 10_000
 NIL = "00000000-0000-0000-0000-000000000000"
 
 
@@ -95,14 +97,16 @@ class VectorStore:
         return self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()[0]
 
     def _write_text(self, name: str, text: str) -> None:
-        """Written beside and renamed, so that readers see the old or the new file."""
+        """Written beside and renamed over the old file in one step, so that readers see the old or the new one."""
         fs, where = self._path(name)
         _, temp = self._path(f".{name}.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(where, False)
-        fs.rename(temp, where)
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, where, options)
 
     def _open(self) -> None:
         if self._exists("manifest.json"):
@@ -207,16 +211,17 @@ class VectorStore:
         return self.insert_items([{"id": item_id, "vector": vector, "metadata": metadata}])[0]
 
     def insert_items(self, items: Iterable[dict[str, Any]]) -> list[str]:
-        """New items; an id that is there already is replaced (an error in the one-file form)."""
+        """New items; an id that is there already is replaced (an error in the one-file form); of equal ids the last stays."""
         self._live()
-        rows = self._checked(items)
+        given = self._checked(items)
+        rows = list({r[0]: r for r in given}.values())
         if not rows:
             return []
         new = self.spark.createDataFrame(rows, SCHEMA)
         if self.one_file and self._items is not None and has_rows(self._items.join(new, "id", "left_semi")):
             raise GraphError("an item with this id exists")
         self._replace(new)
-        return [r[0] for r in rows]
+        return [r[0] for r in given]
 
     upsert_items = insert_items
 
@@ -230,11 +235,10 @@ class VectorStore:
 
     def _replace(self, new: DataFrame) -> None:
         """Adds items; of several with one id the last update stays."""
+        last = Window.partitionBy("id").orderBy(F.col("updated_at").desc(), F.col("version").desc(), F.xxhash64("vector", "metadata"))
+        new = new.select("*", F.row_number().over(last).alias("__n")).where("__n = 1").drop("__n")
         if self._items is not None:
             new = self._items.join(new.select("id"), "id", "left_anti").select(*new.columns).unionAll(new)
-        else:
-            last = Window.partitionBy("id").orderBy(F.col("updated_at").desc())
-            new = new.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
         self._items = new
         self._save()
 
@@ -278,8 +282,9 @@ class VectorStore:
         return page if limit is None else page.limit(limit)
 
     def query_items(self, vector: Iterable[float], k: int = 10, metric: str | None = None, text: str | None = None, filter: Any = None) -> DataFrame:  # noqa: A002
-        """The k nearest items with their score, best first; ``text`` and ``filter`` are accepted and not used.
+        """The k nearest items with their score, best first; ``text`` is accepted and not used.
 
+        ``filter`` is an object of metadata fields and their values: only items that have them all are looked at.
         Scores are computed from ids and vectors alone; metadata is joined to the k winners.
         """
         query = [float(x) for x in vector]
@@ -287,8 +292,15 @@ class VectorStore:
             raise VectorValidation("a query needs finite components")
         live = self._live()
         score = vectors.similarity(metric or self.config.distance_metric, F.col("vector"), F.array(*[F.lit(x) for x in query]).cast("array<double>"))
+        if filter is not None:
+            if not isinstance(filter, dict):
+                raise GraphError("a filter is an object of metadata fields and values")
+            for name, value in filter.items():
+                wanted = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
+                live = live.where(F.get_json_object("metadata", f"$['{name}']") == wanted)
         top = live.select("id", score.alias("score")).where("score is not null").orderBy(F.col("score").desc(), "id").limit(k)
-        return live.join(F.broadcast(top), "id").orderBy(F.col("score").desc(), "id")  # k rows are sent
+        few = F.broadcast(top) if k <= MOST_SENT else top
+        return live.join(few, "id").orderBy(F.col("score").desc(), "id")
 
     query_items_extended = query_items
 
