@@ -39,8 +39,8 @@ from ._shared import prepare, thinned
 KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1  # 0 is "outside"
 #: Characters of a window, shared by neighbours, and of a window in training.
-WINDOW, OVERLAP, FITTED = 256, 48, 80
-HIDDEN, EMBED = 16, 10
+WINDOW, OVERLAP, FITTED = 256, 32, 80
+HIDDEN, EMBED = 12, 10
 MOST_DOCS = 1500
 MOST_SPANS = 8
 MOST_WINDOWS = 4000
