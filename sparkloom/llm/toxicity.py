@@ -3,7 +3,8 @@
 Categories are predicted one after the other by linear (logistic) models over word features; each model also sees
 the probabilities of the categories before it.  In training those earlier probabilities are out-of-fold: the model
 of a category is fitted ``folds`` times without a fold, and each row gets the probability of the model that did not
-see it.  The categories are weak labels within rows labelled toxic (which groups of seed words occur), and the last
+see it.  The table has one label, so the categories are learned too: rows labelled toxic are clustered by their words
+(spherical k-means, the largest cluster first), a row is of a category if it is toxic and in its cluster, and the last
 link of the chain is the label ``toxic`` itself.
 
 The models are fitted on a bounded sample of labelled rows (``most_rows``, the smallest hashes of doc_id, toxic
@@ -13,7 +14,8 @@ any of all candidates be (Chernoff bound), ``vocabulary`` at most: words of clea
 length of clean text hides toxic words.  A feature's value is the logarithm of one plus the number of different words
 that have it.  Every row is scored on its whole text.
 
-Defined results: null text counts as empty and is not toxic; with no labelled row, or with labels of one class
+Defined results: null text counts as empty and is not toxic; very long texts are read whole; of labels that tie in the
+hash the smaller doc_id is fitted first; an empty table gives no rows; with no labelled row, or with labels of one class
 only, nothing is toxic and all probabilities are 0; labels of null doc_id or toxic teach nothing; if a doc_id has
 several labels the largest counts; rows that repeat a doc_id are scored one by one; other columns are ignored.
 """
@@ -31,15 +33,10 @@ from pyspark.sql import functions as F
 
 from ._shared import prepare, thinned
 
-#: Seed words of the categories (fixed values).
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "fool", "dumb"),
-    "contempt": ("worthless", "pathetic", "disgusting", "useless", "vile"),
-    "slur": ("scum", "trash", "clown", "loser", "freak"),
-    "threat": ("kill", "hurt", "destroy", "die", "shoot"),
-}
-CHAIN = (*SEEDS, "toxic")
-MOST_ROWS = 1800
+#: Categories of toxic rows; fewer are used if there are fewer toxic rows.
+KINDS = 4
+CHAIN = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
+MOST_ROWS = 3600
 VOCABULARY = 3000
 LEAST = 4
 FOLDS = 4
@@ -91,6 +88,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8) ->
     return np.append(x.T @ alpha, alpha.sum())
 
 
+def clusters(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
+    """The cluster of each row, 0 for the largest: spherical k-means from rows that are far from each other."""
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    centres = unit.mean(0, keepdims=True)
+    closest = unit @ centres[0]
+    picked = []
+    for _ in range(min(k, len(x))):
+        at = int(closest.argmin()) if picked else int(closest.argmax())
+        if picked and closest[at] > 1 - 1e-9:
+            break  # no row is left that differs from those picked
+        picked.append(at)
+        closest = np.maximum(closest, unit @ unit[at]) if len(picked) > 1 else unit @ unit[at]
+    centres = unit[picked]
+    for _ in range(steps):
+        own = (unit @ centres.T).argmax(1)
+        sums = np.stack([unit[own == i].sum(0) for i in range(len(picked))])
+        norms = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
+    own = (unit @ centres.T).argmax(1)
+    sizes = np.bincount(own, minlength=len(picked))
+    return np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")[own]
+
+
 def _surprise(hits: int, seen: int, base: float) -> float:
     """Minus the logarithm of (a bound on) the chance of so many toxic rows, 0 if they are no more than expected."""
     h = hits / seen
@@ -130,7 +150,9 @@ class ToxicityChain:
         for row, s in zip(x, sets, strict=True):
             for f, n in Counter(f for w in s for f in features_of(w) if f in words).items():
                 row[words[f]] = np.log2(1 + n)
-        labels = {name: np.array([float(t and not s.isdisjoint(seed)) for s, t in zip(sets, toxic, strict=True)]) for name, seed in SEEDS.items()} | {"toxic": y}
+        kind = np.full(len(y), -1)
+        kind[y > 0] = clusters(x[y > 0, :d], KINDS)
+        labels = {name: (kind == i).astype(float) for i, name in enumerate(CHAIN[:-1])} | {"toxic": y}
         fold = np.arange(len(y)) % folds
         links = []
         for at, name in enumerate(CHAIN):
@@ -182,7 +204,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = dict(marks.groupBy("toxic").count().collect())
     first = lambda n, y: thinned(marks.where(F.col("toxic") == y), "doc_id", n, rows.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = first(most_rows // 2, 1).unionByName(first(most_rows // 2, 0))
+    chosen = first(most_rows // 4, 1).unionByName(first(most_rows - most_rows // 4, 0))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # most_rows rows at most
     # one row of each doc_id
     one = Window.partitionBy("doc_id").orderBy("text")

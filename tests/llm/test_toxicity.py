@@ -1,8 +1,9 @@
 import random
+import re
 
 import numpy as np
 
-from sparkloom.llm.toxicity import CHAIN, ToxicityChain, clean_documents, score_toxicity, words_in
+from sparkloom.llm.toxicity import CHAIN, ToxicityChain, clean_documents, clusters, score_toxicity
 
 
 def corpus(n, seed):
@@ -30,8 +31,64 @@ def test_held_out_accuracy_and_chain():
     # a later model has a weight for each earlier category
     d = len(chain.vocabulary)
     assert [len(w) for _, w in chain.links] == [d + k + 1 for k in range(len(CHAIN))]
-    insult = np.array(["idiot" in words_in(t) for _, t, _ in rows[600:]])
-    assert ((p[:, 0] > 0.5) == insult).mean() > 0.95
+    assert (p[y == 1, :-1] > 0.5).any(1).mean() > 0.8 and (p[y == 0, :-1] > 0.5).any(1).mean() < 0.1  # toxic rows are of some category
+
+
+def test_categories_are_clusters_of_toxic_rows():
+    r = np.random.default_rng(0)
+    groups = np.repeat([0, 1, 2], [50, 30, 20])
+    x = np.eye(3)[groups].repeat(5, axis=1) + 0.1 * r.random((100, 15))
+    order = r.permutation(100)
+    assert (clusters(x[order], 3) == groups[order]).all()
+    assert clusters(x[:1], 4).tolist() == [0] and set(clusters(np.ones((9, 4)), 4)) == {0} and set(clusters(np.zeros((3, 2)), 4)) == {0}
+
+
+def plain_chain(chain, text):
+    """Probabilities of one text, word by word and link by link."""
+    import math
+
+    counts = {}
+    for w in {m.lower() for m in re.findall(r"[^\W\d_]+", text or "")}:
+        for f in [w] + [w[:n] + "*" for n in (4, 5, 6) if len(w) > n]:
+            if f in chain.vocabulary:
+                counts[f] = counts.get(f, 0) + 1
+    out = []
+    for _, w in chain.links:
+        z = w[-1] + sum(math.log2(1 + n) * w[chain.vocabulary[f]] for f, n in counts.items()) + sum(p * w[len(chain.vocabulary) + k] for k, p in enumerate(out))
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+def test_query_against_the_plain_chain(spark, sf):
+    from sparkloom.llm.queries import op6_toxicity
+    from sparkloom.llm.toxicity import labelled_sample
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = ToxicityChain.fit(*labelled_sample(docs, labels))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op6_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        p = plain_chain(chain, texts[r.doc_id])
+        assert np.allclose([r[f"p_{c}"] for c in CHAIN], p, atol=1e-6) and (abs(p[-1] - chain.threshold) < 1e-6 or r.toxic == (p[-1] >= chain.threshold))
+
+
+def test_out_of_fold_probabilities_come_from_models_that_have_not_seen_the_row(monkeypatch):
+    """Each link but for its last fit is fitted without a fold, and later links see what those models say of that fold."""
+    from sparkloom.llm import toxicity
+
+    calls, fit = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, **o: calls.append((x.copy(), y.copy())) or fit(x, y, **o))
+    rows = corpus(300, 4)
+    ToxicityChain.fit([t for _, t, _ in rows], [y for *_, y in rows], folds=4)
+    last = [x for x, y in calls if len(y) == 300]
+    assert 3 <= len(last) <= len(CHAIN) and last[1].shape[1] == last[0].shape[1] + 1  # a category of fewer rows than folds has no model
+    first = [(x, y) for x, y in calls[:4]]
+    column = last[1][:, -1]  # what the second link sees of the first
+    for k, (x, y) in enumerate(first):
+        out = np.arange(300) % 4 == k
+        assert len(x) == 300 - out.sum()
+        assert np.allclose(column[out], toxicity._prob(last[0][out], fit(x, y)))
 
 
 def test_whole_long_texts_are_read():
