@@ -1,16 +1,19 @@
 """Language identification with a string kernel.
 
 The kernel is the blended spectrum in its presence form: the number of character n-grams (n = 1..3, over the
-lower-cased text with runs of other characters as one space) that two texts share, normalised so that k(x, x) = 1.
-n-grams count over the vocabulary of the landmarks.  Nystrom features come from m landmark texts,
-phi(x) = k(x, Z) k(Z, Z)^(-1/2), and one ridge regression per language against the rest is solved on them; at
-scoring a batch of texts is one presence matrix, multiplied by the landmarks' and then by the weights.
+lower-cased text with runs of other characters as one space) that two texts share, divided by the root of the
+product of their numbers of n-grams, so that k(x, x) = 1.  All n-grams of a text count (told apart by hashes of 32
+bits).  Nystrom features come from m landmark texts, phi(x) = k(x, Z) k(Z, Z)^(-1/2), and one ridge regression per
+language against the rest is solved on them; at scoring a batch of texts is one presence matrix over the landmarks'
+n-grams, multiplied by theirs and then by the weights.
 
 The classifier is fitted on a bounded sample: of each language the ``per_language`` labelled rows with the smallest
-hash of their doc_id; ``landmarks`` of these serve as landmarks.  Every row is scored on its whole text.
+hash of their doc_id; ``landmarks`` of these, or ``LEAST_EACH`` of each language if that is more, serve as landmarks,
+the languages taking turns.  Every row is scored on its whole text.
 
 Defined results: null text or text without a letter is ``und`` with score 0; rows of null doc_id or lang teach
-nothing; with no row to learn from, all are ``und``; other columns are ignored; very long texts are read whole.
+nothing; with no row to learn from, all are ``und``; an empty table gives no rows; of languages that tie the first by
+name is given; rows that repeat are scored one by one; other columns are ignored; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,11 +29,8 @@ from ._shared import prepare, written
 
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 200
-LANDMARKS = 96
-VOCABULARY = 12_000
+LANDMARKS, LEAST_EACH = 96, 4
 RIDGE = 1e-3
-#: Slots of the table from n-gram hashes to the vocabulary.
-BITS = 21
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -53,8 +53,8 @@ def has_letter(codes: np.ndarray) -> bool:
     return bool((codes != 32).any())
 
 
-def gram_slots(codes: np.ndarray) -> np.ndarray:
-    """Hash slots of all n-grams of a text, repeats included."""
+def grams_of(codes: np.ndarray) -> np.ndarray:
+    """Sorted different hashes of all n-grams of a text."""
     out = []
     for n in SIZES:
         if len(codes) >= n:
@@ -62,22 +62,54 @@ def gram_slots(codes: np.ndarray) -> np.ndarray:
             for i in range(n):
                 h = (h ^ codes[i : len(codes) - n + 1 + i]) * _FACTORS[i] + np.uint32(n)
                 h ^= h >> np.uint32(15)
-            out.append(h >> np.uint32(32 - BITS))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+            out.append(h)
+    found = np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+    found.sort()
+    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
 
 
 class SpectrumClassifier:
     """Nystrom kernel ridge regression, one against the rest, over presence spectra."""
 
-    def __init__(self, languages: list[str], slots: np.ndarray, landmarks: np.ndarray, norms: np.ndarray, weights: np.ndarray):
-        self.languages, self.slots, self.landmarks, self.norms, self.weights = languages, slots, landmarks, norms, weights
+    def __init__(self, languages: list[str], landmarks: list[np.ndarray], weights: np.ndarray):
+        self.languages, self.landmarks, self.weights = languages, landmarks, weights
+        self._matrix: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_matrix": None}  # workers build it themselves
+
+    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """All n-grams of the landmarks, sorted, and which landmark has which (n-grams x landmarks), over the roots of their numbers."""
+        if self._matrix is None:
+            grams = np.unique(np.concatenate(self.landmarks))
+            there = np.zeros((len(grams), len(self.landmarks)), dtype=np.float32)
+            for i, z in enumerate(self.landmarks):
+                there[np.searchsorted(grams, z), i] = 1 / np.sqrt(len(z))
+            self._matrix = grams, there
+        return self._matrix
+
+    def kernel(self, texts: list[np.ndarray], block: int = 64) -> np.ndarray:
+        """k(x, Z) of texts given by their n-grams: a matrix product for each block."""
+        grams, there = self.matrix()
+        out = np.zeros((len(texts), len(self.landmarks)), dtype=np.float32)
+        for a in range(0, len(texts), block):
+            part = texts[a : a + block]
+            owner, all_grams = np.repeat(np.arange(len(part)), [len(g) for g in part]), np.concatenate(part)
+            at = np.minimum(np.searchsorted(grams, all_grams), len(grams) - 1)
+            known = grams[at] == all_grams
+            used, column = np.unique(at[known], return_inverse=True)
+            presence = np.zeros((len(part), len(used)), dtype=np.float32)
+            presence[owner[known], column] = 1
+            size = np.sqrt(np.maximum([len(g) for g in part], 1)).astype(np.float32)
+            out[a : a + block] = presence @ there[used] / size[:, None]
+        return out
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, vocabulary: int = VOCABULARY, ridge: float = RIDGE) -> SpectrumClassifier | None:
+    def fit(cls, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> SpectrumClassifier | None:
         kept = [(c, y) for c, y in ((_codes(t), y) for t, y in zip(texts, langs, strict=True)) if has_letter(c)]
         if not kept:
             return None
-        grams = [np.unique(gram_slots(c)) for c, _ in kept]
+        grams = [grams_of(c) for c, _ in kept]
         y = [y for _, y in kept]
         languages = sorted(set(y))
         turn: dict[str, int] = {}
@@ -85,46 +117,24 @@ class SpectrumClassifier:
         for i, lang in enumerate(y):  # round robin over languages
             turn[lang] = turn.get(lang, 0) + 1
             order.append((turn[lang], i))
-        marks = [i for _, i in sorted(order)[:landmarks]]
-        counts = np.bincount(np.concatenate([grams[i] for i in marks]), minlength=1 << BITS)
-        top = np.argsort(-counts, kind="stable")[: min(vocabulary, int((counts > 0).sum()))]
-        slots = np.full(1 << BITS, -1, dtype=np.int32)
-        slots[top] = np.arange(len(top), dtype=np.int32)
-        presence = np.zeros((len(grams), len(top)), dtype=np.float32)
-        for row, g in zip(presence, grams, strict=True):
-            at = slots[g]
-            row[at[at >= 0]] = 1
-        z = presence[marks]
-        norms = np.sqrt(np.maximum(z.sum(1), 1))
-        kzz = (z @ z.T / norms[:, None] / norms[None, :]).astype(np.float64)
-        values, vectors = np.linalg.eigh(kzz)
+        model = cls(languages, [grams[i] for _, i in sorted(order)[: max(landmarks, LEAST_EACH * len(languages))]], np.zeros(0))
+        kzz = model.kernel(model.landmarks).astype(np.float64)
+        values, vectors = np.linalg.eigh((kzz + kzz.T) / 2)
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        kxz = presence @ z.T / np.sqrt(np.maximum(presence.sum(1), 1))[:, None] / norms[None, :]
-        phi = np.hstack([kxz @ root, np.ones((len(kxz), 1))])
+        phi = np.hstack([model.kernel(grams) @ root, np.ones((len(grams), 1))])
         goal = np.where(np.array(y)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
         solved = np.linalg.solve(phi.T @ phi + ridge * len(phi) * np.eye(phi.shape[1]), phi.T @ goal)
-        return cls(languages, slots, np.ascontiguousarray(z.T), norms.astype(np.float32), np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32))
+        model.weights = np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32)
+        return model
 
-    def predict(self, texts: list[str | None], block: int = 256) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for a in range(0, len(texts), block):
-            part = texts[a : a + block]
-            presence = np.zeros((len(part), self.landmarks.shape[0]), dtype=np.float32)
-            known = np.zeros(len(part), dtype=bool)
-            for i, text in enumerate(part):
-                codes = _codes(text) if text else _codes("")
-                known[i] = has_letter(codes)
-                if known[i]:
-                    at = self.slots[gram_slots(codes)]
-                    presence[i, at[at >= 0]] = 1
-            kernel = presence @ self.landmarks / self.norms / np.sqrt(np.maximum(presence.sum(1), 1))[:, None]
-            value = kernel @ self.weights[:-1] + self.weights[-1]
-            best = value.argmax(1)
-            level = np.clip((value.max(1) + 1) / 2, 0, 1)
-            names += [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            scores += [float(s) if k else 0.0 for s, k in zip(level.tolist(), known.tolist(), strict=True)]
-        return names, scores
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        codes = [_codes(t or "") for t in texts]
+        known = [has_letter(c) for c in codes]
+        value = self.kernel([grams_of(c) for c in codes]) @ self.weights[:-1] + self.weights[-1]
+        level = np.clip((value.max(1) + 1) / 2, 0, 1) if len(texts) else []
+        names = [self.languages[b] if k else "und" for b, k in zip(value.argmax(1).tolist(), known, strict=True)]
+        return names, [float(s) if k else 0.0 for s, k in zip(level, known, strict=True)]
 
 
 def learning_sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
@@ -145,7 +155,7 @@ def identify(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -
     spark = docs.sparkSession
     prepare(spark)
     model = SpectrumClassifier.fit(*learning_sample(docs, learn, per_language))
-    sent = spark.sparkContext.broadcast(model)  # bounded by the vocabulary, the landmarks and the slots
+    sent = spark.sparkContext.broadcast(model)  # bounded by the landmarks' n-grams
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value

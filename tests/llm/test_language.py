@@ -1,9 +1,10 @@
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.llm.language import SpectrumClassifier, _codes, gram_slots, identify
+from sparkloom.llm.language import SpectrumClassifier, _codes, grams_of, identify
 
 
 def test_held_out_accuracy(spark, sf):
@@ -28,7 +29,48 @@ def test_edge_cases(spark):
 
 
 def test_kernel_counts_shared_grams():
-    a, b = np.unique(gram_slots(_codes("Abc"))), np.unique(gram_slots(_codes("abd")))
+    a, b = grams_of(_codes("Abc")), grams_of(_codes("abd"))
     assert len(a) == len(b) == 6 and len(np.intersect1d(a, b)) == 3  # a, b and ab
     assert _codes("a1 -b").tolist() == [97, 32, 98]
     assert SpectrumClassifier.fit(["1"], ["x"]) is None
+    model = SpectrumClassifier(["x"], [a, b], np.zeros((3, 1)))
+    assert np.allclose(model.kernel([a, b, grams_of(_codes("xyz"))]), [[1, 0.5], [0.5, 1], [0, 0]])
+
+
+def test_every_language_has_landmarks():
+    texts = [chr(0x4E00 + 50 * i) * 3 + chr(0x4E10 + 50 * i + j) for i in range(150) for j in range(5)]
+    model = SpectrumClassifier.fit(texts, [f"l{i:03}" for i in range(150) for _ in range(5)])
+    assert len(model.landmarks) == 600 and len(model.languages) == 150
+    assert model.predict(texts)[0] == [f"l{i:03}" for i in range(150) for _ in range(5)]
+
+
+def test_query_against_plain_kernels(spark, sf):
+    """The registered query against kernels counted with sets of n-grams, text by text."""
+    from sparkloom.llm.language import learning_sample
+    from sparkloom.llm.queries import op4_language_id
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learn = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2) & F.col("doc_id").isNotNull()
+    sample = learning_sample(docs, learn)
+    model = SpectrumClassifier.fit(*sample)
+
+    def spectrum(text):
+        out = "".join(c if c.isalpha() else " " for c in text.lower())
+        out = re.sub(" +", " ", out)
+        return {out[i : i + n] for n in (1, 2, 3) for i in range(len(out) - n + 1)}
+
+    turn, order = {}, []
+    for i, lang in enumerate(sample[1]):
+        turn[lang] = turn.get(lang, 0) + 1
+        order.append((turn[lang], i))
+    marks = [spectrum(sample[0][i]) for _, i in sorted(order)[: len(model.landmarks)]]
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = op4_language_id(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        own = spectrum(texts[r.doc_id])
+        k = [len(own & z) / (len(own) * len(z)) ** 0.5 for z in marks]
+        value = np.array(k) @ model.weights[:-1] + model.weights[-1]
+        assert abs(r.score - min(1, max(0, (value.max() + 1) / 2))) < 1e-3
+        assert r.lang_pred == model.languages[int(value.argmax())] or np.sort(value)[-1] - np.sort(value)[-2] < 1e-3
