@@ -3,22 +3,26 @@
 Vectors of equal, non-null label are linked if their cosine in double precision is at least ``threshold``.  On unit
 vectors that is a Euclidean distance of at most epsilon = sqrt(2 - 2 * threshold).
 
-1. Equal vectors of a label form a class (found by hash and compared in full by their digest of 128 bits).
-2. Unit vectors are rotated to principal axes (a matrix of d x d sums over all rows) and sorted, within their label,
-   in epsilon grid order: lexicographically by their cells of width epsilon on the leading ``dims`` axes.  The sorted
+1. Equal vectors of a label form a class (told apart by a digest of 128 bits).
+2. Principal axes are found from sums of d x d numbers over all rows.  Unit vectors are sorted, within their label, in
+   epsilon grid order: lexicographically by their cells of width epsilon on the leading ``dims`` axes.  The sorted
    sequence is cut into blocks of about ``block`` vectors.
-3. The sequence interval join: two blocks of a label can only hold a link if their intervals of first-axis cells are
-   at most one apart, so blocks meet by an equi-join on (label, cell); pairs of blocks whose bounding boxes over all
-   axes are farther apart than epsilon are skipped.  A surviving pair is joined recursively: both intervals are
-   halved, halves whose boxes are provably distant are skipped, and small ones are compared by a matrix product in
-   double precision (the rotation keeps cosines to about 1e-15).
+3. The sequence interval join: two blocks of a label can only hold a link if their intervals of cells are at most one
+   apart on the first axis and on the second, so blocks meet by an equi-join on (label, cell, cell); pairs of blocks
+   whose bounding boxes over all axes are farther apart than epsilon are skipped.  A surviving pair is joined
+   recursively: both intervals are halved, halves whose boxes are provably distant are skipped, and small ones are
+   compared by a matrix product in double precision.  Axes decide what is skipped; links are decided on the vectors
+   as they are.
 4. No pair leaves a task: it gives each class its number of links and its root in the task's forest; components are
    found from these edges.
 
+How much is skipped depends on the data.  Vectors that spread evenly over very many axes fill all cells of the leading
+ones, and then most blocks of a label meet: the work is quadratic in the label's size, at block x block pairs a task.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows of null label, link
 with nothing and are their own component; vectors of different lengths never link; rows that repeat a vec_id count
 one by one; a null vec_id is kept (its component is named by the smallest id there is); an empty table gives no rows;
-other columns are ignored.
+of pairs that tie with the threshold all are links; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +40,7 @@ from ._shared import attach, components, discard, forest, has_rows, prepare, run
 
 THRESHOLD = 0.98
 DIMS = 6
-BLOCK = 512
+BLOCK = 4096
 LEAF = 64
 
 
@@ -102,33 +107,32 @@ def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _in_grid_order(classes: DataFrame, eps: float, dims: int) -> DataFrame:
-    """Classes with their vectors on principal axes and ``cells``, a binary that sorts in epsilon grid order."""
-    axes = classes.sparkSession.sparkContext.broadcast(_axes(classes))  # d x d numbers per dimension
+def _in_grid_order(classes: DataFrame, axes: Broadcast, eps: float, dims: int) -> DataFrame:
+    """Classes with ``cells``, a binary that sorts in epsilon grid order."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.column(batch.schema.get_field_index("d")).to_numpy()
             raw = batch.column(batch.schema.get_field_index("unit")).to_pylist()
-            turned: list[bytes] = [b""] * len(raw)
             cells: list[bytes] = [b""] * len(raw)
-            first = np.zeros(len(raw), dtype=np.int64)
             for k in np.unique(d).tolist():
                 at = np.flatnonzero(d == k)
-                x = np.frombuffer(b"".join(raw[i] for i in at), dtype=np.float64).reshape(-1, k) @ axes.value[k]
-                grid = np.floor(x[:, :dims] / eps).astype(np.int64)
+                x = np.frombuffer(b"".join(raw[i] for i in at), dtype=np.float64).reshape(-1, k) @ axes.value[k][:, :dims]
+                grid = (np.floor(x / eps).astype(np.int64) + (1 << 31)).astype(">u4")
                 for row, i in enumerate(at.tolist()):
-                    turned[i] = x[row].tobytes()
-                    cells[i] = (grid[row] + (1 << 31)).astype(">u4").tobytes()
-                first[at] = grid[:, 0]
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "label", "d", "weight")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(turned, pa.binary()), pa.array(cells, pa.binary()), pa.array(first)], names=["key", "label", "d", "weight", "unit", "cells", "cell"])
+                    cells[i] = grid[row].tobytes()
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "label", "d", "weight", "unit")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(cells, pa.binary())], names=["key", "label", "d", "weight", "unit", "cells"])
+
+    return classes.mapInArrow(place, "key binary, label long, d int, weight long, unit binary, cells binary")
 
-    return classes.mapInArrow(place, "key binary, label long, d int, weight long, unit binary, cells binary, cell long")
 
+def _cell(cells: bytes, axis: int) -> int:
+    return int.from_bytes(cells[4 * axis : 4 * axis + 4], "big") - (1 << 31)
 
-def _blocks(ordered: DataFrame, block: int) -> DataFrame:
-    """One row per block: ``label, d, block, lo, hi`` (first-axis cells), box, and its vectors as one matrix.
+
+def _blocks(ordered: DataFrame, axes: Broadcast, block: int) -> DataFrame:
+    """One row per block: ``label, d, block``, its cells on two axes (``low1``...), box, and its vectors as one matrix.
 
     The order is global (range partitioning by label, dimension and cells), so a label of any size is spread over
     tasks; each task cuts its part of the sequence.
@@ -141,28 +145,30 @@ def _blocks(ordered: DataFrame, block: int) -> DataFrame:
         def row() -> pa.RecordBatch:
             d = held[0]["d"]
             x = np.frombuffer(b"".join(r["unit"] for r in held), dtype=np.float64).reshape(-1, d)
-            name = xxhash.xxh3_64_intdigest(b"".join(r["key"] for r in held)) >> 1
+            turned = x @ axes.value[d]
+            second = [_cell(r["cells"], 1) for r in held] if len(held[0]["cells"]) > 4 else [0]
             values = {
-                "label": held[0]["label"], "d": d, "block": name, "lo": held[0]["cell"], "hi": held[-1]["cell"], "box": np.concatenate([x.min(0), x.max(0)]).tobytes(),
+                "label": held[0]["label"], "d": d, "block": xxhash.xxh3_64_intdigest(b"".join(r["key"] for r in held)) >> 1,
+                "low1": _cell(held[0]["cells"], 0), "high1": _cell(held[-1]["cells"], 0), "low2": min(second), "high2": max(second), "box": _box(turned).tobytes(),
                 "keys": b"".join(r["key"] for r in held), "weights": np.array([r["weight"] for r in held], dtype=np.int64).tobytes(), "x": x.tobytes(),
             }
             return pa.RecordBatch.from_pylist([values], schema=_BLOCK_ROWS)
 
         for batch in batches:
             for r in batch.to_pylist():
-                if held and (len(held) >= block or r["label"] != held[0]["label"] or r["d"] != held[0]["d"] or r["cell"] > held[0]["cell"] + MOST_CELLS):
+                if held and (len(held) >= block or r["label"] != held[0]["label"] or r["d"] != held[0]["d"] or _cell(r["cells"], 0) > _cell(held[0]["cells"], 0) + MOST_CELLS):
                     yield row()
                     held.clear()
                 held.append(r)
         if held:
             yield row()
 
-    return spread.mapInArrow(cut, "label long, d int, block long, lo long, hi long, box binary, keys binary, weights binary, x binary")
+    return spread.mapInArrow(cut, "label long, d int, block long, low1 long, high1 long, low2 long, high2 long, box binary, keys binary, weights binary, x binary")
 
 
 #: First-axis cells that a block may span, so that it meets its neighbours in few cells.
 MOST_CELLS = 8
-_BLOCK_ROWS = pa.schema([("label", pa.int64()), ("d", pa.int32()), ("block", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("box", pa.binary()), ("keys", pa.binary()), ("weights", pa.binary()), ("x", pa.binary())])
+_BLOCK_ROWS = pa.schema([("label", pa.int64()), ("d", pa.int32()), *((c, pa.int64()) for c in ("block", "low1", "high1", "low2", "high2")), *((c, pa.binary()) for c in ("box", "keys", "weights", "x"))])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> float:
@@ -175,25 +181,32 @@ def _box(x: np.ndarray) -> np.ndarray:
     return np.stack([x.min(0), x.max(0)])
 
 
-def ego_join(left: np.ndarray, right: np.ndarray, eps: float, threshold: float, same: bool, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of left, j of right) of unit vectors at the threshold, by recursion over sequence intervals; i < j if ``same``."""
-    found_i, found_j = [], []
+def ego_join(left: np.ndarray, right: np.ndarray, axes: np.ndarray, eps: float, threshold: float, same: bool, leaf: int = LEAF, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i of left, j of right) of unit vectors at the threshold, by recursion over sequence intervals; i < j if ``same``.
+
+    Boxes along the ``axes`` tell what can be skipped.  Pairs come in parts of about ``most``.
+    """
+    turned = [left @ axes, right @ axes]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     stack = [(0, len(left), 0, len(right))]
     slack = eps * (1 + 1e-9) + 1e-12
     while stack:
         a, b, c, d = stack.pop()
         if same and c < a or a >= b or c >= d:
             continue
-        x, y = left[a:b], right[c:d]
-        if not (same and a == c) and _apart(_box(x), _box(y)) > slack:
+        if not (same and a == c) and _apart(_box(turned[0][a:b]), _box(turned[1][c:d])) > slack:
             continue
         if b - a <= leaf and d - c <= leaf:
-            i, j = np.nonzero(x @ y.T >= threshold)
+            i, j = np.nonzero(left[a:b] @ right[c:d].T >= threshold)
             i, j = i + a, j + c
             if same:
                 i, j = i[i < j], j[i < j]
-            found_i.append(i)
-            found_j.append(j)
+            found.append((i, j))
+            held += len(i)
+            if held >= most:
+                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                found, held = [], 0
             continue
         if same and a == c:  # halves of one interval: three of its four pairs
             m = (a + b) // 2
@@ -204,24 +217,24 @@ def ego_join(left: np.ndarray, right: np.ndarray, eps: float, threshold: float,
         else:
             m = (c + d) // 2
             stack += [(a, b, c, m), (a, b, m, d)]
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     """Ids of pairs of blocks that may hold links: ``p, q`` with p <= q."""
-    thin = blocks.select("label", "d", "block", "lo", "hi", "box")
-    mine = thin.withColumn("cell", F.explode(F.sequence("lo", "hi")))
-    near = thin.withColumn("cell", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)))
-    near = near.select(*[F.col(c).alias(f"{c}_q") for c in near.columns])
-    met = mine.join(near, (F.col("label") == F.col("label_q")) & (F.col("d") == F.col("d_q")) & (F.col("cell") == F.col("cell_q")) & (F.col("block") <= F.col("block_q")))
+    thin = blocks.select("label", "d", "block", "low1", "high1", "low2", "high2", "box")
+    met_in = lambda more: thin.withColumn("cell1", F.explode(F.sequence(F.col("low1") - more, F.col("high1") + more))).withColumn("cell2", F.explode(F.sequence(F.col("low2") - more, F.col("high2") + more)))
+    mine, near = met_in(0).select("label", "d", "block", "box", "cell1", "cell2"), met_in(1).select("label", "d", "cell1", "cell2", F.col("block").alias("block_q"), F.col("box").alias("box_q"))
+    met = mine.join(near, ["label", "d", "cell1", "cell2"]).where("block <= block_q").select("block", "block_q", "box", "box_q")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (batch.column(k).to_pylist() for k in (2, 3))
+            p, q = (batch.column(k).to_pylist() for k in (2, 3))  # boxes
             keep = [i for i in range(len(p)) if _apart(np.frombuffer(p[i]).reshape(2, -1), np.frombuffer(q[i]).reshape(2, -1)) <= eps * (1 + 1e-9) + 1e-12]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["p", "q"])
 
-    return met.select(F.col("block").alias("p"), F.col("block_q").alias("q"), "box", "box_q").mapInArrow(close, "p long, q long").distinct()
+    return met.mapInArrow(close, "p long, q long").distinct()
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS, block: int = BLOCK) -> DataFrame:
@@ -234,7 +247,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, dims: int = D
     classes, classes_path = written(classes, "classes")
     if not has_rows(classes):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks, blocks_path = written(_blocks(_in_grid_order(classes, eps, dims), block), "blocks")
+    axes = spark.sparkContext.broadcast(_axes(classes))  # d x d numbers per dimension
+    blocks, blocks_path = written(_blocks(_in_grid_order(classes, axes, eps, dims), axes, block), "blocks")
     pairs = _block_pairs(blocks, eps)
     # a pair of blocks is dealt as two rows, one per block, not joined: each row holds one block
     ends = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
@@ -245,17 +259,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, dims: int = D
             r = group.to_pylist()
             x = [np.frombuffer(v["x"]).reshape(-1, v["d"]) for v in r]
             w = [np.frombuffer(v["weights"], dtype=np.int64) for v in r]
-            i, j = ego_join(x[0], x[-1], eps, threshold, len(r) == 1)
-            if not len(i):
-                continue
             keys = [v["keys"][k : k + 16] for v in r for k in range(0, len(v["keys"]), 16)]
-            j = j + (len(x[0]) if len(r) == 2 else 0)
-            weight = np.concatenate(w)
-            links = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            root = forest(len(keys), i, j)
+            weight, links, root = np.concatenate(w), np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+            for i, j in ego_join(x[0], x[-1], axes.value[r[0]["d"]], eps, threshold, len(r) == 1):
+                j = j + (len(x[0]) if len(r) == 2 else 0)
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                root = forest(len(keys), root[i], root[j])[root]
             some = np.flatnonzero(links)
+            if not len(some):
+                continue
             yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([keys[k] for k in root[some]], pa.binary())], names=["key", "links", "root"])
 
     found, found_path = written(meeting.mapInArrow(compare, "key binary, links long, root binary"), "links")

@@ -58,8 +58,33 @@ def test_recursion_finds_what_a_full_comparison_finds():
     x = rng.standard_normal((300, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]
     x = x[np.lexsort(np.floor(x / 0.2).T[::-1])]
-    i, j = ego_join(x, x, 0.2, 0.98, True, leaf=8)
+    axes = np.linalg.qr(rng.standard_normal((5, 5)))[0]
+    pairs = lambda *a, **b: sorted(map(tuple, np.concatenate([np.stack(p, 1) for p in ego_join(*a, leaf=8, **b)])))
     want = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
-    assert sorted(zip(i, j, strict=True)) == sorted(map(tuple, want)) and len(want)
-    i, j = ego_join(x[:150], x[150:], 0.2, 0.98, False, leaf=8)
-    assert sorted(zip(i, j, strict=True)) == sorted(map(tuple, np.argwhere(x[:150] @ x[150:].T >= 0.98)))
+    assert pairs(x, x, axes, 0.2, 0.98, True) == pairs(x, x, axes, 0.2, 0.98, True, most=7) == sorted(map(tuple, want)) and len(want)
+    assert pairs(x[:150], x[150:], axes, 0.2, 0.98, False) == sorted(map(tuple, np.argwhere(x[:150] @ x[150:].T >= 0.98)))
+
+
+def test_blocks_that_are_apart_do_not_meet(spark):
+    """Vectors along a circle: blocks meet their neighbours only, so pairs of blocks grow as blocks do."""
+    from sparkloom.llm import embedding_dedup as module
+
+    counts = []
+    for n in (2000, 4000):
+        seen, kept = [], module._block_pairs
+
+        def counted(blocks, eps, _kept=kept, _seen=seen):
+            out = _kept(blocks, eps)
+            _seen += [blocks.count(), out.count()]
+            return out
+
+        module._block_pairs = counted
+        try:
+            rows = [(i, [float(np.cos(6.28 * i / n)), float(np.sin(6.28 * i / n)), 0.01], 1, "k", 1) for i in range(n)]
+            got = near_vectors(spark.createDataFrame(rows, SCHEMA), block=32).agg({"n_links": "min", "component_id": "max"}).first()
+        finally:
+            module._block_pairs = kept
+        assert min(got) == 0 and max(got) > 0.03 * n * 2
+        counts.append(seen)
+    (blocks, pairs), (more, double) = counts
+    assert pairs < 0.3 * blocks * blocks and double < 0.3 * more * more
