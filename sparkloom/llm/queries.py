@@ -15,7 +15,7 @@ from .ngram_join import similarity_join
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data
 from .toxicity import score_toxicity
-from .warc import read_warc, write_warc
+from .warc import checked_records, write_warc
 
 
 def tokenizer() -> str:
@@ -64,7 +64,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("null")).cast("long")
-    return read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return checked_records(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

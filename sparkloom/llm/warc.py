@@ -7,16 +7,19 @@ makes up a third of all rows is never gathered.  Records are text in UTF-8, so S
 system, committed per task, safe to retry) writes the archive; its line separator is the blank line pair that
 ends a WARC record.
 
-Reading: ``spark.read.format("warc").load(folder)``.  One partition per file (files are split when written;
-a record boundary cannot be told from payload bytes without reading from the file's start).  Filters on
+Reading: ``spark.read.format("warc").load(folder)``.  One partition per file (a record boundary cannot be told from
+payload bytes without reading from the file's start; the writer splits files at ``most_records``).  Files are opened
+through pyarrow, in any store that it knows.  Filters on
 ``record_type``, ``record_id``, ``target_uri``, ``payload_digest`` and ``refers_to`` are pushed down: headers
 are parsed first, and the block of a record that fails them is skipped without being read or decoded.  Blocks
-are also skipped when the wanted schema has no ``payload`` column.  Files ending in ``.gz`` (one member per
+are also skipped when no ``payload`` column is asked for (``read_warc(..., columns)``: Spark tells a Python source
+nothing of the columns that a query uses).  Files ending in ``.gz`` (one member per
 record or per file) are read as streams.
 
 Defined results: null payloads count as empty; a null id is written as ``urn:row:null``; rows that repeat the
 smallest id of a group are all responses; line breaks in URLs are percent-encoded; a null URL becomes ``urn:none``;
-an empty table makes an archive without records.
+of rows that tie in size and payload the one with the smallest id answers for all; very long payloads are one record;
+other columns are ignored; an empty table makes an archive without records.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ from ._shared import attach, prepare, written
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Records in a file, so that one reader's part stays bounded.
+MOST_RECORDS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = StructType([
     StructField("record_id", StringType()),
@@ -64,7 +69,7 @@ def _name(id_col: Column) -> Column:
     return F.concat(F.lit("urn:row:"), F.coalesce(id_col.cast("string"), F.lit("null")))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, most_records: int = MOST_RECORDS) -> None:
     """Writes one record per row of ``pages`` into text files at ``path``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("body"))
     rows = rows.withColumn("size", F.octet_length("body").cast("long"))
@@ -86,7 +91,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <"), _name(F.col("first")), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).text(path)
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most_records).text(path)
 
 
 class WarcFile(InputPartition):
@@ -240,8 +245,31 @@ def verify(record: dict) -> bool:
     return base64.b32encode(hashlib.sha1(data).digest()).decode() == record["payload_digest"] and len(data) == record["payload_bytes"]
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, columns: Sequence[str] = tuple(SCHEMA.names)) -> DataFrame:
+    """The records of an archive; without ``payload`` among the columns, payloads are not read.
+
+    Spark pushes filters down to Python sources only if ``spark.sql.python.filterPushdown.enabled`` is set, when a plan
+    is made: it is set here for the session.
+    """
     prepare(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").load(path)
+    return spark.read.format("warc").schema(StructType([SCHEMA[c] for c in columns])).load(path)
+
+
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+def checked_records(spark: SparkSession, path: str) -> DataFrame:
+    """``record_id, record_type, refers_to, payload_digest, payload_bytes`` of an archive, payloads held against their headers.
+
+    Responses are read with their payloads, of which digest and length are computed again: a difference is an error.
+    Revisits have none; theirs are not asked for, and responses are passed over when revisits are read.
+    """
+    names = ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+    full = read_warc(spark, path).where("record_type = 'response'")
+    found = base32_sha1(F.col("payload"))
+    right = (found == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
+    wrong = F.raise_error(F.concat(F.lit("payload of "), F.col("record_id"), F.lit(" differs from its header"))).cast("string")
+    full = full.withColumn("payload_digest", F.when(F.coalesce(right, F.lit(False)), found).otherwise(wrong))
+    return full.select(*names).unionByName(read_warc(spark, path, names).where("record_type = 'revisit'").select(*names))

@@ -6,7 +6,10 @@ import io
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm.warc import base32_sha1, read_records, read_warc, verify, write_warc
+import pytest
+
+from sparkloom.llm import warc
+from sparkloom.llm.warc import base32_sha1, checked_records, read_records, read_warc, verify, write_warc
 
 
 def pages(spark, rows):
@@ -66,6 +69,32 @@ def test_filters_are_pushed_and_skipped_blocks_are_not_read(spark, tmp_path):
     assert Counting.taken < 200
 
 
+def test_payloads_that_nobody_asks_for_are_not_read(spark, tmp_path):
+    write_warc(pages(spark, [(i, "u", f"p{i % 7}") for i in range(20)]), f"file://{tmp_path}/w")
+    names = ["record_id", "record_type", "payload_bytes"]
+    df = read_warc(spark, f"file://{tmp_path}/w", names)
+    assert df.columns == names and df.count() == 20 and df.where("record_type = 'revisit'").count() == 13
+    reader = warc.WarcReader("p", warc.StructType([warc.SCHEMA[c] for c in names]))
+    assert "payload" not in reader.names
+
+
+def test_payloads_are_held_against_their_headers(spark, tmp_path):
+    write_warc(pages(spark, [(i, "u", f"page {i % 7}") for i in range(20)]), f"file://{tmp_path}/w")
+    found = checked_records(spark, f"file://{tmp_path}/w").collect()
+    assert len(found) == 20 and sum(r.record_type == "revisit" for r in found) == 13
+    for f in tmp_path.glob("w/part-*"):
+        f.write_bytes(f.read_bytes().replace(b"page 3", b"page 8"))
+        for crc in tmp_path.glob("w/.part-*.crc"):
+            crc.unlink()
+    with pytest.raises(Exception, match="differs from its header"):
+        checked_records(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_large_archives_are_split(spark, tmp_path):
+    write_warc(pages(spark, [(i, "u", f"p{i}") for i in range(40)]).coalesce(1), f"file://{tmp_path}/w", most_records=10)
+    assert len(list(tmp_path.glob("w/part-*"))) >= 4 and read_warc(spark, f"file://{tmp_path}/w").count() == 40
+
+
 def test_gzip_members_and_other_records(spark, tmp_path):
     info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:r>\r\nContent-Type: text/plain\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
