@@ -10,7 +10,7 @@ documents of that digest are matched by their texts.
 
 Defined results: null text counts as empty; the row with the largest doc_id of a group stays (a null doc_id
 stays only in a group that has no other); rows that repeat doc_id and text are one document and share its
-decision; an empty table gives no rows; other columns are ignored by ``exact_groups`` and kept by
+decision; very long texts are compared whole; an empty table gives no rows; other columns are ignored by ``exact_groups`` and kept by
 ``drop_copies`` whatever their names.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SALTS, has_rows, salted, written
+from ._shared import SALTS, has_rows, salted, unused_name, written
 
 
 def sha256(text: Column) -> Column:
@@ -50,9 +50,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; of rows that repeat doc_id and text, one."""
     groups, _ = written(exact_groups(docs, id_col, text_col, salts).select("doc_id", "digest", "kept"), "decisions")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
-    digest = sha256(F.coalesce(F.col(text_col), F.lit("")))
-    left = docs.withColumn("__digest", digest).join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__gone_digest")), "left_anti")
+    own, gone_id, gone_digest = (unused_name(docs.columns, c) for c in ("digest", "gone", "gone_digest"))
+    gone = groups.where("not kept").select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
+    left = docs.withColumn(own, sha256(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    left = left.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_digest)), "left_anti")
     if has_rows(groups.where("kept").groupBy("doc_id", "digest").count().where("count > 1")):
-        left = left.dropDuplicates([id_col, "__digest"])
-    return left.drop("__digest")
+        left = left.dropDuplicates([id_col, own])
+    return left.drop(own)

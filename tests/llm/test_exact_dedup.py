@@ -44,3 +44,10 @@ def test_equal_digests_do_not_make_texts_equal(spark):
     rows = [(i, t) for i, t in enumerate(["aa", "ab", "aa", "b", "ac", "ab", "ab", None, ""])]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(docs(spark, rows), digest=weak).collect()}
     assert got == {0: (2, 2, False), 2: (2, 2, True), 1: (6, 3, False), 5: (6, 3, False), 6: (6, 3, True), 3: (3, 1, True), 4: (4, 1, True), 7: (8, 2, False), 8: (8, 2, True)}
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ("digest", "_digest", "gone", "gone_digest", "__gone", "__digest", "kept", "salt")
+    docs = spark.createDataFrame([(i, f"t{i % 3}", *[i] * len(names)) for i in range(9)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    left = drop_copies(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(i, f"t{i % 3}", *[i] * len(names)) for i in (6, 7, 8)]
