@@ -5,16 +5,19 @@
    that the driver does with it, has a fixed size at any number of documents.
 3. ``complete_bins`` solves the packing on the histogram.  Best fit decreasing, computed for groups of equal
    sequences, is the first incumbent; the second takes for the largest length left the filling that wastes least,
-   as often as the counts allow, and so on.  If neither meets the lower bound, ``_search`` branches over the
+   as often as the counts allow, and so on.  If neither meets the lower bounds, ``_search`` branches over the
    fillings around the largest length left, sequence by sequence, and takes back earlier ones: fillings that
    another one dominates (Martello and Toth) are left out, and so are branches that cannot need fewer sequences
-   than the incumbent.  The search visits at most ``budget`` nodes; if it ends before that, the packing is optimal,
-   otherwise it is the best one found.  Each branch uses a filling first as often as the counts allow, then once,
+   than the incumbent: a branch may waste no more than an incumbent of one sequence less would.  The search visits at
+   most ``budget`` nodes; if it ends before that, the packing is optimal, otherwise it is the best one found (no
+   polynomial way is known to an optimum).  On large corpora lengths are so many that an incumbent meets the bound,
+   which proves it optimal, and there is nothing to search.  Each branch uses a filling first as often as the counts allow, then once,
    so the number of steps depends on the number of lengths, not of documents.
 4. Each piece takes a slot of its length: its rank among pieces of equal length, counted in salted parts so that
    a length that a third of all pieces share is not ranked in one task.
 
-Defined results: null text counts as empty (one token, id 0); an empty table gives no rows; rows that repeat a
+Defined results: null text counts as empty (one token, id 0); very long texts are cut into pieces; pieces of equal
+length are taken in the order of doc_id and piece; an empty table gives no rows; rows that repeat a
 doc_id are packed like any others; a null doc_id is kept; other columns are ignored.
 """
 
@@ -178,6 +181,19 @@ def _first_bound(hist: dict[int, int], capacity: int) -> int:
     return max(-(-sum(k * n for k, n in hist.items()) // capacity), sum(n for k, n in hist.items() if 2 * k > capacity))
 
 
+def _second_bound(hist: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound: pieces over half of the capacity lie apart, and those from a length on fill what these leave."""
+    sizes = sorted(k for k, n in hist.items() if n)
+    best = 0
+    for least in [0, *(k for k in sizes if 2 * k <= capacity)]:
+        alone = sum(hist[k] for k in sizes if k > capacity - least)
+        large = [(k, hist[k]) for k in sizes if 2 * k > capacity and k <= capacity - least]
+        rest = sum(k * hist[k] for k in sizes if least <= k and 2 * k <= capacity)
+        spare = sum((capacity - k) * n for k, n in large)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(rest - spare) // capacity)))
+    return best
+
+
 def _grouped(items: list[int]) -> list[tuple[int, int]]:
     return [(k, items.count(k)) for k in sorted(set(items), reverse=True)]
 
@@ -317,7 +333,7 @@ def complete_bins(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: in
     Best fit decreasing is the incumbent; the lower bound ends the search.
     """
     size = lambda patterns: sum(p.times for p in patterns)
-    least = _first_bound(hist, capacity)
+    least = max(_first_bound(hist, capacity), _second_bound(hist, capacity))
     best = _best_fit_decreasing(hist, capacity)
     if size(best) > least:
         best = min(best, _solve(hist, capacity, most_nodes), key=size)

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkloom.llm.packing import WordIds, _first_bound, _solve, complete_bins, pack_documents
+from sparkloom.llm.packing import WordIds, _first_bound, _second_bound, _solve, complete_bins, pack_documents
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,14 @@ def fewest(items, capacity):
     return 0
 
 
+def optimum(items, capacity):
+    """The same by sets of pieces, for more of them: sequences used and load of the open one."""
+    left = {0: (0, capacity)}
+    for s in range(1, 1 << len(items)):
+        left[s] = min((n + 1, x) if load + x > capacity else (n, load + x) for i, x in enumerate(items) if s >> i & 1 for n, load in [left[s & ~(1 << i)]])
+    return left[(1 << len(items)) - 1][0]
+
+
 def used(patterns):
     out = collections.Counter()
     for p in patterns:
@@ -67,19 +75,40 @@ def test_completion_beats_best_fit_decreasing():
     assert sum(p.times for p in found) <= 1.01 * _first_bound(hist, 2048)
 
 
-def test_small_cases_are_solved_to_the_optimum():
-    def optimum(items, capacity):
-        left = {0: (0, capacity)}  # by set of pieces: sequences closed, load of the open one
-        for s in range(1, 1 << len(items)):
-            left[s] = min((n + 1, x) if load + x > capacity else (n, load + x) for i, x in enumerate(items) if s >> i & 1 for n, load in [left[s & ~(1 << i)]])
-        return left[(1 << len(items)) - 1][0] + 1 if items else 0
+def test_second_bound_is_a_bound():
+    r = random.Random(8)
+    better = 0
+    for _ in range(60):
+        hist = collections.Counter(r.randint(1, 20) for _ in range(7))
+        bound = _second_bound(hist, 20)
+        assert bound <= fewest([*hist.elements()], 20)
+        better += bound > _first_bound(hist, 20)
+    assert better
 
+
+def test_documents_are_packed_better_than_by_best_fit(spark):
+    """Through the operator itself: tables on which best fit decreasing needs a sequence more than the search."""
+    from sparkloom.llm.packing import _best_fit_decreasing
+
+    r, met = random.Random(21), 0
+    while met < 3:
+        lengths = [r.randint(3, 20) for _ in range(11)]
+        plain = sum(p.times for p in _best_fit_decreasing(collections.Counter(lengths), 30))
+        if plain == optimum(lengths, 30):
+            continue
+        met += 1
+        docs = spark.createDataFrame([(i, "x " * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string")
+        got = pack_documents(docs, PATH, capacity=30).collect()
+        assert sorted(x.length for x in got) == sorted(lengths) and len({x.sequence_id for x in got}) == plain - 1
+
+
+def test_small_cases_are_solved_to_the_optimum():
     r, greedy_misses = random.Random(11), 0
     for _ in range(400):
         items = [r.randint(3, 20) for _ in range(11)]
         hist = collections.Counter(items)
         found = complete_bins(hist, 30)
-        want = optimum([*items], 30) - 1
+        want = optimum(items, 30)
         assert used(found) == hist and all(sum(k * n for k, n in p.lengths) <= 30 for p in found)
         assert sum(p.times for p in found) == want
         greedy_misses += sum(p.times for p in _solve(hist, 30, 2000)) > want
