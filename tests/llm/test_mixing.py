@@ -49,7 +49,7 @@ def xx(*values):
     return h - (1 << 64) if h >> 63 else h
 
 
-def plain_mix(rows, block_words, shard_words):
+def plain_mix(rows, block_words, shard_words, documents_stay_whole=False):
     """(doc_id, size, taken, places) of each row by the definition, block by block and document by document."""
     size = lambda t: len([w for w in (t or "").replace("\x1c", "x").split()])
     count = collections.Counter((i, s, size(t), xx(t)) for i, t, s in rows)
@@ -89,6 +89,8 @@ def plain_mix(rows, block_words, shard_words):
             for turn, block, left in picks:
                 for k in sorted(blocks[s][block], key=lambda k: xx(("i", SEED), k[0], k[2], k[3])):
                     w = k[2] * count[k] if left is None else max(0, min(left, k[2] * count[k]))
+                    if documents_stay_whole:  # the nearer number of whole documents
+                        w = (2 * w + k[2]) // (2 * k[2]) * k[2]
                     left = None if left is None else left - k[2] * count[k]
                     if w:
                         found.append((xx(("i", SEED), k[0], ("i", turn), k[2], k[3]), k, turn, w))
