@@ -1,13 +1,19 @@
 """The corpus pipeline: each stage reads what the one before it has kept, and its decisions take effect.
 
 A stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return the columns of ``documents``.
+
+Defined results: null and empty texts are not toxic; of copies one stays; documents without words are in no mix and so
+leave at that stage; very long texts are read whole and cut into pieces by the last stage; rows that repeat doc_id and
+text are one document from the second stage on; rows without doc_id are told apart by their texts and never dropped as
+near copies; ties are settled as the operators' docstrings say; an empty table gives an empty result at every stage;
+further columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm._shared import table, written
+from sparkloom.llm._shared import discard, table, temporary, written
 from sparkloom.llm.exact_dedup import drop_copies
 from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.ngram_join import one_of_each_group
@@ -55,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        with temporary() as made:
+            docs, path = written(stage(spark, docs, sf_dir), name)
+        discard(spark, *before, *(p for p in made if p != path))  # nothing reads the stage's input and own tables any more
+        before = [path]
     return docs
