@@ -21,26 +21,32 @@ def load(spark: SparkSession, path: str) -> GraphEngine:
     fs = spark._jvm.org.apache.hadoop.fs
     where = fs.Path(path)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = fs.Path(path + ".old")
+    if not store.exists(where) and store.exists(old):  # a save was broken off between its two renames
+        store.rename(old, where)
     if not store.exists(where):
         return engine
     if store.getFileStatus(where).isFile():
         engine.import_json(path)
-        return engine
-    lines = lambda name: [json.loads(r[0]) for r in spark.read.text(f"{path}/{name}").toLocalIterator()] if store.exists(fs.Path(f"{path}/{name}")) else []
-    engine.import_json({"nodes": lines("nodes"), "edges": lines("edges")})
+    elif store.exists(fs.Path(path, "nodes")):
+        engine.import_json_lines(path)
     return engine
 
 
 def save(engine: GraphEngine, path: str) -> None:
-    """Writes the graph beside the old one, then replaces it."""
+    """Writes the graph beside the old one, moves that away and then the new one in; ``load`` finds one of them at any time."""
     spark = engine.spark
     fs = spark._jvm.org.apache.hadoop.fs
-    new, where = fs.Path(path + ".new"), fs.Path(path)
+    new, old, where = fs.Path(path + ".new"), fs.Path(path + ".old"), fs.Path(path)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     store.delete(new, True)
     graph_json.write(engine.catalog, path + ".new")
-    store.delete(where, True)
+    store.mkdirs(new)  # a graph without nodes
+    if store.exists(where):
+        store.delete(old, True)
+        store.rename(where, old)
     store.rename(new, where)
+    store.delete(old, True)
 
 
 def parser() -> argparse.ArgumentParser:

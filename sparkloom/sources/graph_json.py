@@ -152,6 +152,8 @@ def read(catalog: Catalog, folder: str) -> Catalog:
     spark, prefix = catalog.spark, uuid.uuid4().hex
     new = lambda c: F.concat(F.lit(prefix + ":"), F.col(c).cast("string"))
     lines = spark.read.json(f"{folder}/nodes")
+    if not lines.columns:  # no nodes at all
+        lines = spark.createDataFrame([], "id string, labels array<string>")
     if "labels" not in lines.columns or "id" not in lines.columns:
         raise GraphError("nodes need an id and labels")
     names = _members(lines, "properties")

@@ -80,3 +80,27 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_result_as_json(spark):
     assert json.loads(results.to_json(spark.sql("select 1 as a, cast(null as string) as b"))) == {"columns": ["a", "b"], "rows": [{"a": 1, "b": None}]}
+
+
+def test_a_save_that_was_broken_off_is_mended(spark, tmp_path, capsys):
+    graph = str(tmp_path / "g")
+    cli.main(["graph", "query", graph, "CREATE (:A {x: 1})-[:R]->(:A {x: 2})"], spark)
+    (tmp_path / "g").rename(tmp_path / "g.old")
+    capsys.readouterr()
+    cli.main(["graph", "query", graph, "MATCH (a:A)-[:R]->(b:A) RETURN a.x AS x, b.x AS y", "--json"], spark)
+    assert json.loads(capsys.readouterr().out)["rows"] == [{"x": 1, "y": 2}]
+    cli.main(["graph", "query", graph, "MATCH (a:A) DETACH DELETE a"], spark)
+    cli.main(["graph", "query", graph, "MATCH (a:A) RETURN count(*) AS n", "--json"], spark)
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == [{"n": 0}] and not (tmp_path / "g.old").exists()
+
+
+def test_items_of_equal_ids_and_filters(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    store.create_index()
+    for _ in range(2):
+        assert store.insert_items([{"id": "a", "vector": [1, 0], "metadata": {"t": "x", "n": 1}}, {"id": "b", "vector": [0, 1], "metadata": {"t": "y", "n": 2}}, {"id": "a", "vector": [1, 1], "metadata": {"t": "y", "n": 3}}]) == ["a", "b", "a"]
+        assert sorted((r["id"], list(r["vector"])) for r in store.list_items().collect()) == [("a", [1, 1]), ("b", [0, 1])]
+    assert [r["id"] for r in store.query_items([1, 0], 5, filter={"t": "y"}).collect()] == ["a", "b"]
+    assert [r["id"] for r in store.query_items([1, 0], 5, filter={"t": "y", "n": 2}).collect()] == ["b"] and store.query_items([1, 0], 5, filter={"z": 1}).count() == 0
+    with pytest.raises(GraphError):
+        store.query_items([1, 0], 5, filter="t")
