@@ -98,27 +98,24 @@ PROCEDURES["vector.approximate"] = _approximate
 def nearest_to_each(vectors_df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int | None = None) -> DataFrame:
     """The k nearest of ``vectors_df`` (id, vec) for each of ``queries`` (q, vec), the query's own id left out: ``q, id, score, rk``.
 
-    Ties go to the smaller id.  Queries are sent to the vectors only up to ``MOST_QUERIES``; more are dealt into
-    blocks of that size that are scored one block at a time, so that what is sent never grows with the data.
+    Ties go to the smaller id.  Queries are sent to the vectors only up to ``MOST_QUERIES``; more go the way of
+    ``nearest_of_all``, so that what is sent never grows with the data.
     """
-    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    blocks = [queries]
-    if not few:
-        count = -(-queries.count() // (MOST_QUERIES // 2))
-        blocks = [queries.where(F.pmod(F.xxhash64("q"), F.lit(count)) == i) for i in range(count)]
-    out = None
-    for block in blocks:
-        score = vectors.similarity(metric, F.col("vec"), F.col("qvec"))
-        scored = vectors_df.join(F.broadcast(block.select("q", F.col("vec").alias("qvec"))), F.col("q") != F.col("id"))
-        scored = scored.select("q", "id", (F.round(score, digits) if digits is not None else score).alias("score")).where("score is not null")
-        rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
-        top = scored.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)  # kept per partition first
-        out = top if out is None else out.unionAll(top)
-    return out
-
-
-def nearest_of_all(vectors_df: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The k nearest by cosine of every vector of ``vectors_df`` (id, vec), its own id left out: ``q, id, score, rk``.
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        return nearest_of_all(vectors_df, k, digits, queries, metric)
+    score = vectors.similarity(metric, F.col("vec"), F.col("qvec"))
+    scored = vectors_df.join(F.broadcast(queries.select("q", F.col("vec").alias("qvec"))), F.col("q") != F.col("id"))
+    scored = scored.select("q", "id", (F.round(score, digits) if digits is not None else score).alias("score")).where("score is not null")
+    return _ranked(scored, k)  # the k best are kept per partition first
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
+    return scored.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
+
+
+def nearest_of_all(vectors_df: DataFrame, k: int, digits: int | None = 6, queries: DataFrame | None = None, metric: str = "cosine") -> DataFrame:
+    """The k nearest of ``vectors_df`` (id, vec) for each of ``queries`` (q, vec), or of every vector, its own id left out: ``q, id, score, rk``.
 
     Exact: each pair of blocks is one matrix product in a Python worker, which keeps the k best of each row.  Scores
     are rounded to ``digits`` before they are ranked and ties go to the smaller id, as in ``nearest_to_each``.  Vectors
@@ -127,16 +124,25 @@ def nearest_of_all(vectors_df: DataFrame, k: int, digits: int = 6) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if metric == "euclidean":
+            square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+            return 1 / (1 + np.sqrt(np.maximum(square, 0)))
+        return a @ b.T
+
     def best(part: pa.Table) -> pa.Table:
         ids, side = part.column("id").to_numpy(), part.column("side").to_numpy()
         rows = np.asarray(part.column("vec").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
-        rows = rows / np.maximum(np.sqrt((rows * rows).sum(1)), np.finfo(float).tiny)[:, None]
+        if metric == "cosine":
+            rows = rows / np.maximum(np.sqrt((rows * rows).sum(1)), np.finfo(float).tiny)[:, None]
         asked, known = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         known = known[np.argsort(ids[known], kind="stable")]  # of equal scores the first has the smallest id
         out = []
         for at in range(0, len(asked), 512) if len(known) else []:
             mine = asked[at : at + 512]
-            score = np.rint(rows[mine] @ rows[known].T * 10.0**digits)
+            score = similarity(rows[mine], rows[known])
+            if digits is not None:
+                score = np.rint(score * 10.0**digits) / 10.0**digits
             first, last = (np.searchsorted(ids[known], ids[mine], side=s) for s in ("left", "right"))
             for i in np.flatnonzero(last > first):
                 score[i, first[i] : last[i]] = -np.inf
@@ -144,17 +150,20 @@ def nearest_of_all(vectors_df: DataFrame, k: int, digits: int = 6) -> DataFrame:
                 top = score.argmax(1)
                 value = score[np.arange(len(mine)), top]
                 there = value > -np.inf
-                out.append((ids[mine][there], ids[known[top]][there], value[there] / 10.0**digits))
+                out.append((ids[mine][there], ids[known[top]][there], value[there]))
                 score[np.arange(len(mine)), top] = -np.inf
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, ids.dtype)] * 2 + [np.zeros(0)]
-        return pa.table({"q": cols[0], "id": cols[1], "score": cols[2]})
-
-    kept = vectors_df.where(vectors.is_valid(F.col("vec"))).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [ids[:0], ids[:0], np.zeros(0)]
+        kind = part.schema.field("id").type
+        return pa.table({"q": pa.array(cols[0], kind), "id": pa.array(cols[1], kind), "score": cols[2]})
+
+    if metric not in vectors.METRICS:
+        raise CypherTypeError(f"metric {metric!r} is none of {', '.join(vectors.METRICS)}")
+    valid = lambda df, key: df.where(vectors.is_valid(F.col("vec"))).select(F.col(key).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    kept = valid(vectors_df, "id")
+    asked = kept if queries is None else valid(queries, "q")
+    kind = kept.schema["id"].dataType.simpleString()
     count = max(ALL_BLOCKS, -(-kept.count() // MOST_IN_BLOCK))
     own, every = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = kept.select("id", "vec", F.size("vec").alias("size"), own.alias("own"), every.alias("other"))
-    asked = dealt.select("id", "vec", "size", F.col("own").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"))
-    known = dealt.select("id", "vec", "size", F.col("other").alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"))
-    top = asked.unionByName(known).groupBy("size", "a", "b").applyInArrow(best, "q long, id long, score double")
-    rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
-    return top.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
+    dealt = lambda df, mine, other, side: df.select("id", "vec", F.size("vec").alias("size"), own.alias(mine), every.alias(other)).withColumn("side", F.lit(side))
+    met = dealt(asked, "a", "b", 0).unionByName(dealt(kept, "b", "a", 1))
+    return _ranked(met.groupBy("size", "a", "b").applyInArrow(best, f"q {kind}, id {kind}, score double"), k)

@@ -78,14 +78,17 @@ def test_a_kernel_in_where_and_return_is_computed_once(spark, sf):
     assert len(rows) == 5 and rows[0].s == pytest.approx(1) and all(r.s > 0.1 for r in rows)
 
 
-def test_many_queries_are_dealt_into_blocks(spark, sf, monkeypatch):
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_many_queries_go_in_blocks(spark, sf, monkeypatch, metric):
     from sparkloom.operators import knn
 
     vecs = graph_of(spark, sf).table("embeddings")
-    base, asked = vecs.selectExpr("vec_id as id", "embedding as vec"), vecs.where("vec_id < 30").selectExpr("vec_id as q", "embedding as vec")
-    whole = {(r.q, r.id) for r in nearest_to_each(base, asked, 2).collect()}
+    base, asked = vecs.selectExpr("concat('v', vec_id) as id", "embedding as vec"), vecs.where("vec_id < 30").selectExpr("concat('v', vec_id) as q", "embedding as vec")
+    base = base.unionByName(spark.createDataFrame([("zero", [0.0] * 64), ("short", [1.0]), ("none", None)], "id string, vec array<float>"))
+    found = lambda: {(r.q, r.id): (round(r.score, 6), r.rk) for r in nearest_to_each(base, asked, 2, metric).collect()}
+    whole = found()
     monkeypatch.setattr(knn, "MOST_QUERIES", 10)
-    assert {(r.q, r.id) for r in nearest_to_each(base, asked, 2).collect()} == whole and len(whole) == 60
+    assert found() == whole and len(whole) == 60
 
 
 def test_index_recall(spark, sf):
