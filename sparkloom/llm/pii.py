@@ -427,8 +427,7 @@ def training_windows(texts: list[str], most: int = MOST_WINDOWS, seed: int = 3)
                 if x < high and y > low:
                     part = tags[max(0, x - low) : y - low]
                     part[part == 0] = k + 1
-            parts = lambda x, y, tags=tags, low=low, text=text: [(text[low + i], int(tags[i])) for i in range(x - low, y - low)]
-            add(0, [*[(t, 0) for t, _ in parts(low, a)], (text[a:b], kind + 1), *[(t, 0) for t, _ in parts(b, high)]] if not tags[: a - low].any() and not tags[b - low :].any() else parts(low, high))
+            add(0, list(zip(text[low:high], tags.tolist(), strict=True)))
             if not tags[: a - low].any() and not tags[b - low :].any():
                 for _ in range(RESPELLED):
                     add(1, [(text[low:a], 0), *respelled(kind, text[a:b], rng), (text[b:high], 0)])
