@@ -44,8 +44,8 @@ HIDDEN, EMBED = 12, 10
 MOST_DOCS = 1500
 MOST_SPANS = 8
 MOST_WINDOWS = 4000
-RESPELLED = 4
-EPOCHS = 16
+RESPELLED, ROUNDS = 4, 8
+EPOCHS = 12
 
 # --------------------------------------------------------------------------- base detectors
 
@@ -364,9 +364,14 @@ def plausible(kind: int, found: str) -> bool:
 
 
 def shapes(text: str) -> list[tuple[int, int, int]]:
-    """What the patterns match, whether it passes Luhn's check or not: a network cannot sum up digits."""
+    """What the patterns match, whether it passes Luhn's check or not, as a network cannot sum up digits; and numbers of a card's length among others."""
     out = [x for x in base_spans(text) if x[0] != 2]
-    return out + [(2, *m.span()) for m in _CARD.finditer(text) if 16 <= len(_digits(m[0])) <= 19]
+    for m in _CARD.finditer(text):
+        if 16 <= (n := len(_digits(m[0]))) <= 19:
+            out.append((2, *m.span()))
+        elif n > 19:
+            out += [(2, m.start() + r.start(), m.start() + r.end()) for r in re.finditer(r"(?<![0-9])[0-9]{16,19}(?![0-9])", m[0])]
+    return out
 
 
 def respelled(kind: int, found: str, rng: np.random.Generator) -> list[tuple[str, int]]:
@@ -418,8 +423,11 @@ def training_windows(texts: list[str], most: int = MOST_WINDOWS, seed: int = 3)
         a = max(0, low - int(rng.integers(0, spare + 1)))
         each[kind].append((char_classes(text[a : a + FITTED]), tags[a : a + FITTED]))
 
-    for text in texts:
-        spans = shapes(text)
+    known = [(text, shapes(text)) for text in texts]
+    most_rounds = ROUNDS if any(s for _, s in known) else 1
+    for text, spans in (x for _ in range(most_rounds) for x in known):
+        if min(map(len, each)) >= most // len(each):
+            break  # a small sample is gone through again, with other places and spellings
         for kind, a, b in (spans[i] for i in rng.permutation(len(spans))[:MOST_SPANS].tolist()):
             low, high = max(0, a - FITTED), min(len(text), b + FITTED)
             tags = np.zeros(high - low, dtype=np.int8)

@@ -170,6 +170,17 @@ def test_query_against_the_patterns(spark, sf):
         assert set(spelled) <= set(r.spans.split(",")) | ({""} if not spelled else set())
 
 
+def test_query_adds_spans(spark, sf):
+    """On a larger table: what it adds is what the patterns miss, and right."""
+    from sparkloom.llm.queries import op3_pii
+
+    folder = sf.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    added = [(texts[r.doc_id], x.split(":")) for r in op3_pii(spark, folder).where("n_added > 0").collect() for x in r.spans.split(",")]
+    added = [(kind, text[int(a) : int(b)]) for text, (kind, a, b) in added if (pii.KINDS.index(kind), int(a), int(b)) not in plain(text)]
+    assert added and all(pii.plausible(pii.KINDS.index(kind), found) for kind, found in added)
+
+
 @pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "1" * 200_000, "1" * 50_000 + "." + "2" * 50_000 + ".3", "+" * 100_000, "a@" * 50_000, "1 " * 100_000])
 def test_long_runs_take_time_in_proportion(text):
     import time
