@@ -36,7 +36,7 @@ from ._shared import prepare, thinned
 #: Categories of toxic rows; fewer are used if there are fewer toxic rows.
 KINDS = 4
 CHAIN = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
-MOST_ROWS = 3600
+MOST_ROWS = 1800
 VOCABULARY = 3000
 LEAST = 4
 FOLDS = 4
@@ -204,7 +204,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = dict(marks.groupBy("toxic").count().collect())
     first = lambda n, y: thinned(marks.where(F.col("toxic") == y), "doc_id", n, rows.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = first(most_rows // 4, 1).unionByName(first(most_rows - most_rows // 4, 0))
+    chosen = first(most_rows // 2, 1).unionByName(first(most_rows // 2, 0))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # most_rows rows at most
     # one row of each doc_id
     one = Window.partitionBy("doc_id").orderBy("text")
