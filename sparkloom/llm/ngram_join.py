@@ -51,7 +51,7 @@ from ._shared import attach, components, discard, forest, has_rows, prepare, run
 WORDS = 5
 THRESHOLD = 0.8
 COORDINATES = 64
-SMALL = 200
+SMALL = 2000
 DEEPEST = 6
 #: Share of a bucket's sets in one of its parts from which the bucket counts as alike throughout.
 DENSE = 0.8
@@ -376,6 +376,9 @@ def _verify(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, paths:
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = TARGET_RECALL, small: int = SMALL, deepest: int = DEEPEST, block: int = BLOCK) -> DataFrame:
     """``doc_id, class_id, class_size, n_links, group_id, kept`` of each row of ``docs``.
 
+    Buckets of at most ``small`` sets are compared in full: by default as many as a block holds, as splitting them costs
+    more than comparing their sketches.
+
     ``class_id`` is the smallest doc_id with an equal shingle set, ``n_links`` the number of other documents at the
     threshold or above (copies included), ``group_id`` the smallest doc_id reachable by links, ``kept`` whether the
     document is the one of its group that stays.
@@ -391,13 +394,15 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     n_runs, levels = plan_runs(threshold, recall, deepest)
     buckets, made_paths = _buckets(classes, n_runs, small, levels)
     used += made_paths
-    sorted_paths = F.array_sort(F.collect_set("path"))
+    buckets, made = written(buckets.distinct(), "final")  # read twice
+    used.append(made)
+    sorted_paths = F.array_sort(F.collect_list("path"))
     packed = lambda c: F.unhex(F.array_join(F.transform(c, _little_endian), ""))
     per_key = buckets.groupBy("key").agg(packed(sorted_paths).alias("paths"))
     stride = F.concat(*[F.substring(F.col("mins"), 4 * k + 1, 1) for k in range(COORDINATES)])
     sketches = classes.select("key", "n", stride.alias("sketch")).join(per_key, "key")
     blocks = F.ceil(F.greatest(F.col("many") / F.lit(block), F.col("mass") / F.lit(BLOCK_TOKENS))).cast("int")
-    rows = buckets.distinct().select("key", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "path"), blocks).cast("int").alias("block")).join(sketches, "key")
+    rows = buckets.select("key", "path", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "path"), blocks).cast("int").alias("block")).join(sketches, "key")
     candidates, made_paths = _candidates(rows, threshold)
     used += made_paths
     hopeful, made = written(candidates, "hopeful")
