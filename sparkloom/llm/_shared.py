@@ -148,7 +148,7 @@ def _all(conditions: Iterable[Column]) -> Column:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of the undirected ``edges`` (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star steps; each is a grouped minimum attached to the edges in salted
@@ -159,7 +159,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     if not has_rows(kept):
         return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
-    for _ in range(rounds):
+    while True:  # settles in O(log^2) rounds
         both = kept.union(kept.select("v", "u"))
         near = attach(both, ["u"], F.col("v"), {"m": F.min("v")}, {"m": F.min("m")}).withColumn("m", F.least("u", "m"))
         large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -172,7 +172,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == seen:
             return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
