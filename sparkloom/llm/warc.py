@@ -8,8 +8,8 @@ system, committed per task, safe to retry) writes the archive; its line separato
 ends a WARC record.
 
 Reading: ``spark.read.format("warc").load(folder)``.  One partition per file (a record boundary cannot be told from
-payload bytes without reading from the file's start; the writer splits files at ``most_records``).  Files are opened
-through pyarrow, in any store that it knows.  Filters on
+payload bytes without reading from the file's start; the writer splits files at ``most_records``).  The source opens
+files through pyarrow.  In a store that only Spark reaches, ``read_warc`` has Spark read whole files and parses these.  Filters on
 ``record_type``, ``record_id``, ``target_uri``, ``payload_digest`` and ``refers_to`` are pushed down: headers
 are parsed first, and the block of a record that fails them is skipped without being read or decoded.  Blocks
 are also skipped when no ``payload`` column is asked for (``read_warc(..., columns)``: Spark tells a Python source
@@ -30,6 +30,7 @@ import hashlib
 import io
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
@@ -252,9 +253,44 @@ def read_warc(spark: SparkSession, path: str, columns: Sequence[str] = tuple(SCH
     is made: it is set here for the session.
     """
     prepare(spark)
+    schema = StructType([SCHEMA[c] for c in columns])
+    if not _opens(path):
+        return _parsed(spark, path, schema)
     spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").schema(StructType([SCHEMA[c] for c in columns])).load(path)
+    return spark.read.format("warc").schema(schema).load(path)
+
+
+def _opens(path: str) -> bool:
+    """Whether pyarrow knows the store of a path."""
+    try:
+        store, folder = _store(path)
+        store.get_file_info(folder)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The records of files that Spark itself reads, one file at a time in memory."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema])
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = io.BytesIO(content.as_buffer())
+                found, size = [], 0
+                for record in read_records(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw), {}, "payload" in schema.names):
+                    found.append({c: record[c] for c in schema.names})
+                    size += len(record["payload"] or b"")
+                    if len(found) == 1000 or size > 1 << 24:
+                        yield pa.RecordBatch.from_pylist(found, kinds)
+                        found, size = [], 0
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, kinds)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where("length > 0").select("path", "content").mapInArrow(parse, schema)
 
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"

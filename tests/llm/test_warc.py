@@ -90,6 +90,16 @@ def test_payloads_are_held_against_their_headers(spark, tmp_path):
         checked_records(spark, f"file://{tmp_path}/w").collect()
 
 
+def test_stores_that_only_spark_reaches(spark, tmp_path):
+    rows = [(i, "u", f"page {i % 7}") for i in range(20)] + [(90, "u", None), (91, "l", "x" * 300_000)]
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./warc", f"file://{tmp_path}")
+    write_warc(pages(spark, rows), "viewfs://store/warc/w")
+    assert not warc._opens("viewfs://store/warc/w") and warc._opens(f"file://{tmp_path}/w")
+    there, here = (sorted(map(repr, read_warc(spark, p).collect())) for p in ("viewfs://store/warc/w", f"file://{tmp_path}/w"))
+    assert there == here and len(there) == 22
+    assert sorted(map(repr, checked_records(spark, "viewfs://store/warc/w").collect())) == sorted(map(repr, checked_records(spark, f"file://{tmp_path}/w").collect()))
+
+
 def test_large_archives_are_split(spark, tmp_path):
     write_warc(pages(spark, [(i, "u", f"p{i}") for i in range(40)]).coalesce(1), f"file://{tmp_path}/w", most_records=10)
     assert len(list(tmp_path.glob("w/part-*"))) >= 4 and read_warc(spark, f"file://{tmp_path}/w").count() == 40
