@@ -270,13 +270,15 @@ class Matcher:
         least, most = max(1, e.hops[0]), e.hops[1]
         if e.var and e.var in self.full:
             raise CypherTypeError(f"`{e.var}` is the variable of a variable-length pattern and cannot be used")
-        if e.props:
-            raise CypherTypeError("properties on a variable-length pattern are not supported")
+        if _uses(e.props):
+            raise CypherTypeError("properties on a variable-length pattern must be constants")
         a: Node = rows.scope[near.var]
         slot = new_slot("p")
         both = ("out", "in") if direction == "both" else (direction,)
         tables = [(t, d) for t in self.catalog.edge_tables(e.types) for d in both]
         steps = merged([t.df.select(*[F.col(c).alias(n) for c, n in zip(("_src", "_dst") if d == "out" else ("_dst", "_src"), ("near", "far"), strict=True)]) for t, d in tables]) if tables else self.catalog.spark.createDataFrame([], "near string, far string")
+        if e.props and tables:  # each edge of a path has them all
+            steps = merged([self._with_props(t, d, e.props) for t, d in tables])
         search = self.endpoints_only and least == 1
         if search:
             steps = steps.distinct()
@@ -309,6 +311,11 @@ class Matcher:
         labels = {t.dst_label if d == "out" else t.src_label for t, d in tables}
         return self.arrive(rows.with_df(df.drop(seen)), far, col(here), None if None in labels else labels)
 
+    def _with_props(self, t: EdgeTable, direction: str, props: tuple) -> DataFrame:
+        slot = new_slot("e")
+        df, edge = self.edges([(t, direction)], slot)
+        return self.keep(df, edge, props, {}).select(col(f"{slot}__near").alias("near"), col(f"{slot}__far").alias("far"))
+
     # ----------------------------------------------------------------- optional and absent patterns
 
     def optional(self, rows: Rows, paths: tuple) -> Rows:

@@ -92,6 +92,7 @@ ORACLE = {
     "create_nodes_query": 'select n_name as name,n_nationkey::bigint as key from nation where n_regionkey=2',
     "edge_type_counts": "select 'IN_REGION' as t,count(*) as c from nation union all select 'IN_NATION',(select count(*) from customer)+(select count(*) from supplier) union all select 'PLACED',count(*) from orders union all select 'CONTAINS',count(*) from lineitem",
     "items_query": 'select vec_id as id,round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]),6) as score from embeddings e,(select embedding from embeddings where vec_id=0) q order by score desc,id limit 10',
+    "varlen_edge_props": "select l_orderkey as o,count(*) as n from lineitem where l_returnflag='R' group by 1",
     "varlen_distinct_where": VECTOR_EDGES + ", p(a,b,d,path) as (select src,dst,1,[src,dst] from g join embeddings on vec_id=src and label=3 where t in ('CALLS','IMPORTS') and src<>dst union all select p.a,g.dst,d+1,list_append(path,g.dst) from p join g on p.b=g.src and g.t in ('CALLS','IMPORTS') where d<4 and not list_contains(path,g.dst)) select distinct a,b from p where d>=1",
     "unwind_scalar": 'select 5::bigint as x, true as y',
     "unwind_after_rows": 'select r_name as n, unnest([1,2])::bigint as x from region',

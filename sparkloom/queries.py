@@ -131,6 +131,7 @@ SPECS: dict[str, Spec] = {
     "varlen_2_4": Spec("Vec", "CALLS REFERENCES", "MATCH (a:Vec)-[:CALLS:REFERENCES*2..4]->(b:Vec) RETURN a.vec_id AS a, count(*) AS paths"),
     "varlen_distinct": Spec("Vec", "CALLS IMPORTS", "MATCH (a:Vec)-[:CALLS:IMPORTS*1..4]->(b:Vec) RETURN DISTINCT a.vec_id AS a, b.vec_id AS b"),
     "varlen_distinct_where": Spec("Vec", "CALLS IMPORTS", "MATCH (a:Vec)-[:CALLS:IMPORTS*1..4]->(b:Vec) WHERE a.label = 3 RETURN DISTINCT a.vec_id AS a, b.vec_id AS b"),
+    "varlen_edge_props": Spec("Order Part", "CONTAINS", "MATCH (o:Order)-[:CONTAINS*1..2 {l_returnflag:'R'}]->(p:Part) RETURN o.o_orderkey AS o, count(*) AS n"),
     "varlen_chain_default_cap": Spec("Turn", "NEXT", "MATCH (a:Turn)-[:NEXT*]->(b:Turn) RETURN a.conv_id AS c, count(*) AS n"),
     # products, theta joins, correlated and optional patterns
     "cartesian": Spec("Region", "", "MATCH (a:Region), (b:Region) WHERE a.r_regionkey < b.r_regionkey RETURN a.r_name AS a, b.r_name AS b"),

@@ -328,3 +328,12 @@ def test_variable_length_on_random_graphs(spark, seed):
         query = f"MATCH (a:R)-[:E*{least}..{most}]->(b:R) RETURN {{}}a.n AS a, b.n AS b"
         assert rows(engine.cypher(query.format(""))) == want
         assert rows(engine.cypher(query.format("DISTINCT "))) == sorted(set(want))
+
+
+def test_properties_of_variable_length_edges_hold_for_each(spark):
+    g = GraphEngine(spark)
+    g.cypher("CREATE (:X {i:1})-[:R {w:1}]->(:X {i:2})-[:R {w:1}]->(:X {i:3})-[:R {w:2}]->(:X {i:4}), (:X {i:5})-[:S]->(:X {i:6})")
+    found = lambda text, **p: sorted(tuple(r) for r in g.cypher(f"MATCH (a:X)-[{text}]->(b:X) RETURN a.i AS a, b.i AS b", p).collect())
+    assert found(":R*1..3 {w:1}") == [(1, 2), (1, 3), (2, 3)] == found("*1..3 {w:$w}", w=1)
+    assert found("*1..3 {w:2}") == [(3, 4)] and found("*1..3 {w:9}") == [] == found(":S*1..3 {w:1}")
+    assert found("*1..3") == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6)]
