@@ -103,8 +103,14 @@ def nearest_to_each(vectors_df: DataFrame, queries: DataFrame, k: int, metric: s
     """
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         return nearest_of_all(vectors_df, k, digits, queries, metric)
-    score = vectors.similarity(metric, F.col("vec"), F.col("qvec"))
-    scored = vectors_df.join(F.broadcast(queries.select("q", F.col("vec").alias("qvec"))), F.col("q") != F.col("id"))
+    asked = queries.select("q", F.col("vec").alias("qvec"))
+    known = vectors_df.select("id", "vec")
+    if metric == "cosine":  # norms are computed once for each vector, before pairs are made
+        asked, known = asked.withColumn("qnorm", vectors.norm(F.col("qvec"))), known.withColumn("norm", vectors.norm(F.col("vec")))
+        score = vectors.cosine(F.col("vec"), F.col("qvec"), F.col("norm"), F.col("qnorm"))
+    else:
+        score = vectors.similarity(metric, F.col("vec"), F.col("qvec"))
+    scored = known.join(F.broadcast(asked), F.col("q") != F.col("id"))
     scored = scored.select("q", "id", (F.round(score, digits) if digits is not None else score).alias("score")).where("score is not null")
     return _ranked(scored, k)  # the k best are kept per partition first
 
