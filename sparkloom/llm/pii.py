@@ -6,9 +6,10 @@ in spellings that the patterns miss (``jane [at] example [dot] com``, ``192[.]0[
 signs or run together, phone numbers without a plus); it never removes a base span.
 
 The network reads every character of every text, in overlapping windows of ``WINDOW`` characters.  Windows of a whole
-batch of documents are decoded together (Viterbi over the CRF), then reconciled globally in each document: a character
-takes its tag from the window in which it lies deepest.  A run of one tag is added if it overlaps no base span and its
-usual spelling (``usual``) passes its kind's checks (``plausible``).
+batch of documents are decoded together (Viterbi over the CRF; where an upper bound shows that no path with a span can
+be the best, none is traced), then reconciled globally in each document: a character takes its tag from the window in
+which it lies deepest.  A run of one tag is added if it overlaps no base span and its usual spelling (``usual``) passes
+its kind's checks (``plausible``).
 
 Training is plain numpy (backpropagation through time, CRF forward-backward, Adam) on a bounded sample: the
 ``most_docs`` documents with the smallest hash of their doc_id among those with a digit or an '@' (texts are read
@@ -41,6 +42,8 @@ TAGS = len(KINDS) + 1  # 0 is "outside"
 #: Characters of a window, shared by neighbours, and of a window in training.
 WINDOW, OVERLAP, FITTED = 256, 32, 80
 HIDDEN, EMBED = 12, 10
+#: Windows that are decoded together: their states stay in the cache, and the product below OpenBLAS's bound for small ones.
+BLOCK = 768
 MOST_DOCS = 1500
 MOST_SPANS = 8
 MOST_WINDOWS = 4000
@@ -51,7 +54,8 @@ EPOCHS = 12
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # a match never begins within a run of digits
+#: A match never begins within a run of digits; the first digit stands before what says so, as searches skip to it.
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -110,12 +114,13 @@ def _class_of(c: str) -> int:
     return 30 + _SIGNS.index(c) if c in _SIGNS else 2 if c.isalpha() else 3
 
 
-_TABLE = np.array([_class_of(chr(c)) for c in range(0x250)], dtype=np.uint8)
+_TABLE = np.array([*(_class_of(chr(c)) for c in range(0x250)), 2], dtype=np.uint8)  # the last one is that of all others
 
 
 def char_classes(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(codes < 0x250, _TABLE[np.minimum(codes, 0x24F)], 2).astype(np.uint8)
+    if text.isascii():
+        return _TABLE[np.frombuffer(text.encode(), dtype=np.uint8)]
+    return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(_TABLE) - 1)]
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -139,6 +144,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _aligned(*shape: int) -> np.ndarray:
+    """Zeros that begin with a line of the cache, which arithmetic on whole vectors is faster on."""
+    size = 4 * int(np.prod(shape))
+    raw = np.zeros(size + 64, np.uint8)
+    at = -raw.ctypes.data % 64
+    return raw[at : at + size].view(np.float32).reshape(shape)
+
+
 class BiLstmCrf:
     """One LSTM layer each way, linear emissions, first-order CRF."""
 
@@ -183,74 +196,93 @@ class BiLstmCrf:
 
     def decode(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Viterbi tags (windows x characters) of padded class ids."""
-        rows, steps = x.shape
-        mask = np.arange(steps)[None, :] < n[:, None]
         e = self._emissions(x, n)
+        tags = np.zeros(x.shape, dtype=np.int8)
+        some = np.flatnonzero(self._spans_possible(e, n))
+        if len(some):
+            tags[some] = self._best_paths(np.ascontiguousarray(e[:, :, some]), n[some])
+        return tags
+
+    def _spans_possible(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether a path with a span may score as high as the one without: an upper bound, never False if there is one.
+
+        All kinds are taken as one tag, with the best emission and the best transitions of any.  ``ahead`` is by how much
+        the best path that is within a span leads the path without any.
+        """
+        trans, start = self.p["trans"] - self.p["trans"][0, 0], self.p["start"] - self.p["start"][0]
+        enter, stay, leave = float(trans[0, 1:].max()), float(trans[1:, 1:].max()), float(trans[1:, 0].max())
+        lead = e[:, 1:].max(1) - e[:, 0]
+        lead[np.arange(len(e))[:, None] >= n] = -1e9
+        ahead = lead[0] + start[1:].max()
+        most = ahead.copy()
+        for now in lead[1:]:
+            ahead += stay
+            np.maximum(ahead, enter, out=ahead)
+            ahead += now
+            np.maximum(most, ahead, out=most)
+        return most + max(leave, 0.0) > -0.01  # far above what rounding does
+
+    def _best_paths(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+        steps, _, rows = e.shape
+        mask = np.arange(steps)[:, None] < n
+        whole = mask.all(1)
         trans = self.p["trans"]
         scores = np.empty((steps, TAGS, rows), np.float32)
         scores[0] = e[0] + self.p["start"][:, None]
-        outside = scores[0, 0].copy()  # of the path without any span, summed up in the same way
         for t in range(1, steps):
-            before, m = scores[t - 1], mask[:, t]
-            best = before[0] + trans[0][:, None]
-            for i in range(1, TAGS):
-                np.maximum(best, before[i] + trans[i][:, None], out=best)
+            before = scores[t - 1]
+            best = (before[:, None] + trans[:, :, None]).max(0)
             best += e[t]
-            straight = outside + trans[0, 0] + e[t, 0]
-            if m.all():
-                scores[t], outside = best, straight
-            else:
-                scores[t], outside = np.where(m, best, before), np.where(m, straight, outside)
-        tags = np.zeros(x.shape, dtype=np.int8)
-        some = np.flatnonzero(scores[-1].max(0) != outside)  # the others have no span
-        now = scores[-1][:, some].argmax(0)
+            scores[t] = best if whole[t] else np.where(mask[t], best, before)
+        tags = np.zeros((rows, steps), dtype=np.int8)
+        now = scores[-1].argmax(0)
         for t in range(steps - 1, -1, -1):
-            tags[some, t] = np.where(mask[some, t], now, 0)
+            tags[:, t] = now
             if t:
-                now = np.where(mask[some, t], (scores[t - 1][:, some] + trans[:, now]).argmax(0), now)
-        return tags
+                last = (scores[t - 1] + trans[:, now]).argmax(0)
+                now = last if whole[t] else np.where(mask[t], last, now)
+        return np.where(mask.T, tags, 0).astype(np.int8)
 
     def _emissions(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Emissions (characters x tags x windows) without what training needs.
 
-        The backward pass reads each window from its own end, so that no state has to be masked.
+        The backward pass reads each window from its own end, so that no state has to be masked.  Windows are the last
+        axis throughout: one product gives all gates, and each gate is a block of memory.
         """
         rows, steps = x.shape
         at = np.arange(steps)[None, :]
-        turned = np.where(at < n[:, None], n[:, None] - 1 - at, at)  # its own inverse
-        out = np.empty((steps, TAGS, rows), np.float32)
+        even = bool((n == steps).all())
+        turned = None if even else np.where(at < n[:, None], n[:, None] - 1 - at, at)  # its own inverse
+        # a sigmoid is (1 + tanh of half the argument) / 2, and h is kept twice as large
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), HIDDEN)[:, None]
+        embed = np.ascontiguousarray(self.p["embed"].T)
         parts = []
         for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            # gates apart from each other; a sigmoid is (1 + tanh of half the argument) / 2, and h is kept twice as large
-            half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
-            gates = lambda w: np.ascontiguousarray(w.reshape(-1, 4, HIDDEN).transpose(1, 0, 2))
-            inputs, wh = gates(self.p["embed"] @ self.p[d + "x"] + self.p[d + "b"]) * half, gates(self.p[d + "h"]) * half / 2
-            own = self.p["out"][part] / 2
-            ids = np.ascontiguousarray((x if d == "f" else np.take_along_axis(x, turned, 1)).T).astype(np.intp)
-            h, c, p, q = (np.zeros((rows, HIDDEN), np.float32) for _ in range(4))
-            g, seen = np.empty((4, rows, HIDDEN), np.float32), np.empty((steps, rows, TAGS), np.float32)
-            more = np.empty_like(g)
+            weights = np.concatenate([self.p[d + "h"].T / 2, self.p[d + "x"].T, self.p[d + "b"][:, None]], axis=1) * half
+            own = np.ascontiguousarray(self.p["out"][part].T / 2)
+            read = x if d == "f" else x[:, ::-1] if turned is None else np.take_along_axis(x, turned, 1)
+            ids = np.ascontiguousarray(read.T).astype(np.intp)
+            state, g, c, p = (_aligned(k, rows) for k in (HIDDEN + EMBED + 1, 4 * HIDDEN, HIDDEN, HIDDEN))
+            h, char, seen = state[:HIDDEN], state[HIDDEN:-1], np.empty((steps, TAGS, rows), np.float32)
+            state[-1] = 1  # for the bias
+            (i, f, o, u), sigmoids = g.reshape(4, HIDDEN, rows), g[: 3 * HIDDEN]
             for t in range(steps):
-                np.matmul(h, wh, out=g)
-                np.take(inputs, ids[t], axis=1, out=more, mode="clip")
-                g += more
-                i, f, o, u = np.tanh(g, out=g)
-                np.multiply(f, c, out=p)
-                p += c
-                np.multiply(i, u, out=q)
-                q += u
-                np.add(p, q, out=c)
+                embed.take(ids[t], axis=1, out=char, mode="clip")
+                np.matmul(weights, state, out=g)
+                np.tanh(g, out=g)
+                sigmoids += 1
+                c *= f
+                np.multiply(i, u, out=p)
+                c += p
                 c *= 0.5
                 np.tanh(c, out=p)
                 np.multiply(o, p, out=h)
-                h += p
-                np.matmul(h, own, out=seen[t])
+                np.matmul(own, h, out=seen[t])
             parts.append(seen)
-        back = parts[1] if (n == steps).all() else None
-        for t in range(steps):
-            b = back[steps - 1 - t] if back is not None else parts[1][turned[:, t], np.arange(rows)]
-            out[t] = (parts[0][t] + b).T
-        return out + self.p["bias"][:, None]
+        out, back = parts
+        out += back[::-1] if turned is None else back[turned.T, :, np.arange(rows)].transpose(0, 2, 1)
+        out += self.p["bias"][:, None]
+        return out
 
     def loss_and_grad(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags ``y`` and its gradient."""
@@ -464,7 +496,7 @@ def train(texts: list[str], epochs: int = EPOCHS) -> BiLstmCrf | None:
     return model
 
 
-def added_spans(model: BiLstmCrf | None, texts: list[str], base: list[list[tuple[int, int, int]]], block: int = 1024) -> list[list[tuple[int, int, int]]]:
+def added_spans(model: BiLstmCrf | None, texts: list[str], base: list[list[tuple[int, int, int]]], block: int = BLOCK) -> list[list[tuple[int, int, int]]]:
     """Spans of the network in each text that overlap no base span."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if model is None:

@@ -90,6 +90,69 @@ def test_decoding_equals_the_plain_way():
     assert len(np.unique(got)) > 2
 
 
+def test_windows_without_a_path_to_trace_have_no_span():
+    """The bound that spares windows the search for their best path never leaves out one with a span."""
+    rng = np.random.default_rng(4)
+    spared = traced = 0
+    for lean in (-2, 0, 2, 4, 6):
+        m = pii.BiLstmCrf(int(rng.integers(99)))
+        for k in m.p:
+            m.p[k] = (m.p[k] + 0.7 * rng.standard_normal(m.p[k].shape)).astype(np.float32)
+        m.p["bias"][0] += lean
+        n = np.sort(rng.integers(1, 60, 300))
+        x = np.where(np.arange(n[-1])[None] < n[:, None], rng.integers(1, pii._CLASSES, (300, n[-1])), 0).astype(np.uint8)
+        e = m._emissions(x, n)
+        every = m._best_paths(e, n)
+        assert (m.decode(x, n) == every).all()
+        possible = m._spans_possible(e, n)
+        assert not every[~possible].any()
+        spared, traced = spared + int((~possible).sum()), traced + int(every.any(1).sum())
+    assert spared > 100 and traced > 100
+
+
+def test_decoding_takes_little_more_than_its_products():
+    """CPU time of windows without data, against that of the products and tanh that no way of reading them can leave out."""
+    import time
+
+    rng = np.random.default_rng(6)
+    m = pii.BiLstmCrf()
+    m.p["bias"][0] = 6
+    x, n = rng.integers(1, pii._CLASSES, (768, 128)).astype(np.uint8), np.full(768, 128)
+    w, state, g = (rng.standard_normal(s).astype(np.float32) for s in ((48, 22), (22, 768), (60, 768)))
+
+    def least():
+        for _ in range(2 * 128):  # both directions
+            np.matmul(w, state, out=g[:48])
+            np.tanh(g, out=g)
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    runs = [(seconds(lambda: m.decode(x, n)), seconds(least)) for _ in range(7)]
+    assert not m.decode(x, n).any()
+    took, bare = (min(r) for r in zip(*runs, strict=True))
+    assert took < 2.7 * bare, (took, bare)
+
+
+def test_searches_skip_to_digits():
+    """CPU time of the IP pattern on text without digits, against a search for a digit; and what it finds after runs of them."""
+    import time
+
+    text, digit = "some words, and no number at all " * 30_000, re.compile("[0-9]")
+
+    def seconds(pattern):
+        began = time.process_time()
+        assert not pattern.search(text)
+        return time.process_time() - began
+
+    took, bare = (min(r) for r in zip(*[(seconds(pii._IP), seconds(digit)) for _ in range(7)], strict=True))
+    assert took < 2 * bare, (took, bare)
+    for found in ("11.2.3.4", "x1.2.3.45.6.7.8", "1.2.3.4.5.6.7.8.9", "12345.1.1.1", "1.1.1.1 2.2.2.2", "..1.2.3.4", "1.2.3.4"):
+        assert [m.span() for m in pii._IP.finditer(found)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", found)]
+
+
 @pytest.fixture(scope="module")
 def learned(spark, sf):
     docs = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet").where("doc_id % 2 = 0")
