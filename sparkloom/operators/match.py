@@ -5,6 +5,10 @@ conditions of the following WHERE, then the first) and grows hop by hop.  A hop
 labels are needed, with its node tables.  Edges that are a foreign key of the nodes at one end cost no join of their
 own: from the owner's side the far id is computed, towards the owner's side its nodes are joined on the key.
 Edge tables that cannot connect the labels in question are left out when the plan is built.
+
+Where only aggregates over the matches follow, rows that differ in nothing that is still read are gathered into one with
+their number (``Rows.weight``) before a product or a hop that multiplies them: two branches that meet in few nodes cost
+their sum, not their product.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import CypherTypeError
 from ..functions import values as V
 from ..functions.expressions import Compiler
 from ..plans import ast as A
+from ..plans.usage import Uses
 from ..sources.catalog import Catalog, EdgeTable, NodeTable, merged
 from ..sources.scratch import has_rows, written
 from .rows import Edge, Node, Rows, Scalar, col, new_slot
@@ -36,6 +42,8 @@ class Matcher:
     endpoints_only: bool = False
     #: Conditions on one node each, by its variable: variable-length patterns apply them before they grow.
     where: dict[str, list] = field(default_factory=dict)
+    #: What is read after this pattern, if beyond that only the number of matches counts.
+    uses: Uses | None = None
 
     # ----------------------------------------------------------------- scans
 
@@ -86,21 +94,24 @@ class Matcher:
     # ----------------------------------------------------------------- patterns
 
     def match(self, rows: Rows, paths: tuple) -> Rows:
-        for path in paths:
-            rows = self.path(rows, path)
+        rows = replace(rows, held=rows.held if rows.weight else tuple(dict.fromkeys((*rows.held, *rows.scope))))
+        for i, path in enumerate(paths):
+            rows = self.path(rows, path, {n.var for p in paths[i + 1 :] for n in p.nodes if n.var})
         return replace(rows, sortable={}, order=(), output=None)
 
-    def path(self, rows: Rows, path: A.Path) -> Rows:
+    def path(self, rows: Rows, path: A.Path, later: set[str] = frozenset()) -> Rows:
+        """``later`` are nodes of paths that follow."""
         # anonymous parts get names of their own
         nodes = [replace(n, var=n.var or new_slot("?")) for n in path.nodes]
         where = self.where if any(e.hops for e in path.edges) else {}
         start = min(range(len(nodes)), key=lambda i: (nodes[i].var not in rows.scope, not nodes[i].props and nodes[i].var not in where, i))
-        rows = self.filtered(self.node(rows, nodes[start], alone=not path.edges), where.get(nodes[start].var, ()))
+        names = [n.var for n in nodes]
+        rows = self.filtered(self.node(rows, nodes[start], later | (set(names) if path.edges else set())), where.get(nodes[start].var, ()))
         for i in range(start, len(path.edges)):
-            rows = self.hop(rows, nodes[i], path.edges[i], nodes[i + 1], path.edges[i].direction)
+            rows = self.hop(rows, nodes[i], path.edges[i], nodes[i + 1], path.edges[i].direction, later | {*names[i:], *(names[: start + 1] if start else ())})
             rows = self.filtered(rows, where.get(nodes[i + 1].var, ()))
         for i in range(start - 1, -1, -1):
-            rows = self.hop(rows, nodes[i + 1], path.edges[i], nodes[i], _FLIP[path.edges[i].direction])
+            rows = self.hop(rows, nodes[i + 1], path.edges[i], nodes[i], _FLIP[path.edges[i].direction], later | set(names[: i + 2]))
             rows = self.filtered(rows, where.get(nodes[i].var, ()))
         return replace(rows, scope={k: v for k, v in rows.scope.items() if not k.startswith("?")})
 
@@ -111,7 +122,55 @@ class Matcher:
                 df = df.where(c)
         return rows.with_df(df) if conditions else rows
 
-    def node(self, rows: Rows, n: A.NodePattern, alone: bool) -> Rows:
+    def gathered(self, rows: Rows, nodes: set[str], near: str | None = None) -> Rows:
+        """Rows that differ in nothing that is read later become one with their number, if that spares the next step work.
+
+        ``nodes`` are those that patterns come back to.  It does if rows are told apart by nodes that the ``near`` one
+        of the next hop does not fix, and all nodes that must be kept as such are fixed by it.
+        """
+        if self.uses is None or rows.df is None or rows.virtual or rows.known:
+            return rows
+        kept = {v for v in rows.scope if v in nodes or v in self.uses.later or v in self.uses.whole}
+        fixed = {near} if near else set()
+        while more := {b for a, b in rows.fixed if a in fixed} - fixed:
+            fixed |= more
+        values = {v for v in kept if isinstance(rows.scope[v], Scalar)}
+        if not kept - values <= fixed or set(rows.held) <= fixed | values:
+            return rows
+        keys, carried, scope = {}, {}, {}
+        for name, b in rows.scope.items():
+            if isinstance(b, Scalar):
+                if name in kept:
+                    keys[b.name], scope[name] = None, b
+                continue
+            read = {f"{b.slot}_{p}" for p in self.uses.props.get(name, ())}
+            if name not in kept:  # only its properties are read
+                props = {p: kind for p, kind in (b.props or {}).items() if f"{b.slot}_{p}" in read}
+                scope[name] = replace(b, props=props, has_vector=False, key=None) if isinstance(b, Node) else replace(b, props=props)
+                keys |= dict.fromkeys(f"{b.slot}_{p}" for p in props)
+                continue
+            if name not in self.uses.whole:
+                read |= {b.identity, f"{b.slot}__labels"} | {f"{b.slot}_{t.key.prop}" for t in self.catalog.edges if t.key}
+            scope[name] = b
+            for c in b.columns:
+                (keys if name in self.uses.whole or c in read else carried)[c] = None
+        if any(_holds_map(f.dataType) for f in rows.df.schema.fields if f.name in keys):
+            return rows  # maps cannot be compared
+        weight = new_slot("w")
+        number = F.coalesce(F.sum(col(rows.weight)), F.lit(0).cast("bigint")) if rows.weight else F.count(F.lit(1))
+        df = rows.df.groupBy(*map(col, keys)).agg(number.alias(weight), *[F.any_value(col(c)).alias(c) for c in carried])
+        df = df if keys else df.where(col(weight) > 0)
+        return replace(rows, df=df, scope=scope, weight=weight, held=tuple(v for v in scope if v in kept - values))
+
+    @staticmethod
+    def product(a: Rows, b: Rows) -> Rows:
+        df, weight = a.df.crossJoin(b.df), a.weight or b.weight
+        if a.weight and b.weight:
+            weight = new_slot("w")
+            df = df.withColumn(weight, col(a.weight) * col(b.weight)).drop(a.weight, b.weight)
+        return replace(a, df=df, scope={**a.scope, **b.scope}, weight=weight, held=(*a.held, *b.held), sortable={}, order=(), output=None)
+
+    def node(self, rows: Rows, n: A.NodePattern, nodes: set[str]) -> Rows:
         if n.var == rows.virtual:
             return rows
         if n.var in rows.scope:
@@ -124,17 +183,28 @@ class Matcher:
         df, node = self.scan(n.var, n.labels, n.props)
         scope = {**rows.scope, n.var: node}
         if rows.df is None:
-            return Rows(self.keep(df, node, n.props, scope), scope)
-        return Rows(self.keep(rows.df.crossJoin(df), node, n.props, scope), scope)
-
-    def hop(self, rows: Rows, near: A.NodePattern, e: A.EdgePattern, far: A.NodePattern, direction: str) -> Rows:
+            return Rows(self.keep(df, node, n.props, scope), scope, held=(n.var,))
+        free = not _uses(n.props)
+        new = Rows(self.keep(df, node, n.props, scope) if free else df, {n.var: node}, held=(n.var,))
+        rows = self.product(rows, new)
+        return rows if free else rows.with_df(self.keep(rows.df, rows.scope[n.var], n.props, rows.scope))
+
+    def hop(self, rows: Rows, near: A.NodePattern, e: A.EdgePattern, far: A.NodePattern, direction: str, nodes: set[str]) -> Rows:
+        """``nodes`` are those that patterns come back to, the near one among them."""
         if e.hops:
-            return self.many_hops(rows, near, e, far, direction)
+            rows = self.many_hops(self.gathered(rows, nodes, near.var), near, e, far, direction)
+            return replace(rows, held=(*rows.held, far.var))
         if e.var and e.var in rows.scope:
             raise CypherTypeError(f"`{e.var}` is bound already")
         a: Node = rows.scope[near.var]
         bound = rows.scope.get(far.var)
         tables = [(t, d) for d in (("out", "in") if direction == "both" else (direction,)) for t in self.catalog.edge_tables(e.types) if self._fits(t, d, a.tables, bound.tables if bound else None, far.labels)]
+        fixed = ()
+        if len(tables) == 1 and tables[0][0].key:
+            fixed = ((near.var, far.var) if self._owns(*tables[0]) else (far.var, near.var),)
+        if fixed != ((near.var, far.var),):
+            rows = self.gathered(rows, nodes, near.var)
+        rows = replace(rows, held=(*rows.held, far.var), fixed=rows.fixed + fixed)
         if len(tables) == 1 and not e.props and (step := self._by_key(rows, a, e, far, bound, *tables[0])):
             return step
         slot = new_slot("e")
@@ -150,6 +220,11 @@ class Matcher:
         labels = {t.dst_label if d == "out" else t.src_label for t, d in tables}
         return self.arrive(rows, far, col(f"{slot}__far"), None if None in labels else labels, far_key)
 
+    @staticmethod
+    def _owns(t: EdgeTable, direction: str) -> bool:
+        """Whether the near end's nodes hold the foreign key: each has one edge at most."""
+        return t.key.owner == ("src" if direction == "out" else "dst")
+
     @staticmethod
     def _edge_key(tables: list[tuple[EdgeTable, str]], edge: Edge, end: str) -> str | None:
         """The edges' column that holds the key of the nodes at an end, if all tables agree on one."""
@@ -163,7 +238,7 @@ class Matcher:
         found = found.withColumn(f"{a.slot}__id", near_id)
         if near_key and a.key:
             found = found.withColumn(f"{a.slot}_{a.key}", col(near_key))
-        return Rows(found, scope, virtual=None)
+        return Rows(found, scope, virtual=None, held=rows.held, fixed=rows.fixed)
 
     def _fits(self, t: EdgeTable, direction: str, near: tuple, far: tuple | None, labels: tuple[str, ...]) -> bool:
         """Whether an edge table can connect nodes of the label sets in question."""
@@ -398,6 +473,15 @@ class Matcher:
         return False
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    match kind:
+        case T.ArrayType():
+            return _holds_map(kind.elementType)
+        case T.StructType():
+            return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _names(props: tuple) -> set[str]:
     from ..functions.expressions import variables_in
 

@@ -129,7 +129,7 @@ def _aggregate(rows: Rows, items: tuple, names: list[str], params: dict[str, Any
     aggs = []
     for call in calls:
         slot = new_slot("a")
-        v = aggregate(call, compiler, rows.order)
+        v = aggregate(call, compiler, rows.order, rows.weight, set(df.columns))
         aggs.append(v.col.alias(slot))
         known[call] = shaped(col(slot), v)
     unique = {str(k): k for k in keys}
@@ -147,8 +147,14 @@ def _aggregate(rows: Rows, items: tuple, names: list[str], params: dict[str, Any
     return Rows(df, scope, {**known, **{i.expr: scope[n].value() for i, n in zip(items, names, strict=True)}})
 
 
-def aggregate(call: A.Call, compiler: Compiler, order: tuple) -> Value:
+def aggregate(call: A.Call, compiler: Compiler, order: tuple, weight: str | None = None, present: set[str] | None = None) -> Value:
+    """The value over a group's rows; with a ``weight`` each row counts that often, and nodes of which only their number is asked are not among the columns ``present``."""
     name = call.name
+    if weight and not call.distinct and name == "count":
+        v = Value(F.lit(1), "int") if call.star else compiler(call.args[0])
+        c = col(v.entity.identity) if v.entity else v.col
+        here = col(weight) if v.entity and v.entity.identity not in present else F.when(c.isNotNull(), col(weight))
+        return Value(F.coalesce(F.sum(here), F.lit(0).cast("bigint")), "int")
     if call.star:
         if name != "count":
             raise CypherTypeError(f"{name}(*) is not an aggregate")
@@ -169,7 +175,9 @@ def aggregate(call: A.Call, compiler: Compiler, order: tuple) -> Value:
         case "sum":
             if v.type not in V.NUMBERS:
                 return Value(F.coalesce(F.max(F.lit(0).cast("bigint")), F.lit(0).cast("bigint")), "int")
-            return Value(F.coalesce(F.sum(c), F.lit(0).cast("bigint" if v.type == "int" else "double")), v.type)
+            return Value(F.coalesce(F.sum(c * col(weight) if weight else c), F.lit(0).cast("bigint" if v.type == "int" else "double")), v.type)
+        case "avg" if weight and v.type in V.NUMBERS:
+            return Value(F.sum(c.cast("double") * col(weight)) / F.sum(F.when(c.isNotNull(), col(weight))), "float")
         case "avg":
             return Value(F.avg(c.cast("double")) if v.type in V.NUMBERS else F.max(F.lit(None).cast("double")), "float")
         case "min" | "max":

@@ -160,6 +160,11 @@ class Rows:
     order: tuple[tuple[str, bool], ...] = ()
     #: The node whose ids the first hop brings along, if the rows are no table yet.
     virtual: str | None = None
+    #: The column that says how many equal rows a row stands for, once a pattern has gathered them.
+    weight: str | None = None
+    #: Pattern variables whose nodes still tell rows apart, and pairs of which the first fixes the second (an owner of a foreign key and its other end).
+    held: tuple[str, ...] = ()
+    fixed: tuple[tuple[str, str], ...] = ()
     #: Output of a RETURN: (name, column or binding).
     output: tuple | None = None
 

@@ -16,7 +16,7 @@ from ..operators.project import project, result, sort
 from ..operators.rows import Rows, Scalar, col, new_slot, shaped
 from ..sources.catalog import Catalog
 from . import ast as A
-from .usage import absent_variable, conditions_on_nodes, needed_in_full, only_endpoints_matter, repeated_kernels
+from .usage import absent_variable, conditions_on_nodes, counted_uses, needed_in_full, only_endpoints_matter, repeated_kernels
 
 
 def execute(statement: A.Statement, catalog: Catalog, params: dict[str, Any]) -> tuple[Catalog, DataFrame | None]:
@@ -28,7 +28,7 @@ def execute(statement: A.Statement, catalog: Catalog, params: dict[str, Any]) ->
     for i, clause in enumerate(clauses):
         match clause:
             case A.Match(paths, optional):
-                matcher = Matcher(catalog, params, full, only_endpoints_matter(clauses, i), {} if optional else conditions_on_nodes(clauses, i))
+                matcher = Matcher(catalog, params, full, only_endpoints_matter(clauses, i), {} if optional else conditions_on_nodes(clauses, i), None if optional else counted_uses(clauses, i))
                 absent = absent_variable(clauses, i) if optional and rows.df is not None else None
                 if absent and absent[0] not in rows.scope and any(absent[0] == n.var for p in paths for n in p.nodes):
                     rows, skip_to = matcher.absent(rows, paths), absent[1]
