@@ -186,7 +186,7 @@ class Matcher:
             return Rows(self.keep(df, node, n.props, scope), scope, held=(n.var,))
         free = not _uses(n.props)
         new = Rows(self.keep(df, node, n.props, scope) if free else df, {n.var: node}, held=(n.var,))
-        rows = self.product(rows, new)
+        rows = self.product(self.gathered(rows, nodes), self.gathered(new, nodes))
         return rows if free else rows.with_df(self.keep(rows.df, rows.scope[n.var], n.props, rows.scope))
 
     def hop(self, rows: Rows, near: A.NodePattern, e: A.EdgePattern, far: A.NodePattern, direction: str, nodes: set[str]) -> Rows:

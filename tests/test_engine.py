@@ -389,7 +389,7 @@ def test_branches_that_meet_are_counted_before_they_join(spark, g):
     for label in ("S", "C"):
         g.cypher(f"UNWIND $v AS v CREATE (:{label} {{v: v, k: 1}})", {"v": list(range(300))})
         g.cypher(f"MATCH (s:{label}), (n:N) CREATE (s)-[:IN]->(n)")
-    for text in ("MATCH (s:S)-[:IN]->(n:N) MATCH (c:C)-[:IN]->(n) RETURN n.name AS n, count(*) AS c", "MATCH (s:S)-[:IN]->(n:N)<-[:IN]-(c:C) RETURN n.name AS n, count(s) AS c"):
+    for text in ("MATCH (s:S)-[:IN]->(n:N) MATCH (c:C)-[:IN]->(n) RETURN n.name AS n, count(*) AS c", "MATCH (s:S)-[:IN]->(n:N)<-[:IN]-(c:C) RETURN n.name AS n, count(s) AS c", "MATCH (s:S), (c:C) WHERE s.k = c.k RETURN 'x' AS n, count(*) AS c"):
         df = g.cypher(text)
         assert rows(df) == [("x", 90_000)]
         assert most_joined(df) <= 600, text
