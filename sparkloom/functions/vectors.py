@@ -49,8 +49,8 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n == 0, _double(v)).otherwise(F.transform(_double(v), lambda x: x / n))
+    unit = lambda n: F.when(n == 0, _double(v)).otherwise(F.transform(_double(v), lambda x: x / n))
+    return F.get(F.transform(F.array(norm(v)), unit), 0)  # within a lambda the norm would be computed for each component
 
 
 def is_valid(v: Column) -> Column:

@@ -24,6 +24,10 @@ from ..sources.scratch import has_rows, written
 SAMPLE = 20_000
 MOST_CELLS = 4096
 STEPS = 8
+#: Blocks that vectors are dealt into where many queries are asked, and vectors or queries that one holds: more blocks only for very large tables.
+BLOCKS, MOST_IN_BLOCK = 12, 100_000
+#: Digits of a score that count in a search for many queries.
+DIGITS = 12
 #: Recall that the share of probed cells is fitted for, on ``ASKED`` rows of the sample and their ``NEAREST`` nearest in it.
 TARGET_RECALL, ASKED, NEAREST = 0.95, 500, 10
 
@@ -55,6 +59,29 @@ def _probes_for(x: np.ndarray, centres: np.ndarray) -> int:
     return int(np.quantile(np.take_along_axis(place, own[near], 1), TARGET_RECALL, method="higher")) + 1
 
 
+def taker(k: int, digits: int | None):
+    """A function for workers: the k best of each row of a matrix of scores, as (row, column, score) arrays.
+
+    The columns' ids ascend, so that of equal scores the first has the smallest; a row's own id is left out.
+    """
+
+    def take(score: np.ndarray, own: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if digits is not None:
+            score = np.rint(score * 10.0**digits) / 10.0**digits
+        first, last = (np.searchsorted(ids, own, side=s) for s in ("left", "right"))
+        for i in np.flatnonzero(last > first):
+            score[i, first[i] : last[i]] = -np.inf
+        rows = np.arange(len(own))
+        for _ in range(min(k, len(ids))):
+            top = score.argmax(1)
+            value = score[rows, top]
+            there = value > -np.inf
+            yield rows[there], top[there], value[there]
+            score[rows, top] = -np.inf
+
+    return take
+
+
 class VectorIndex:
     """``build`` it over (id, vec), then ``search`` for one vector or ``search_each`` for many."""
 
@@ -69,7 +96,7 @@ class VectorIndex:
         if top is None:
             return None
         kept = kept.where(F.size("vec") == top["n"])
-        unit = kept.select("id", vectors.normalized(F.col("vec")).alias("unit")).where("unit is not null")
+        unit = kept.select("id", vectors.normalized(F.col("vec")).alias("unit"))
         share = min(1.0, 2 * sample / top["count"])  # few rows go to the driver, however many there are
         some = unit.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(sample).select("unit").collect()
         x = np.array([r[0] for r in some], dtype=np.float64)
@@ -99,22 +126,101 @@ class VectorIndex:
         found = best(self.items.where(F.col("cell").isin([int(c) for c in near])))
         return found if len(near) == len(self.centres) or found.count() == k else best(self.items)
 
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each cell the first of its blocks and their number: small cells in turn share one, a large one has several."""
+        sizes = np.zeros(len(self.centres), dtype=np.int64)
+        for cell, count in self.items.groupBy("cell").count().collect():  # at most MOST_CELLS rows
+            sizes[cell] = count
+        most = min(MOST_IN_BLOCK, max(1, -(-int(sizes.sum()) // BLOCKS)))
+        first, parts = np.zeros(len(sizes), dtype=np.int32), np.maximum(1, -(-sizes // most)).astype(np.int32)
+        block = held = 0
+        for cell, size in enumerate(sizes):
+            if held and held + size > most:
+                block, held = block + 1, 0
+            first[cell] = block
+            block, held = (block, held + size) if parts[cell] == 1 else (block + parts[cell], 0)
+        return first, parts
+
     def search_each(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """``q, id, score, rk`` for each of ``queries`` (q, vec), the query's own id left out."""
-        asked = queries.where(vectors.is_valid(F.col("vec"))).select("q", vectors.normalized(F.col("vec").cast("array<double>")).alias("qunit"))
+        """``q, id, score, rk`` for each of ``queries`` (q, vec), the query's own id left out.
+
+        A query is sent once to each block of cells in which it probes some, and a block's cells are compared with the
+        queries that probe them in matrix products that keep k rows of each query: what is shuffled does not grow with
+        the number of probes.  Scores count to ``DIGITS`` digits, so that equal vectors tie.
+        """
+        spark, kind = queries.sparkSession, self.items.schema["id"].dataType.simpleString()
+        asked = queries.where(vectors.is_valid(F.col("vec")) & F.col("q").isNotNull()).select(F.col("q").cast(kind).alias("q"), vectors.normalized(F.col("vec").cast("array<double>")).alias("qunit"))
         asked = asked.where(F.size("qunit") == self.centres.shape[1])
-        n, kind = min(probes or self.probes, len(self.centres)), queries.schema["q"].dataType.simpleString()
-        sent = queries.sparkSession.sparkContext.broadcast(self.centres)
+        n = min(probes or self.probes, len(self.centres))
+        first, parts = self.blocks()
+        sent = spark.sparkContext.broadcast((self.centres, first, parts))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, first, parts = sent.value
             for batch in batches:
-                v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                near = np.argsort(-(v @ sent.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)
-                cells = pa.ListArray.from_arrays(np.arange(0, near.size + 1, n, dtype=np.int32), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=["q", "qunit", "cells"])
-
-        probed = asked.mapInArrow(probe, f"q {kind}, qunit array<double>, cells array<int>").select("q", "qunit", F.explode("cells").alias("cell"))
-        top = self._ranked(self.items.join(probed, "cell"), k)
+                for at in range(0, batch.num_rows, 1024):
+                    some = batch.slice(at, 1024)
+                    v = np.asarray(some.column(1).flatten(), dtype=np.float64).reshape(some.num_rows, -1)
+                    cell = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32).ravel()
+                    row = np.repeat(np.arange(some.num_rows), n)
+                    times = parts[cell]
+                    row, cell, turn = np.repeat(row, times), np.repeat(cell, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    block = first[cell] + turn
+                    order = np.lexsort((cell, block, row))
+                    row, cell, block = row[order], cell[order], block[order]
+                    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
+                    cells = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+                    mine = some.take(pa.array(row[starts]))
+                    yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(block[starts].astype(np.int32)), cells], names=["q", "qunit", "block", "cells"])
+
+        take = taker(k, DIGITS)
+
+        def best(known: pa.Table, asked: pa.Table) -> pa.Table:
+            matrix = lambda c: np.asarray(c.combine_chunks().flatten(), dtype=np.float64).reshape(len(c), -1)
+            ids, qids = known.column("id").to_numpy(), asked.column("q").to_numpy()
+            found = []
+            if len(ids) and len(qids):
+                units, qunits = matrix(known.column("unit")), matrix(asked.column("qunit"))
+                by_id = np.argsort(ids, kind="stable")
+                by_cell = by_id[np.argsort(known.column("cell").to_numpy()[by_id], kind="stable")]
+                there, starts = np.unique(known.column("cell").to_numpy()[by_cell], return_index=True)
+                lists = asked.column("cells").combine_chunks()
+                lengths = np.asarray(lists.value_lengths(), dtype=np.int64)
+                row, cell = np.repeat(np.arange(len(qids)), lengths), np.asarray(lists.flatten())
+                place = np.empty(len(ids), dtype=np.int64)
+                place[by_id] = np.arange(len(ids))
+                for at in range(0, len(qids), 4096):
+                    here = (row >= at) & (row < at + 4096)
+                    mine, of = row[here], cell[here]
+                    order = np.argsort(of, kind="stable")
+                    mine, of = mine[order], of[order]
+                    met = []
+                    for i, c in enumerate(there):
+                        items = by_cell[starts[i] : starts[i + 1] if i + 1 < len(starts) else None]
+                        probing = mine[np.searchsorted(of, c, side="left") : np.searchsorted(of, c, side="right")]
+                        step = max(1, 4_000_000 // len(items))
+                        for b in range(0, len(probing), step):
+                            some = probing[b : b + step]
+                            for a, b_, value in take(qunits[some] @ units[items].T, qids[some], ids[items]):
+                                met.append((some[a], items[b_], value))
+                    if met:
+                        q, item, value = (np.concatenate(c) for c in zip(*met, strict=True))
+                        order = np.lexsort((place[item], -value, q))
+                        q, item, value = q[order], item[order], value[order]
+                        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+                        found.append((qids[q[rank < k]], ids[item[rank < k]], value[rank < k]))
+            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [qids[:0], ids[:0], np.zeros(0)]
+            return pa.table({"q": pa.array(cols[0], asked.schema.field("q").type), "id": pa.array(cols[1], known.schema.field("id").type), "score": cols[2]})
+
+        probed = asked.mapInArrow(probe, f"q {kind}, qunit array<double>, block int, cells array<int>")
+        # a block meets so many queries at a time that they fit in memory
+        turns = max(1, -(-asked.count() // MOST_IN_BLOCK))
+        turn = F.pmod(F.xxhash64("q"), F.lit(turns)).cast("int")
+        places = F.broadcast(spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(len(first))], "cell int, first int, parts int"))
+        known = self.items.where("id is not null").join(places, "cell").select("id", "unit", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+        met = known.groupBy("block", "turn").cogroup(probed.withColumn("turn", turn).groupBy("block", "turn")).applyInArrow(best, f"q {kind}, id {kind}, score double")
+        rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
+        top = written(met.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k), "nearest")
         short = asked.join(top.groupBy("q").count().where(F.col("count") >= k), "q", "left_anti")
         if not has_rows(short):
             return top
@@ -122,9 +228,3 @@ class VectorIndex:
 
         exact = nearest_to_each(self.items.select("id", F.col("unit").alias("vec")), short.select("q", F.col("qunit").alias("vec")), k)
         return top.join(short.select("q"), "q", "left_anti").unionByName(exact)
-
-    @staticmethod
-    def _ranked(met: DataFrame, k: int) -> DataFrame:
-        scored = met.where("q <> id").select("q", "id", vectors.dot(F.col("unit"), F.col("qunit")).alias("score"))
-        rank = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
-        return scored.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)

@@ -14,16 +14,14 @@ from ..functions import vectors
 from ..functions.expressions import Compiler, constant_norm
 from ..plans import ast as A
 from ..sources.catalog import Catalog, merged
-from .ivf import VectorIndex
+from .ivf import BLOCKS, MOST_IN_BLOCK, VectorIndex, taker
 from .match import Matcher
 from .rows import Rows, Scalar, new_slot
 
 #: Procedures by lower-case name.  Others may be added.
 PROCEDURES: dict[str, Callable[..., Rows]] = {}
-#: Query vectors that `nearest_to_each` sends to all tasks at a time.
-MOST_QUERIES = 1000
-#: Blocks that `nearest_of_all` deals vectors into: each vector is sent to twice as many tasks.  More only for very large tables.
-ALL_BLOCKS, MOST_IN_BLOCK = 12, 100_000
+#: Query vectors that `nearest_to_each` sends to all tasks, and pairs that it makes rows of.
+MOST_QUERIES, MOST_PAIRS = 1000, 1_000_000
 
 
 def call(catalog: Catalog, rows: Rows, clause: A.CallProcedure, params: dict[str, Any]) -> Rows:
@@ -98,10 +96,11 @@ PROCEDURES["vector.approximate"] = _approximate
 def nearest_to_each(vectors_df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int | None = None) -> DataFrame:
     """The k nearest of ``vectors_df`` (id, vec) for each of ``queries`` (q, vec), the query's own id left out: ``q, id, score, rk``.
 
-    Ties go to the smaller id.  Queries are sent to the vectors only up to ``MOST_QUERIES``; more go the way of
-    ``nearest_of_all``, so that what is sent never grows with the data.
+    Ties go to the smaller id.  Queries are sent to the vectors only up to ``MOST_QUERIES`` and ``MOST_PAIRS``; more go
+    the way of ``nearest_of_all``, so that neither what is sent nor what is sorted grows with the data.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+    count = queries.limit(MOST_QUERIES + 1).count()
+    if count > MOST_QUERIES or count * vectors_df.count() > MOST_PAIRS:
         return nearest_of_all(vectors_df, k, digits, queries, metric)
     asked = queries.select("q", F.col("vec").alias("qvec"))
     known = vectors_df.select("id", "vec")
@@ -123,7 +122,8 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def nearest_of_all(vectors_df: DataFrame, k: int, digits: int | None = 6, queries: DataFrame | None = None, metric: str = "cosine") -> DataFrame:
     """The k nearest of ``vectors_df`` (id, vec) for each of ``queries`` (q, vec), or of every vector, its own id left out: ``q, id, score, rk``.
 
-    Exact: each pair of blocks is one matrix product in a Python worker, which keeps the k best of each row.  Scores
+    Exact: each pair of a block of queries and one of vectors is one matrix product in a Python worker, which keeps the
+    k best of each row.  There are as many blocks of queries as must be, as each vector is sent to all of them.  Scores
     are rounded to ``digits`` before they are ranked and ties go to the smaller id, as in ``nearest_to_each``.  Vectors
     of different lengths do not meet; those that are null, empty or not finite are left out.
     """
@@ -136,6 +136,8 @@ def nearest_of_all(vectors_df: DataFrame, k: int, digits: int | None = 6, querie
             return 1 / (1 + np.sqrt(np.maximum(square, 0)))
         return a @ b.T
 
+    take = taker(k, digits)
+
     def best(part: pa.Table) -> pa.Table:
         ids, side = part.column("id").to_numpy(), part.column("side").to_numpy()
         rows = np.asarray(part.column("vec").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
@@ -144,32 +146,25 @@ def nearest_of_all(vectors_df: DataFrame, k: int, digits: int | None = 6, querie
         asked, known = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         known = known[np.argsort(ids[known], kind="stable")]  # of equal scores the first has the smallest id
         out = []
-        for at in range(0, len(asked), 512) if len(known) else []:
-            mine = asked[at : at + 512]
-            score = similarity(rows[mine], rows[known])
-            if digits is not None:
-                score = np.rint(score * 10.0**digits) / 10.0**digits
-            first, last = (np.searchsorted(ids[known], ids[mine], side=s) for s in ("left", "right"))
-            for i in np.flatnonzero(last > first):
-                score[i, first[i] : last[i]] = -np.inf
-            for _ in range(min(k, len(known))):
-                top = score.argmax(1)
-                value = score[np.arange(len(mine)), top]
-                there = value > -np.inf
-                out.append((ids[mine][there], ids[known[top]][there], value[there]))
-                score[np.arange(len(mine)), top] = -np.inf
+        step = max(1, 4_000_000 // max(1, len(known)))
+        for at in range(0, len(asked), step) if len(known) else []:
+            mine = asked[at : at + step]
+            for a, b, value in take(similarity(rows[mine], rows[known]), ids[mine], ids[known]):
+                out.append((ids[mine[a]], ids[known[b]], value))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [ids[:0], ids[:0], np.zeros(0)]
         kind = part.schema.field("id").type
         return pa.table({"q": pa.array(cols[0], kind), "id": pa.array(cols[1], kind), "score": cols[2]})
 
     if metric not in vectors.METRICS:
         raise CypherTypeError(f"metric {metric!r} is none of {', '.join(vectors.METRICS)}")
-    valid = lambda df, key: df.where(vectors.is_valid(F.col("vec"))).select(F.col(key).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    # single precision is sent as it is and computed with in double precision
+    single = all(df.schema["vec"].dataType.simpleString() == "array<float>" for df in (vectors_df, queries) if df is not None)
+    valid = lambda df, key: df.where(vectors.is_valid(F.col("vec")) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col("vec").cast("array<float>" if single else "array<double>").alias("vec"))
     kept = valid(vectors_df, "id")
     asked = kept if queries is None else valid(queries, "q")
     kind = kept.schema["id"].dataType.simpleString()
-    count = max(ALL_BLOCKS, -(-kept.count() // MOST_IN_BLOCK))
-    own, every = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = lambda df, mine, other, side: df.select("id", "vec", F.size("vec").alias("size"), own.alias(mine), every.alias(other)).withColumn("side", F.lit(side))
-    met = dealt(asked, "a", "b", 0).unionByName(dealt(kept, "b", "a", 1))
+    known = kept.count()
+    blocks, turns = max(BLOCKS, -(-known // MOST_IN_BLOCK)), max(1, -(-(known if queries is None else asked.count()) // MOST_IN_BLOCK))
+    dealt = lambda df, mine, n, other, m, side: df.select("id", "vec", F.size("vec").alias("size"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.lit(side).alias("side"))
+    met = dealt(asked, "a", turns, "b", blocks, 0).unionByName(dealt(kept, "b", blocks, "a", turns, 1))
     return _ranked(met.groupBy("size", "a", "b").applyInArrow(best, f"q {kind}, id {kind}, score double"), k)

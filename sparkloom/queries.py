@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .engine import GraphEngine
 from .errors import GraphError
 from .functions import vectors
-from .operators.ivf import VectorIndex
+from .operators.ivf import DIGITS, VectorIndex
 from .operators.knn import nearest_of_all, nearest_to_each
 from .oracle import ORACLE
 from .sources import results
@@ -192,7 +192,7 @@ def knn_index(spark: SparkSession, folder: str) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "queries long, asked long, enough boolean")
     found = index.search_each(asked, 10).select("q", "id", F.lit(1).alias("hit"))
-    true = nearest_to_each(base, asked, 10).select("q", "id")
+    true = nearest_to_each(base, asked, 10, digits=DIGITS).select("q", "id")
     return true.join(found, ["q", "id"], "left").agg(F.countDistinct("q").alias("queries"), F.count("*").alias("asked"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 

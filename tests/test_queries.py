@@ -5,6 +5,7 @@ import os
 from dataclasses import replace
 
 import duckdb
+import numpy as np
 import pytest
 
 from sparkloom.functions import vectors
@@ -109,6 +110,79 @@ def test_index_recall(spark, sf):
     assert index.search([1.0, 2.0], 5).count() == 0 and VectorIndex.build(base.limit(0)) is None
 
 
+@pytest.mark.parametrize("kind", ("long", "string"))
+def test_blocks_hold_large_cells_and_many_queries(spark, monkeypatch, kind):
+    """All cells probed, so that the result is brute force's: 60 of 150 vectors are copies, and blocks hold 20 vectors or queries."""
+    from sparkloom.operators import ivf, knn
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(150, 8)).astype(np.float32)
+    x[30:90] = x[30]
+    name = (lambda i: i) if kind == "long" else "v{:03d}".format
+    rows = spark.createDataFrame([(name(i), [float(c) for c in v]) for i, v in enumerate(x)] + [(None, [1.0] * 8), (name(200), None), (name(201), [float("nan")] * 8)], f"id {kind}, vec array<float>")
+    asked = rows.withColumnRenamed("id", "q")
+    monkeypatch.setattr(ivf, "MOST_IN_BLOCK", 20)
+    monkeypatch.setattr(knn, "MOST_IN_BLOCK", 20)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(score, -np.inf)
+    want = {(name(q), name(int(i)), rk) for q in range(150) for rk, i in enumerate(np.lexsort((np.arange(150), -score[q]))[:5], 1)}
+    index = VectorIndex.build(rows, cells=6)
+    first, parts = index.blocks()
+    assert max(parts) >= 3 and len({b for f, p in zip(first, parts, strict=True) for b in range(f, f + p)}) == (first + parts).max()
+    for found in (index.search_each(asked, 5, probes=6), knn.nearest_of_all(rows, 5, ivf.DIGITS, asked), knn.nearest_of_all(rows, 5, ivf.DIGITS)):
+        assert {(r.q, r.id, r.rk) for r in found.collect()} == want
+
+
+def test_queries_are_sent_to_blocks_not_to_each_cell(spark, sf, monkeypatch):
+    """What a search for many vectors shuffles does not grow with the cells that it probes, also where nothing is small enough to broadcast."""
+    from sparkloom.operators import ivf
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    vecs = graph_of(spark, sf).table("embeddings")
+    index = VectorIndex.build(vecs.selectExpr("vec_id as id", "embedding as vec"), cells=200)
+    frames, kept = [], ivf.written
+    monkeypatch.setattr(ivf, "written", lambda df, name: frames.append(df) or kept(df, name))
+    frames.append(index.search_each(vecs.selectExpr("vec_id as q", "embedding as vec"), 1, probes=len(index.centres)))
+    n = vecs.count()
+    assert frames[-1].count() == n
+    for df in frames:
+        df.collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # items once, queries once and one row of each query for each of some 12 blocks
+    assert sum(map(shuffled, frames)) <= n * (1 + 2 * 20)
+
+
+def test_many_pairs_are_no_rows(spark, sf, monkeypatch):
+    from sparkloom.operators import knn
+
+    vecs = graph_of(spark, sf).table("embeddings")
+    base, asked = vecs.selectExpr("vec_id as id", "embedding as vec"), vecs.where("vec_id % 50 = 0").selectExpr("vec_id as q", "embedding as vec")
+    found = lambda: nearest_to_each(base, asked, 3, digits=6)
+    few = sorted(map(tuple, found().collect()))
+    monkeypatch.setattr(knn, "MOST_PAIRS", 10)
+    assert "NestedLoopJoin" not in plan(found()) and sorted(map(tuple, found().collect())) == few
+
+
+def shuffled(df):
+    """Rows that an executed plan shuffled."""
+    left, out = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            out += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def test_index_is_kept_until_nodes_change(spark, sf):
     g = SPECS["knn_approximate"].engine(spark, sf)
     first = index_of(g.catalog)
